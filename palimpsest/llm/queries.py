@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import langid, mixing, ogg, pii, urlfilter
+from palimpsest.llm import langid, mixing, neardup, ogg, pii, urlfilter
 from palimpsest.llm.common import table
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -26,6 +26,10 @@ def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.features(ogg.store(table(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id", "n_bytes"])
 
 
+def op8_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = pages.select(urlfilter.canonical(F.col("url")).alias("canonical")).where(F.split("canonical", "[.]")[0].isin(*LISTED_SITES))
@@ -38,7 +42,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, *model, keep=["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_pseudonyms, op6_balanced_mix, op7_ogg_media, op9_url_filter, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_pii_pseudonyms, op6_balanced_mix, op7_ogg_media, op8_minhash_near_duplicates, op9_url_filter, op10_language_id)}
 
 _REST = "substr(url, instr(url, '://') + 3)"
 OP9_SQL = f"""
