@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import langid, mixing, neardup, ogg, pii, urlfilter
+from palimpsest.llm import langid, mixing, neardup, ogg, parsing, pii, urlfilter
 from palimpsest.llm.common import table
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -18,6 +18,10 @@ def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "text", F.size("pii").alias("n_replaced"), F.array_join(F.transform("pii", lambda x: x["kind"]), ",").alias("kinds"))
 
 
+def op3_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op6_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
@@ -42,7 +46,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, *model, keep=["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_pseudonyms, op6_balanced_mix, op7_ogg_media, op8_minhash_near_duplicates, op9_url_filter, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_pii_pseudonyms, op3_phrase_fingerprints, op6_balanced_mix, op7_ogg_media, op8_minhash_near_duplicates, op9_url_filter, op10_language_id)}
 
 _REST = "substr(url, instr(url, '://') + 3)"
 OP9_SQL = f"""
