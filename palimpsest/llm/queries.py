@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import langid, mixing, neardup, ogg, parsing, pii, urlfilter
+from palimpsest.llm import langid, mixing, neardup, ogg, parsing, pieces, pii, urlfilter
 from palimpsest.llm.common import table
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -22,6 +22,16 @@ def op3_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op4_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.decode(pieces.encode(docs, ["doc_id", "text"]), ["doc_id", "text", "samples"])
+
+    def each(field: str):
+        return F.transform("samples", lambda x: x[field])
+
+    return coded.select("doc_id", each("pieces").alias("n_pieces"), each("log_p").alias("log_p"), each("log_inclusion").alias("log_inclusion"), F.transform("samples", lambda x: F.sha2(x["ids"], 256)).alias("ids_sha256"), F.forall("decoded", lambda t: t == F.col("text")).alias("exact"))
+
+
 def op6_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
@@ -46,7 +56,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, *model, keep=["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_pseudonyms, op3_phrase_fingerprints, op6_balanced_mix, op7_ogg_media, op8_minhash_near_duplicates, op9_url_filter, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_pii_pseudonyms, op3_phrase_fingerprints, op4_sampled_pieces, op6_balanced_mix, op7_ogg_media, op8_minhash_near_duplicates, op9_url_filter, op10_language_id)}
 
 _REST = "substr(url, instr(url, '://') + 3)"
 OP9_SQL = f"""
