@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import langid, mixing, neardup, ogg, parsing, pieces, pii, urlfilter
+from palimpsest.llm import langid, mixing, neardup, ogg, parsing, passages, pieces, pii, urlfilter
 from palimpsest.llm.common import table
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -13,6 +13,10 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 LISTED_SITES = ("cheap-pills", "spam-farm")
 
 
+def op1_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return made.select("doc_id", "text", F.size("pii").alias("n_replaced"), F.array_join(F.transform("pii", lambda x: x["kind"]), ",").alias("kinds"))
@@ -56,7 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, *model, keep=["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_pseudonyms, op3_phrase_fingerprints, op4_sampled_pieces, op6_balanced_mix, op7_ogg_media, op8_minhash_near_duplicates, op9_url_filter, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_shared_passages, op2_pii_pseudonyms, op3_phrase_fingerprints, op4_sampled_pieces, op6_balanced_mix, op7_ogg_media, op8_minhash_near_duplicates, op9_url_filter, op10_language_id)}
 
 _REST = "substr(url, instr(url, '://') + 3)"
 OP9_SQL = f"""
