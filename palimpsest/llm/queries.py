@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import langid, mixing, neardup, ogg, parsing, passages, pieces, pii, urlfilter
+from palimpsest.llm import langid, mixing, neardup, ogg, parsing, passages, pieces, pii, urlfilter, warc
 from palimpsest.llm.common import table
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -36,6 +40,49 @@ def op4_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", each("pieces").alias("n_pieces"), each("log_p").alias("log_p"), each("log_inclusion").alias("log_inclusion"), F.transform("samples", lambda x: F.sha2(x["ids"], 256)).alias("ids_sha256"), F.forall("decoded", lambda t: t == F.col("text")).alias("exact"))
 
 
+_FIRST = datetime.datetime(2024, 1, 1)
+_ASKED = "Thu, 01 Feb 2024 00:00:00 GMT"
+
+
+def archive(pages: DataFrame) -> DataFrame:
+    """(page_id, warc): each page as a WARC file of two captures, a full answer and a not-modified one.
+
+    The second comes a month after the first, but before it for every 7th page; its entity tag is another one for
+    every 5th page and is left out for every 11th.
+    """
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for i, url, html in zip(*(b[c].to_pylist() for c in ("page_id", "url", "html")), strict=True):
+                body, n = (html or "").encode(), i or 0
+                tag = f'"{hashlib.md5(body).hexdigest()[:16]}"'
+                first = _FIRST + datetime.timedelta(minutes=n % 1000)
+                again = first + datetime.timedelta(days=-30 if n % 7 == 0 else 30)
+                full = warc.http_bytes(200, "OK", [("Content-Type", "text/html"), ("Content-Length", str(len(body))), ("ETag", tag), ("Cache-Control", "max-age=60")], body)
+                asked = [("Date", _ASKED), ("Content-Length", "0"), ("cache-control", "max-age=600")]
+                if n % 11:
+                    asked.append(("ETag", '"other"' if n % 5 == 0 else f"W/{tag}"))
+                out.append(
+                    warc.record_bytes("response", f"urn:page:{n:020d}:200", url or "", first, full)
+                    + warc.record_bytes("revisit", f"urn:page:{n:020d}:304", url or "", again, warc.http_bytes(304, "Not Modified", asked), warc.NOT_MODIFIED)
+                )
+            yield pa.RecordBatch.from_arrays([b["page_id"], pa.array(out, pa.binary())], ["page_id", "warc"])
+
+    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, warc binary")
+
+
+def op5_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_records(archive(table(spark, sf_dir, "pages")))
+    found = warc.resolve_revisits(records, urlfilter.canonical(F.col("url")))
+
+    def page(record: str):
+        return F.split(record, ":")[2].cast("long")
+
+    headers = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n")
+    return found.select(page("record_id").alias("page_id"), "canonical", "verdict", page("of_record_id").alias("of_page_id"), F.col("of_payload_sha256").alias("payload_sha256"), headers.alias("headers"))
+
+
 def op6_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
@@ -60,11 +107,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, *model, keep=["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_shared_passages, op2_pii_pseudonyms, op3_phrase_fingerprints, op4_sampled_pieces, op6_balanced_mix, op7_ogg_media, op8_minhash_near_duplicates, op9_url_filter, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_shared_passages, op2_pii_pseudonyms, op3_phrase_fingerprints, op4_sampled_pieces, op5_revisit_resolution, op6_balanced_mix, op7_ogg_media, op8_minhash_near_duplicates, op9_url_filter, op10_language_id)}
 
 _REST = "substr(url, instr(url, '://') + 3)"
-OP9_SQL = f"""
-WITH part AS (
+CANONICAL = f"""
+part AS (
   SELECT page_id, url,
     CASE WHEN instr(url, '://') > 0 THEN translate(regexp_extract({_REST}, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
     CASE WHEN instr(url, '://') > 0 THEN regexp_extract({_REST}, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
@@ -75,7 +122,9 @@ keyed AS (
     array_to_string(list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[A-Za-z_]+|ref|fbclid|gclid)='))), '&') AS kept
   FROM part),
 canon AS (
-  SELECT *, CASE WHEN bare <> '' THEN bare || regexp_replace(path, '/+$', '') || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS canonical FROM keyed),
+  SELECT *, CASE WHEN bare <> '' THEN bare || regexp_replace(path, '/+$', '') || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS canonical FROM keyed)"""
+OP9_SQL = f"""
+WITH {CANONICAL},
 listed AS (SELECT DISTINCT canonical FROM canon WHERE string_split(canonical, '.')[1] IN ('cheap-pills', 'spam-farm')),
 rules(verdict, rhost, rpath) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
 best AS (
@@ -84,4 +133,26 @@ best AS (
 SELECT c.page_id, c.host, c.path, b.rule, coalesce(b.verdict, CASE WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, l.canonical IS NOT NULL AS listed
 FROM canon c LEFT JOIN best b ON b.page_id = c.page_id LEFT JOIN listed l ON l.canonical = c.canonical
 """
-SQL = {"op9_url_filter": OP9_SQL}
+OP5_SQL = f"""
+WITH {CANONICAL},
+captures AS (
+  SELECT c.page_id, c.canonical, coalesce(p.html, '') AS html, TIMESTAMP '2024-01-01' + to_minutes(c.page_id % 1000) AS first,
+    TIMESTAMP '2024-01-01' + to_minutes(c.page_id % 1000) + to_days(CASE WHEN c.page_id % 7 = 0 THEN -30 ELSE 30 END) AS again,
+    CASE WHEN c.page_id % 11 = 0 THEN NULL WHEN c.page_id % 5 = 0 THEN '"other"' ELSE '"' || substr(md5(coalesce(p.html, '')), 1, 16) || '"' END AS asked
+  FROM canon c JOIN pages p USING (page_id)),
+pairs AS (
+  SELECT r.page_id, r.canonical, r.asked, f.page_id AS of_page_id, '"' || substr(md5(f.html), 1, 16) || '"' AS tag, f.html, octet_length(encode(f.html)) AS size,
+    row_number() OVER (PARTITION BY r.page_id ORDER BY f.first DESC NULLS LAST, f.page_id DESC) AS rn
+  FROM captures r LEFT JOIN captures f ON f.canonical = r.canonical AND f.first < r.again),
+judged AS (
+  SELECT *, CASE WHEN of_page_id IS NULL THEN 'missing' WHEN asked IS NULL THEN 'unchecked' WHEN asked = tag THEN 'resolved' ELSE 'changed' END AS verdict,
+    'Date: {_ASKED}' AS date FROM pairs WHERE rn = 1)
+SELECT page_id, canonical, verdict, of_page_id, CASE WHEN of_page_id IS NOT NULL THEN sha256(html) END AS payload_sha256,
+  CASE verdict
+    WHEN 'resolved' THEN 'Content-Type: text/html' || chr(10) || 'Content-Length: ' || size || chr(10) || date || chr(10) || 'cache-control: max-age=600' || chr(10) || 'ETag: W/' || asked
+    WHEN 'unchecked' THEN 'Content-Type: text/html' || chr(10) || 'Content-Length: ' || size || chr(10) || 'ETag: ' || tag || chr(10) || date || chr(10) || 'cache-control: max-age=600'
+    ELSE date || chr(10) || 'Content-Length: 0' || chr(10) || 'cache-control: max-age=600' || CASE WHEN asked IS NULL THEN '' WHEN page_id % 5 = 0 THEN chr(10) || 'ETag: "other"' ELSE chr(10) || 'ETag: W/' || asked END
+  END AS headers
+FROM judged
+"""
+SQL = {"op5_revisit_resolution": OP5_SQL, "op9_url_filter": OP9_SQL}
