@@ -26,6 +26,8 @@ SEED = 20_240_501
 ROWS_PER_LANG = 4000
 MOST_LANGS = 4096
 UNIT = 1 << 20
+#: Cosine of a text with a language below which it is as unlike as random vectors are (two standard deviations).
+NOISE = 2 / DIM**0.5
 
 
 @functools.cache
@@ -139,6 +141,16 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, keep: lis
     return frame.mapInArrow(run, f"{fields + ', ' if fields else ''}lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, langs: list[str], prototypes: np.ndarray, least: float = NOISE) -> DataFrame:
+    """The rows of docs whose text has letters and a cosine of at least `least` with some language; all of docs' columns.
+
+    A null text goes; with a model without languages nothing stays.
+    """
+    own = [F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)]
+    judged = predict(docs.select(*own, "text"), langs, prototypes, [f"_{i}" for i in range(len(docs.columns))])
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that are never learnt from: crc32 of doc_id as text leaves 2 when divided by 4; a null doc_id is held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))

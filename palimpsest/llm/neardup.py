@@ -185,6 +185,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def keep_one(docs: DataFrame, percent: int = 80, k: int = K) -> DataFrame:
+    """docs with one document of each group of near copies (linked as in near_duplicates), that with the smallest doc_id.
+
+    Documents without words all stay. Rows that repeat a doc_id stay, once for each text, unless all of them go.
+    """
+    made = checkpointed(near_duplicates(docs, percent, k))
+    by_id = checkpointed(made.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")))
+    gone = by_id.where("not kept").select(F.col("doc_id").alias("_gone"))
+    small = F.broadcast if gone.count() <= BROADCAST_IDS else lambda x: x
+    rest = docs.join(small(gone), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    twice = by_id.where("kept and rows > 1").select(F.col("doc_id").alias("_twice"))
+    if twice.isEmpty():
+        return rest
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_twice"))
+    return rest.join(twice, same, "left_anti").unionByName(rest.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def _rooted(df: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return df.withColumn("root", F.col("node"))
