@@ -5,14 +5,22 @@ five find the candidates (two sets of Jaccard similarity 0.85 meet in no band wi
 a bitmap of the samples' parities, tells by the population count of an XOR which candidates are worth comparing in
 full. Links are then confirmed on the full sets, computed again from the texts of the classes concerned.
 
-A band's bucket is not expanded into pairs. Each round compares all members of a bucket with one of them, its pivot;
-pivots have then met everybody and leave, and so do buckets whose members are one component. When the pairs that are
-left are no more than a few for each class, they are compared all. So a group of thousands of near copies costs a star,
-not a square, and no candidate is dropped.
+A band's bucket is not expanded into pairs. Its members are compared with one of them, the pivot: that which has most
+candidates in all its buckets, as the text has that a group's other members were copied from. Buckets of PIVOTS + 1
+members at most are compared in full. So a group of thousands of near copies costs a star, not a square.
+
+What then still stands apart in a bucket is dealt anew by an exact condition: two sets A and B as alike as asked for, t,
+have c = ceil(t / (1 + t) (|A| + |B|)) shingles in common, so one of the rarest |A| - c + 1 of A is one of the rarest
+|B| - c + 1 of B. What a copy was changed in makes shingles that few others have, and where these are too many it meets
+nobody. As c depends on both sizes, buckets are for sizes in steps of SIZE_STEP too, those of the smaller set. Groups of
+sets that are left connected are compared in blocks of bounded size against blocks, each as a matrix product; a pair of
+blocks emits a spanning forest of its links. No candidate is dropped.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,8 +35,11 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 #: Candidates whose estimated similarity is lower by so much than asked for go no further (4.7 standard deviations).
 MARGIN = 0.17
-#: Pairs left in buckets, for each class, from which on they are compared at once.
-FEW_PAIRS = 4
+#: Buckets with one member more are compared in full.
+PIVOTS = 8
+#: Sets, and bytes of them, in a block.
+BLOCK_SETS, BLOCK_BYTES = 512, 8 << 20
+SIZE_STEP = 1.02
 #: So many document ids may be broadcast.
 BROADCAST_IDS = 500_000
 
@@ -109,6 +120,103 @@ def _full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return some.mapInArrow(run, "node binary, full binary").dropDuplicates(["node"])
 
 
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between sets of (node, full) that share one of their rarest shingles: each with the first that has it.
+
+    Any two sets with 100 |A & B| >= percent |A | B| are linked in this way, by way of others or not.
+    """
+
+    def run(batches):
+        for b in batches:
+            for node, full in zip(b["node"].to_pylist(), b["full"].to_pylist(), strict=True):
+                tokens = np.frombuffer(full, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array([node] * len(tokens), pa.binary()), pa.array(np.full(len(tokens), len(tokens), np.int64))], ["band", "node", "total"])
+
+    tokens = sets.mapInArrow(run, "band long, node binary, total long")
+    often = tokens.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = tokens.join(often, "band").groupBy("node").agg(F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("n", "band"))).alias("by"))
+    def step(size: Column) -> Column:
+        return F.floor(F.ln(size.cast("double")) / F.lit(math.log(SIZE_STEP))).cast("int")
+
+    least = F.ceil(F.col("total") * percent / 100)  # size of the smallest partner
+    dealt = shared.withColumn("step", F.explode(F.sequence(step(least), step(F.col("total")))))
+    smaller = F.greatest(least, F.floor(F.pow(F.lit(SIZE_STEP), F.col("step"))) - 1)
+    common = F.ceil(percent * (smaller + F.col("total")) / (100 + percent))
+    # shingles that no other set has come first in the order, and lead nowhere
+    rare = F.col("total") - common + 1 - (F.col("total") - F.size("by"))
+    found = dealt.where(rare > 0).select("node", "step", F.explode(F.slice("by", F.lit(1), rare.cast("int"))).alias("x"))
+    found = checkpointed(found.select(F.xxhash64("x.band", "step").alias("band"), "node"))
+    firsts = found.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
+    return found.join(firsts, "band").where("node != b").select(F.col("node").alias("a"), "b")
+
+
+def _block_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what is connected among the sets (node, full, group) of each group."""
+    per = sets.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.length("full")).alias("size")).where("n > 1")
+    per = per.select("group", F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("size") / BLOCK_BYTES)).alias("blocks"))
+    dealt = sets.join(per, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keys = ["group", "i", "j"]
+    dealt = dealt.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "full")
+
+    def run(batches):
+        key, held = None, []
+
+        def out():
+            pairs = _forest([(r["node"], r["own"] == key[1], np.frombuffer(r["full"], np.uint64)) for r in held], key[1] == key[2], percent)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())], ["a", "b"])
+
+        for b in batches:
+            for row in b.to_pylist():
+                now = tuple(row[k] for k in keys)
+                if now != key:
+                    if held:
+                        yield out()
+                    key, held = now, []
+                held.append(row)
+        if held:
+            yield out()
+
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary")
+
+
+def _forest(rows: list[tuple[bytes, bool, np.ndarray]], whole: bool, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links that connect the linked ones among rows (node, in the first block, set); without `whole` only across blocks."""
+    size = np.array([len(r[2]) for r in rows])
+    who = np.repeat(np.arange(len(rows)), size)
+    kind, often = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True, return_counts=True)[1:]
+    shared = often > 1
+    number = np.cumsum(shared) - 1
+    who, kind = who[shared[kind]], number[kind[shared[kind]]]
+    order = np.argsort(kind, kind="stable")
+    who, kind = who[order], kind[order]
+    both = np.zeros((len(rows), len(rows)), np.float32)
+    for c in range(0, int(shared.sum()), 4096):
+        x, y = np.searchsorted(kind, [c, c + 4096])
+        m = np.zeros((len(rows), 4096), np.float32)
+        m[who[x:y], kind[x:y] - c] = 1
+        both += m @ m.T
+    both = np.rint(both).astype(np.int64)
+    near = np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1)
+    if not whole:
+        first = np.array([r[1] for r in rows])
+        near &= first[:, None] != first[None, :]
+    top, out = list(range(len(rows))), []
+
+    def find(v: int) -> int:
+        while top[v] != v:
+            top[v] = v = top[top[v]]
+        return v
+
+    for a, b in np.argwhere(near).tolist():
+        x, y = find(a), find(b)
+        if x != y:
+            top[x] = y
+            out.append((rows[a][0], rows[b][0]))
+    return out
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 |A & B| >= percent |A | B| on the full sets."""
 
@@ -138,8 +246,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame
     made = checkpointed(signatures(docs, k))
     classes = checkpointed(made.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     bounds = classes.select("node", F.explode("bands").alias("band"))
-    heads = bounds.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = checkpointed(bounds.join(heads.select("band"), "band"))
     sketches = classes.select("node", "sketch")
     links, roots, wanted = None, None, percent / 100 - MARGIN
 
@@ -147,9 +253,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame
         x = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("p")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("q")), "b")
         return x.select("a", "b", likeness(F.col("p"), F.col("q")).alias("like")).where(F.col("like") >= wanted)
 
+    def full_sets(nodes: DataFrame) -> DataFrame:
+        ids = nodes.join(classes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id")).distinct()
+        return checkpointed(_full_sets(docs, checkpointed(ids), k))
+
     def confirm(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(classes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id")).distinct()
-        return _confirmed(pairs, checkpointed(_full_sets(docs, checkpointed(ids), k)), percent)
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        return _confirmed(pairs, full_sets(nodes), percent)
 
     def add(pairs: DataFrame) -> None:
         """Confirms pairs: for each class its likest one first, then what is still between components."""
@@ -164,19 +274,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame
             links = checkpointed(new if links is None else links.unionByName(new))
             roots = components(links)
 
-    total = classes.count()
-    while not members.isEmpty():
-        known = _rooted(members, roots)
-        # a bucket whose members are one component has nothing left to say
-        open_ = known.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("pivot"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "n", "pivot")
-        known = checkpointed(known.join(open_, "band"))
-        pairs_left = known.agg(F.sum((F.col("n") - 1) / 2)).first()[0] or 0
-        if pairs_left <= FEW_PAIRS * total:
-            other = known.select("band", F.col("node").alias("b"), F.col("root").alias("other"))
-            add(known.join(other, "band").where((F.col("node") > F.col("b")) & (F.col("root") != F.col("other"))).select(F.col("node").alias("a"), "b").distinct())
-            break
-        add(known.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
-        members = checkpointed(known.where("node != pivot").select("band", "node"))
+    heads = bounds.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = checkpointed(bounds.join(heads, "band"))
+    weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    top = members.where(F.col("n") > PIVOTS + 1).join(weights, "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("x")).select("band", F.col("x.node").alias("pivot"))
+    pivots = checkpointed(top.unionByName(members.where(F.col("n") <= PIVOTS + 1).select("band", F.col("node").alias("pivot"))))
+    add(members.join(pivots, "band").where("node != pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct())
+    left = _rooted(members.where(F.col("n") > PIVOTS + 1).select("band", "node"), roots)
+    # a bucket whose members are one component has nothing left to say
+    open_ = left.groupBy("band", "root").agg(F.lit(1).alias("one")).groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    left = checkpointed(left.join(open_.select("band"), "band").select("node").distinct())
+    if not left.isEmpty():
+        sets = full_sets(left)
+        groups = components(_prefixes(sets, percent)).select("node", F.col("root").alias("group"))
+        new = checkpointed(_block_links(sets.join(groups, "node"), percent))
+        links = new if links is None else links.unionByName(new)
+        roots = components(links)
     root = _rooted(classes.select("node", "rep"), roots)
     least = root.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = root.select("node", "root").join(least, "root").select("node", "component_id")
