@@ -38,7 +38,7 @@ FALLBACK, LIFT = -12.0, 4.0
 #: Subtrees of a smaller share of all segmentations (log) are below double precision and not drawn.
 LEAST = -40.0
 _UNITS = re.compile(f" {{0,{UNIT}}}[^ ]{{1,{UNIT}}}| {{1,{UNIT}}}")
-STEP = 1 << 20
+STEP = 1 << 19
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -114,7 +114,7 @@ def model(path: str) -> Model:
 
 @dataclass
 class Lattice:
-    """Edges of all units, by node and falling share; node of unit u's start: first[u]."""
+    """Edges of all units, by node and falling length; node of unit u's start: first[u]."""
 
     first: np.ndarray
     start: np.ndarray  # of a node's edges
@@ -153,32 +153,32 @@ def lattice(units: list[str], m: Model, alpha: float) -> Lattice:
             src.append(place[alone])
             ln.append(np.ones(int(alone.sum()), np.int64))
             piece.append(-1 - points[alone])
-    src, ln, piece = np.concatenate(src), np.concatenate(ln), np.concatenate(piece)
+    # by node, the longest pieces first: each length is in order already
+    src, ln, piece = (np.concatenate(x[::-1]) for x in (src, ln, piece))
+    order = np.argsort(src, kind="stable")
+    src, ln, piece = src[order], ln[order], piece[order]
     unit = np.repeat(np.arange(len(units)), size)
     left = last[src] - src  # characters to the unit's end
     a = src + unit[src]  # a unit of n characters has n + 1 nodes
     b = a + ln
-    weight = np.exp(alpha * np.where(piece < 0, FALLBACK, m.log_p[piece]) + LIFT * ln)
+    weight = (np.exp(alpha * np.r_[m.log_p, FALLBACK])[np.where(piece < 0, len(m.log_p), piece)]) * np.exp(LIFT * np.arange(int(ln.max(initial=0)) + 1))[ln]
     mass = np.zeros(len(points) + len(units))
     mass[end + np.arange(len(units))] = 1
-    order = np.lexsort((a, left))
+    order = np.argsort(left.astype(np.uint16), kind="stable")
     cut = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
-    for x, y in zip(cut[:-1], cut[1:], strict=True):
+    for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         e = order[x:y]
         if len(e):
             at = a[e]
             starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             mass[at[starts]] = np.add.reduceat(weight[e] * mass[b[e]], starts)
     share = weight * mass[b] / mass[a]
-    order = np.lexsort((-share, a))
-    a, share = a[order], share[order]
-    nodes = len(mass)
-    count = np.bincount(a, minlength=nodes)
+    count = np.bincount(a, minlength=len(mass))
     start = np.cumsum(count) - count
     total = np.cumsum(share)
     until = total - (total[start[a]] - share[start[a]])
     until[(start + count - 1)[count > 0]] = np.inf
-    return Lattice(np.r_[0, (end + np.arange(1, len(units) + 1))[:-1]], start, count, b[order], piece[order], np.log(share), until)
+    return Lattice(np.r_[0, (end + np.arange(1, len(units) + 1))[:-1]], start, count, b, piece, np.log(share), until)
 
 
 @dataclass
@@ -362,9 +362,11 @@ def segmentations(texts: list[str], keys: np.ndarray, path: str = VOCABULARY, k:
     return out
 
 
-def encode(docs: DataFrame, keep: list[str], path: str = VOCABULARY, k: int = SAMPLES, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+def encode(docs: DataFrame, keep: list[str], path: str = VOCABULARY, k: int = SAMPLES, alpha: float = ALPHA, seed: int = SEED, check: bool = False) -> DataFrame:
     """`keep` columns and samples: up to k distinct segmentations of the text, without replacement.
 
+    With check also exact: whether all samples decode to the text (null for a null text).
+
     The row key is doc_id: rows with the same doc_id and text get the same samples; rows with a null doc_id share a
     key. A null text has null samples, an empty one the one segmentation of its leading space. The file at `path` must
     be there on every machine.
@@ -378,10 +380,13 @@ def encode(docs: DataFrame, keep: list[str], path: str = VOCABULARY, k: int = SA
                 at = [i for i in range(x, z) if texts[i] is not None]
                 made = iter(segmentations([texts[i] for i in at], keys[at], path, k, alpha, seed) if at else [])
                 out = [next(made) if texts[i] is not None else None for i in range(x, z)]
-                yield pa.RecordBatch.from_arrays([*(b[c].slice(x, z - x) for c in keep), pa.array(out, kind)], [*keep, "samples"])
+                more = []
+                if check:
+                    more = [pa.array([None if s is None else all(decode_ids(y["ids"], model(path)) == t for y in s) for s, t in zip(out, texts[x:z], strict=True)], pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*(b[c].slice(x, z - x) for c in keep), pa.array(out, kind), *more], [*keep, "samples", *["exact"] * check])
 
     frame = docs.select(*keep, F.col("text").alias("_text"), F.xxhash64("doc_id").alias("_key"))
-    return frame.mapInArrow(run, "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + f"samples array<{SAMPLE}>")
+    return frame.mapInArrow(run, "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + f"samples array<{SAMPLE}>" + ", exact boolean" * check)
 
 
 def decode_ids(ids: bytes, m: Model) -> str:
