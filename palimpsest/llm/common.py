@@ -23,11 +23,23 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+#: Rows of a small table that one partition may hold, and of one that may be broadcast.
+PART_ROWS, BROADCAST_ROWS = 20_000, 500_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has no more rows than BROADCAST_ROWS."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df, computed once and kept in the folder of spark.checkpoint.dir, which all machines share.
 
-    Only where the session names none (local tests), a temporary folder is set.
+    With a bound of its rows, df is kept in no more partitions than they need. Only where the session names no folder
+    (local tests), a temporary one is set.
     """
+    if rows is not None and (parts := -(-rows // PART_ROWS) or 1) < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(parts)
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import checkpointed
+from palimpsest.llm.common import checkpointed, sized
 
 
 def _print(links: DataFrame):
@@ -22,11 +22,11 @@ def components(links: DataFrame) -> DataFrame:
     links = checkpointed(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(a != b).distinct())
     seen = None
     while (now := _print(links)) != seen and now[0]:
-        seen = now
+        seen, n = now, now[0]
         both = links.unionByName(links.select(b.alias("a"), a.alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(least, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(sized(least, 2 * n), "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(a.alias("a"), F.col("m").alias("b")), F.struct(b.alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where(a != b)
-        links = checkpointed(small.distinct())
+        small = large.join(sized(least, 2 * n), "a").select(F.explode(F.array(F.struct(a.alias("a"), F.col("m").alias("b")), F.struct(b.alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where(a != b)
+        links = checkpointed(small.distinct(), 2 * n)
     return links.select(a.alias("node"), b.alias("root")).unionByName(links.select(b.alias("node"), b.alias("root")).distinct())

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import checkpointed, steps
+from palimpsest.llm.common import checkpointed, sized, steps
 from palimpsest.llm.components import components
 from palimpsest.llm.shingles import K, digest, scramble, shingle_hashes, word_hashes
 
@@ -244,18 +244,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame
     no other; its kept is false unless the component_id is null too. Empty table: empty result.
     """
     made = checkpointed(signatures(docs, k))
-    classes = checkpointed(made.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    rows = made.count()
+    classes = checkpointed(made.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), rows)
     bounds = classes.select("node", F.explode("bands").alias("band"))
     sketches = classes.select("node", "sketch")
     links, roots, wanted = None, None, percent / 100 - MARGIN
 
     def alike(pairs: DataFrame) -> DataFrame:
+        pairs = checkpointed(pairs, found)
+        pairs = sized(pairs, pairs.count())
         x = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("p")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("q")), "b")
         return x.select("a", "b", likeness(F.col("p"), F.col("q")).alias("like")).where(F.col("like") >= wanted)
 
     def full_sets(nodes: DataFrame) -> DataFrame:
-        ids = nodes.join(classes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id")).distinct()
-        return checkpointed(_full_sets(docs, checkpointed(ids), k))
+        nodes = checkpointed(nodes, rows)
+        ids = classes.select("node", "rep").join(sized(nodes, nodes.count()), "node").select(F.col("rep").alias("doc_id")).distinct()
+        return checkpointed(_full_sets(docs, checkpointed(ids, rows), k), rows)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -263,33 +267,35 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame
 
     def add(pairs: DataFrame) -> None:
         """Confirms pairs: for each class its likest one first, then what is still between components."""
-        nonlocal links, roots
-        pairs = checkpointed(alike(pairs))
+        pairs = checkpointed(alike(pairs), found)
         best = pairs.groupBy("a").agg(F.max_by("b", F.struct("like", "b")).alias("b"))
         for step in (lambda: best, lambda: _apart(pairs, roots)):
-            new = checkpointed(step().select("a", "b"))
+            new = checkpointed(step().select("a", "b"), found)
             if new.isEmpty():
                 continue
-            new = confirm(new)
-            links = checkpointed(new if links is None else links.unionByName(new))
-            roots = components(links)
+            join(confirm(new))
+
+    def join(new: DataFrame) -> None:
+        nonlocal links, roots
+        links = checkpointed(new if links is None else links.unionByName(new), found)
+        roots = checkpointed(components(links), rows)
+        roots = sized(roots, rows)
 
     heads = bounds.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = checkpointed(bounds.join(heads, "band"))
+    members = checkpointed(bounds.join(heads, "band"), BANDS * rows)
+    found = members.count()
     weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
     top = members.where(F.col("n") > PIVOTS + 1).join(weights, "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("x")).select("band", F.col("x.node").alias("pivot"))
-    pivots = checkpointed(top.unionByName(members.where(F.col("n") <= PIVOTS + 1).select("band", F.col("node").alias("pivot"))))
+    pivots = checkpointed(top.unionByName(members.where(F.col("n") <= PIVOTS + 1).select("band", F.col("node").alias("pivot"))), found)
     add(members.join(pivots, "band").where("node != pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct())
     left = _rooted(members.where(F.col("n") > PIVOTS + 1).select("band", "node"), roots)
     # a bucket whose members are one component has nothing left to say
     open_ = left.groupBy("band", "root").agg(F.lit(1).alias("one")).groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    left = checkpointed(left.join(open_.select("band"), "band").select("node").distinct())
+    left = checkpointed(left.join(open_.select("band"), "band").select("node").distinct(), rows)
     if not left.isEmpty():
         sets = full_sets(left)
-        groups = components(_prefixes(sets, percent)).select("node", F.col("root").alias("group"))
-        new = checkpointed(_block_links(sets.join(groups, "node"), percent))
-        links = new if links is None else links.unionByName(new)
-        roots = components(links)
+        groups = checkpointed(components(_prefixes(sets, percent)).select("node", F.col("root").alias("group")), rows)
+        join(_block_links(sets.join(sized(groups, rows), "node"), percent))
     root = _rooted(classes.select("node", "rep"), roots)
     least = root.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = root.select("node", "root").join(least, "root").select("node", "component_id")
