@@ -346,7 +346,10 @@ SAMPLE = "struct<ids:binary,pieces:int,log_p:double,log_inclusion:double>"
 
 
 def segmentations(texts: list[str], keys: np.ndarray, path: str = VOCABULARY, k: int = SAMPLES, alpha: float = ALPHA, seed: int = SEED) -> list[list[dict]]:
-    """For each text up to k samples, by falling Gumbel value: ids (int32, little endian), pieces, log_p, log_inclusion."""
+    """For each text up to k samples, by falling Gumbel value: ids (int32, little endian), pieces, log_p, log_inclusion.
+
+    Both logarithms are rounded to six places, as their last bits depend on what other texts are in a step.
+    """
     s = Search(texts, keys, model(path), k, alpha, seed)
     out: list[list[dict]] = [[] for _ in texts]
     for number, p in enumerate(s.paths):
@@ -357,7 +360,7 @@ def segmentations(texts: list[str], keys: np.ndarray, path: str = VOCABULARY, k:
             score = np.where(over < -30, over, np.log(-np.expm1(-np.exp(np.minimum(over, 700)))))
         for i, end in enumerate(ends.tolist()):
             if s.has[number][i]:
-                out[i].append({"ids": raw[4 * begin : 4 * end], "pieces": end - begin, "log_p": float(p.log_p[i]), "log_inclusion": float(score[i])})
+                out[i].append({"ids": raw[4 * begin : 4 * end], "pieces": end - begin, "log_p": round(float(p.log_p[i]), 6), "log_inclusion": round(float(score[i]), 6)})
             begin = end
     return out
 
