@@ -1,0 +1,231 @@
+"""Pseudonyms, mixing, URL filters, WARC and the pipeline."""
+
+import datetime
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest.llm import langid, mixing, pii, queries, urlfilter, warc
+from tests.llm.test_dedup import brute
+
+DOCS = "doc_id long, text string"
+
+
+def luhn_ok(s):
+    d = [int(c) for c in reversed(re.sub(r"\D", "", s))]
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
+
+
+def iban_ok(s):
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def pseudonyms(spark, texts, key="k"):
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), DOCS), key).orderBy("doc_id").collect()
+    return [r.text for r in rows], [r.pii for r in rows]
+
+
+def test_formats_stay_valid(spark):
+    texts = ["pay 4111 1111 1111 1111 now", "GB82 WEST 1234 5698 7654 32", "on 2024-02-29, 29.02.2024 and 29/02/2024", "host 192.168.0.1", "ssn 123-45-6789", "mail Ann.Lee+x@mail.example.org!", "call +49 171 1234567", "key 0123456789abcdef0123456789abcdef"]
+    new, found = pseudonyms(spark, texts)
+    for old, made, kinds in zip(texts, new, found, strict=True):
+        assert made != old and kinds
+        if "host" in old:  # octets have one to three digits
+            continue
+        assert len(made) == len(old)
+        assert re.sub(r"[A-Za-z0-9]", "x", made) == re.sub(r"[A-Za-z0-9]", "x", old)
+    assert luhn_ok(re.search(r"\d[\d ]+\d", new[0])[0]) and iban_ok(new[1])
+    for form, pattern in (("%Y-%m-%d", r"\d{4}-\d\d-\d\d"), ("%d.%m.%Y", r"\d\d\.\d\d\.\d{4}"), ("%d/%m/%Y", r"\d\d/\d\d/\d{4}")):
+        datetime.datetime.strptime(re.search(pattern, new[2])[0], form)
+    assert all(0 <= int(x) <= 255 for x in new[3].split()[1].split("."))
+    assert new[5].endswith("@mail.example.org!")
+
+
+def test_links_stay_and_values_differ(spark):
+    numbers = [f"{i:03d}-55-{i * 7 % 10_000:04d}" for i in range(1, 400)]
+    new, _ = pseudonyms(spark, [f"a {n} b" for n in numbers] + [f"other {numbers[5]}."])
+    assert len({t[2:-2] for t in new[:-1]}) == len(numbers) and new[-1] == f"other {new[5][2:-2]}."
+    assert pseudonyms(spark, ["a 123-45-6789"], "other")[0] != pseudonyms(spark, ["a 123-45-6789"])[0]
+
+
+def test_what_fails_its_check_stays(spark):
+    texts = ["4111 1111 1111 1112", "GB83 WEST 1234 5698 7654 32", "2023-02-29", "999.1.1.1", "plain", "", None, "9" * 200_000, "no numbers but @ sign"]
+    new, found = pseudonyms(spark, texts)
+    assert new == texts and found[-3] is None and all(f == [] for f in found[:6])
+
+
+def test_dates_are_permuted(spark):
+    """A permutation of days: no two get the same pseudonym, and equal days in other formats get the same day."""
+    days = [datetime.date(2000, 1, 1) + datetime.timedelta(d) for d in range(500)]
+    new, _ = pseudonyms(spark, [f"{d} {d:%d.%m.%Y}" for d in days])
+    assert len(set(new)) == 500
+    for t in new:
+        a, b = t.split()
+        assert datetime.date.fromisoformat(a) == datetime.datetime.strptime(b, "%d.%m.%Y").date()
+
+
+def fill(sizes):
+    """Targets by hand: reshares the excess until no source is above twice its size."""
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    left, free, out = 1.5 * sum(sizes.values()), set(sizes), {}
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 2 * sizes[s] + 1e-9}
+        if not over:
+            return out | share
+        for s in over:
+            out[s] = 2 * sizes[s]
+            left -= out[s]
+        free -= over
+    return out
+
+
+def test_mix(spark):
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.choice([3, 20, 20, 50, 400]), rng.choice(["a"] * 6 + ["b", "c", None])) for i in range(900)] + [(1000, None, "a"), (1001, "", "d"), (1002, "x y z", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    size = {}
+    for i, t, s in rows:
+        size[s] = size.get(s, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    target = fill(size)
+    for s in size:
+        own = [r for r in got if r.source == s]
+        assert all(r.source_size == size[s] and r.target == pytest.approx(target[s]) and r.taken <= 2 * r.size for r in own)
+        assert abs(sum(r.taken for r in own) - target[s]) <= max(3, 0.005 * target[s])
+        if size[s]:
+            assert abs(sum(r.copies for r in own) - len(own) * target[s] / size[s]) <= 0.06 * len(own) + 10  # the number of documents is balanced too
+    again = mixing.mix(docs.repartition(5)).collect()
+    assert {(r.doc_id, r.taken) for r in again} == {(r.doc_id, r.taken) for r in got}
+    taken = mixing.apply_mix(docs)
+    assert taken.columns == docs.columns and taken.count() == sum(r.copies for r in got)
+
+
+def test_mix_edges(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, source string")
+    assert mixing.mix(empty).count() == 0 and mixing.apply_mix(empty).count() == 0
+    one = spark.createDataFrame([(1, "a b c", None, 5), (1, "a b c", None, 6)], "doc_id long, text string, source string, size int")
+    assert sum(r.taken for r in mixing.mix(one).collect()) == 9
+    assert mixing.mix(spark.createDataFrame([(1, None, "s")], "doc_id long, text string, source string")).first().taken == 0
+
+
+def test_flight_keeps_expectations():
+    """The mean of many draws is the inclusion probability, words stay within the landing's last units."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    size, pi = rng.integers(1, 60, 40).astype(float), rng.random(40)
+    draws = []
+    for k in range(2000):
+        r = np.random.default_rng(k)
+        mid = mixing.flight(size, pi, r)
+        assert abs(size @ mid - size @ pi) < 1e-6 and abs(mid.sum() - pi.sum()) < 1e-6
+        assert ((mid > 0) & (mid < 1)).sum() <= 2
+        draws.append(mixing.land(size, mid, r))
+    assert np.abs(np.mean(draws, axis=0) - pi).max() < 0.06
+
+
+def test_url_filter(spark):
+    urls = ["http://www.Spam.example.net/a/?utm_x=1&b=2&a=1", "http://spam.example.net/a?a=1&b=2", "https://x.example.net/en/z", "http://example.com/de/", "http://notexample.com/de/", "no url", None, "http://", "ftp://a.org/fr/x?q#f", "http://a.org/de#://b"]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(1, urls[1])], "page_id long, url string").withColumn("host", F.lit(1))
+    listed = spark.createDataFrame([("spam.example.net/a?a=1&b=2",), (None,), ("z.test/x",)], "canonical string")
+    got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urlfilter.filter_urls(pages, listed, queries.RULES).collect())
+    assert got == [
+        (0, "www.spam.example.net", "/a/", "net/", "block"), (1, "spam.example.net", "/a", "net/", "block"), (1, "spam.example.net", "/a", "net/", "block"), (2, "x.example.net", "/en/z", "example.net/en/", "allow"),
+        (3, "example.com", "/de/", "example.com/de/", "block"), (4, "notexample.com", "/de/", None, "allow"), (5, "", "", None, "allow"), (6, "", "", None, "allow"), (7, "", "", None, "allow"),
+        (8, "a.org", "/fr/x", "org/fr/", "allow"), (9, "a.org", "/de", None, "allow"),
+    ]
+    plain = {r.page_id: (r.verdict, r.listed) for r in urlfilter.filter_urls(pages, listed).collect()}
+    assert plain[0] == plain[1] == ("block", True) and plain[2] == ("allow", False)
+    assert urlfilter.filter_urls(pages.limit(0), listed).count() == 0 and urlfilter.filter_urls(pages, listed.limit(0)).count() == len(urls) + 1
+
+
+def test_bloom_filter_has_no_false_negatives(spark):
+    keys = spark.range(3000).select(F.concat(F.lit("site/"), F.col("id").cast("string")).alias("canonical"))
+    pages = spark.range(6000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://site/"), F.col("id").cast("string")).alias("url"))
+    got = urlfilter.filter_urls(pages, keys).collect()
+    assert all(r.listed == (r.page_id < 3000) and (r.maybe_listed or not r.listed) for r in got)
+    assert sum(r.maybe_listed and not r.listed for r in got) < 300
+
+
+def test_warc_round_trip():
+    at = datetime.datetime(2024, 5, 1, 12, 0, 0, 5)
+    block = warc.http_bytes(200, "OK", [("A", "b"), ("ETag", '"x"')], b"body\r\n\r\nWARC/1.1 not a record")
+    data = warc.record_bytes("response", "urn:1", "http://a/\r\nb", at, block) + warc.record_bytes("metadata", "urn:2", "http://a/", at, b"", content_type="text/plain")
+    found = list(warc.parse(data))
+    assert [n["warc-record-id"] for n, _ in found] == ["<urn:1>", "<urn:2>"] and found[0][1] == block
+    assert warc._record(*found[0])[3:8] == ("http://a/%0D%0Ab", at.replace(tzinfo=datetime.timezone.utc), 200, [("A", "b"), ("ETag", '"x"')], b"body\r\n\r\nWARC/1.1 not a record")
+    for cut in (5, 60, len(data) // 3):
+        with pytest.raises(ValueError):
+            list(warc.parse(data[:cut]))
+
+
+def test_revisits_like_brute_force(spark):
+    rng = random.Random(3)
+    day = datetime.datetime(2024, 1, 1)
+    rows = []
+    for i in range(500):
+        url = rng.choice(["hot"] * 5 + ["a", "b", "c", None])
+        kind = rng.choice(["response", "revisit", "revisit", "request"])
+        headers = [("ETag", rng.choice(['"1"', 'W/"1"', '"2"']))] if rng.random() < 0.7 else [("Last-Modified", rng.choice(["x", "y"]))] if rng.random() < 0.6 else []
+        rows.append((f"r{i:03d}", kind, warc.NOT_MODIFIED if kind == "revisit" else None, url, day + datetime.timedelta(hours=rng.randrange(60)) if rng.random() < 0.97 else None, 304 if kind == "revisit" else rng.choice([200, 200, 404]), headers, None, f"s{i}"))
+    got = {r.record_id: (r.of_record_id, r.verdict) for r in warc.resolve_revisits(spark.createDataFrame(rows, warc.RECORD), F.col("url")).collect()}
+
+    def head(row, name):
+        return next((v.removeprefix("W/") for k, v in row[6] if k.lower() == name), None)
+
+    expected = {}
+    for r in rows:
+        if r[1] != "revisit":
+            continue
+        able = [x for x in rows if x[1] == "response" and x[5] == 200 and x[3] == r[3] and r[3] and x[4] and r[4] and x[4] < r[4]]
+        if not able:
+            expected[r[0]] = (None, "missing")
+            continue
+        of = max(able, key=lambda x: (x[4], x[0]))
+        pairs = [(head(r, n), head(of, n)) for n in ("etag", "last-modified")]
+        same = next((a == b for a, b in pairs if a and b), None)
+        expected[r[0]] = (of[0], "unchecked" if same is None else "resolved" if same else "changed")
+    assert got == expected
+    assert warc.resolve_revisits(spark.createDataFrame([], warc.RECORD), F.col("url")).count() == 0
+
+
+def test_merged_headers_and_payload(spark):
+    stored, fresh = [("ETag", '"1"'), ("Content-Length", "4"), ("Date", "old")], [("date", "new"), ("Content-Length", "0"), ("Expires", "soon")]
+    day = datetime.datetime(2024, 1, 1)
+    rows = [("a", "response", None, "u", day, 200, stored, b"body", "s"), ("b", "revisit", warc.NOT_MODIFIED, "u", day + datetime.timedelta(1), 304, fresh, b"", "e")]
+    records = spark.createDataFrame(rows, warc.RECORD)
+    out = warc.with_payload(warc.resolve_revisits(records, F.col("url")), records).first()
+    assert [tuple(h) for h in out.headers] == [("ETag", '"1"'), ("Content-Length", "4"), ("date", "new"), ("Expires", "soon")] and bytes(out.payload) == b"body"
+    broken = warc.read_records(spark.createDataFrame([(1, None), (2, bytearray(b"")), (3, bytearray(b"WARC/1.1\r\nrubbish"))], "page_id int, warc binary"), ("page_id",)).collect()
+    assert [(r.page_id, r.kind) for r in broken] == [(3, "broken")]
+
+
+def test_pipeline_like_brute_force(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    (_, language), (_, near), (_, pseudonym), (_, mix), (_, encode) = pipeline.STAGES
+    here = str(tmp_path)
+    one = language(spark, docs, here)
+    rows = {r.doc_id: r for r in one.collect()}
+    langs, p = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    for r in docs.collect():
+        v = langid.bundle(r.text)
+        assert (r.doc_id in rows) == (v is not None and (p @ v).max() >= langid.NOISE)
+    two = near(spark, one, here)
+    assert {r.doc_id for r in two.collect()} == {d for d, _, _, kept in brute([(d, r.text) for d, r in rows.items()], pipeline.NEAR_PERCENT) if kept}
+    three = pseudonym(spark, two, here)
+    assert one.columns == two.columns == three.columns == docs.columns and three.count() == two.count()
+    four = mix(spark, three, here)
+    often = {r.doc_id: r.copies for r in mixing.mix(three).collect()}
+    assert four.columns == docs.columns and four.count() == sum(often.values())
+    five = encode(spark, four, here)
+    assert five.count() == four.count() and five.where("not exact").count() == 0
+    assert pipeline.run(spark, here).count() == five.count()
