@@ -91,7 +91,8 @@ def alignment(query: str, text: Column, meta: Column) -> Column:
 
 def recommended(score: Column) -> Column:
     """A stored recommendation within 0 and 1; FLOOR where it is missing or no number."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score.try_cast("double"))), F.lit(FLOOR))
+    x = score.try_cast("double")
+    return F.when(x.isNull() | F.isnan(x), FLOOR).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def eligible(index: DataFrame, query_vector: Column, query: str = "", minimum: float | None = None, exclude: bool = False, thresholds: DataFrame | None = None) -> DataFrame:
