@@ -12,12 +12,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that one vectorised step of a Python operator works on.
 STEP_BYTES = 2 << 20
+ARROW_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df; its session sends Python tasks no more than ARROW_ROWS rows at once, as rows with texts are long.
+
+    The default of ten thousand would take hundreds of MB outside of the heap for each task. A smaller setting stays.
+    """
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
+    return df
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A to Z and nothing else."""
     return F.translate(c, UPPER, LOWER)

@@ -14,9 +14,13 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+
+from palimpsest.llm.common import in_small_batches
 
 DIM = 512
 GRAM = 3
@@ -104,7 +108,7 @@ def train(labelled: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> tuple[list
                     sums.setdefault(lang, np.zeros(DIM, np.int64))[:] += np.rint(v * UNIT).astype(np.int64)
         yield pa.RecordBatch.from_pydict({"lang": list(sums), "v": [x.tolist() for x in sums.values()]}, pa.schema([("lang", pa.string()), ("v", pa.list_(pa.int64()))]))
 
-    parts = sample.mapInArrow(partial, "lang string, v array<long>")
+    parts = in_small_batches(sample).mapInArrow(partial, "lang string, v array<long>")
     total = parts.groupBy("lang").agg(F.array(*(F.sum(F.col("v")[i]) for i in range(DIM))).alias("v")).collect()
     langs = sorted(r.lang for r in total)
     by = {r.lang: np.array(r.v, np.float64) for r in total}
@@ -138,7 +142,7 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, keep: lis
 
     frame = docs.select(*keep, F.col("text").alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields if f.name != "_text")
-    return frame.mapInArrow(run, f"{fields + ', ' if fields else ''}lang_pred string, score double")
+    return in_small_batches(frame).mapInArrow(run, f"{fields + ', ' if fields else ''}lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, langs: list[str], prototypes: np.ndarray, least: float = NOISE) -> DataFrame:
@@ -146,9 +150,13 @@ def keep_known(docs: DataFrame, langs: list[str], prototypes: np.ndarray, least:
 
     A null text goes; with a model without languages nothing stays.
     """
-    own = [F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)]
-    judged = predict(docs.select(*own, "text"), langs, prototypes, [f"_{i}" for i in range(len(docs.columns))])
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+    @F.pandas_udf(BooleanType())
+    def known(texts: pd.Series) -> pd.Series:
+        made = (bundle(t) for t in texts)
+        return pd.Series([v is not None and bool(langs) and float((prototypes @ v).max()) >= least for v in made], dtype=bool)
+
+    return in_small_batches(docs).where(known("text"))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import checkpointed, sized, steps
+from palimpsest.llm.common import checkpointed, in_small_batches, sized, steps
 from palimpsest.llm.components import components
 from palimpsest.llm.shingles import K, digest, scramble, shingle_hashes, word_hashes
 
@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame
     doc_id. Rows that repeat a doc_id are kept or not each by its text. A null doc_id counts only where a component has
     no other; its kept is false unless the component_id is null too. Empty table: empty result.
     """
-    made = checkpointed(signatures(docs, k))
+    made = checkpointed(signatures(in_small_batches(docs), k))
     rows = made.count()
     classes = checkpointed(made.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), rows)
     bounds = classes.select("node", F.explode("bands").alias("band"))

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import in_small_batches
+
 RATE = 48_000
 BLOCK = 960  # samples of a packet
 ALIGN = 192
@@ -210,7 +212,7 @@ def store(docs: DataFrame, keep: list[str]) -> DataFrame:
             out = [b.column(c) for c in keep] + [pa.array([n for n, _ in made], pa.int64()), pa.array([write(p) for _, p in made], pa.binary())]
             yield pa.RecordBatch.from_arrays(out, [*keep, "n_bytes", "media"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{_fields(docs, keep)}n_bytes long, media binary")
+    return in_small_batches(docs).select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{_fields(docs, keep)}n_bytes long, media binary")
 
 
 def features(media: DataFrame, keep: list[str]) -> DataFrame:
@@ -235,7 +237,7 @@ def features(media: DataFrame, keep: list[str]) -> DataFrame:
             out = [b.column(c) for c in keep] + [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(out, [*keep, *(x.split()[0] for x in SCHEMA.split(", ")[1:])])
 
-    return media.select(*keep, "media").mapInArrow(run, f"{_fields(media, keep)}{SCHEMA.split(', ', 1)[1]}")
+    return in_small_batches(media).select(*keep, "media").mapInArrow(run, f"{_fields(media, keep)}{SCHEMA.split(', ', 1)[1]}")
 
 
 def _fields(df: DataFrame, keep: list[str]) -> str:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import STEP_BYTES
+from palimpsest.llm.common import STEP_BYTES, in_small_batches
 from palimpsest.llm.shingles import scramble
 
 #: Level whose phrase names make the sketch, and how many of them (32 bits each).
@@ -203,7 +203,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     single row is its own next. A null text counts as empty; an empty text's fingerprint has no phrases and is like
     another empty one only. Empty table: empty result.
     """
-    dealt = _dealt(docs)
+    dealt = _dealt(in_small_batches(docs))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "ghost", "_id", "text").drop("_id")
     return ordered.mapInArrow(_run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import steps
+from palimpsest.llm.common import in_small_batches, steps
 from palimpsest.llm.shingles import scramble
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -389,7 +389,7 @@ def encode(docs: DataFrame, keep: list[str], path: str = VOCABULARY, k: int = SA
                 yield pa.RecordBatch.from_arrays([*(b[c].slice(x, z - x) for c in keep), pa.array(out, kind), *more], [*keep, "samples", *["exact"] * check])
 
     frame = docs.select(*keep, F.col("text").alias("_text"), F.xxhash64("doc_id").alias("_key"))
-    return frame.mapInArrow(run, "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + f"samples array<{SAMPLE}>" + ", exact boolean" * check)
+    return in_small_batches(frame).mapInArrow(run, "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + f"samples array<{SAMPLE}>" + ", exact boolean" * check)
 
 
 def decode_ids(ids: bytes, m: Model) -> str:
@@ -406,4 +406,4 @@ def decode(coded: DataFrame, keep: list[str], path: str = VOCABULARY) -> DataFra
             out = [None if s is None else [decode_ids(x["ids"], m) for x in s] for s in b["samples"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(out, pa.list_(pa.string()))], [*keep, "decoded"])
 
-    return coded.mapInArrow(run, "".join(f"`{c}` {coded.schema[c].dataType.simpleString()}, " for c in keep) + "decoded array<string>")
+    return in_small_batches(coded).mapInArrow(run, "".join(f"`{c}` {coded.schema[c].dataType.simpleString()}, " for c in keep) + "decoded array<string>")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from palimpsest.llm.common import checkpointed
+from palimpsest.llm.common import checkpointed, in_small_batches
 
 NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 #: Headers of a 304 answer that don't replace stored ones, as they belong to a connection or a body.
@@ -115,7 +115,7 @@ def read_records(archives: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(b[c].take(pa.array(of)) for c in keep), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], [*keep, *names])
 
     fields = "".join(f"`{c}` {archives.schema[c].dataType.simpleString()}, " for c in keep)
-    return archives.select(*keep, "warc").mapInArrow(run, fields + RECORD)
+    return in_small_batches(archives).select(*keep, "warc").mapInArrow(run, fields + RECORD)
 
 
 def header(headers: Column, name: str) -> Column:
