@@ -138,3 +138,18 @@ def test_fields_and_limits(spark):
     with pytest.raises(ValueError):
         lexical.by_fields(df, a=" ")
     assert [lexical.limit_of(x, 50, 1, 200) for x in (None, 0, -3, 7, 999)] == [50, 50, 1, 7, 200]
+
+
+def test_cards(spark):
+    from palimpsest.operators import cards
+
+    df = spark.createDataFrame([({"title": "T", "area": "x", "autor": "a"}, {"title": "U", "area": "x", "page": "3", "author": "A", "z": " "})], "base map<string,string>, raw map<string,string>")
+    made = df.select(cards.merged_metadata(F.col("base"), F.col("raw")).alias("m")).select("m", cards.without_aliases(F.col("m")).alias("n")).first()
+    assert made.m == {"title": "T", "area": "x", "autor": "a", "raw_title": "U", "page": "3", "author": "A"} and set(made.n) == set(made.m) - {"autor"}
+    rows = spark.createDataFrame([("p|q", "m", "b", "t", "4", 97.32, "inicio"), (None, None, None, None, None, None, None)], "a string, b string, c string, d string, e string, f double, g string")
+    lines = [r.line for r in cards.citation_rows(rows, "a", "b", "c", "d", "e", "f", "g").collect()]
+    assert lines == ["| p\\|q | m | b | t | 4 | 97.32 | inicio |", "| N/D | N/D | N/D | N/D | N/D | 0.00 | sem_match |"]
+    assert cards.highlight_terms('abc* & "de fgh" !zz') == ["de fgh", "abc"]
+    one = spark.createDataFrame([('"Pergunta" | W: W: Resposta', "**b** *i* <x> [l](http://a)", "<b>b</b> <i>i</i>&lt;")], "q string, m string, h string")
+    got = one.select(cards.answer_text(F.col("q")), cards.inline_html(F.col("m")), cards.inline_markdown(F.col("h")), cards.numbered(F.lit(3), F.lit(12)), cards.dictionary_card(F.lit("t"), F.array(F.lit("d")), F.array(F.lit("s")), F.array().cast("array<string>"))).first()
+    assert tuple(got) == ('**"Pergunta"**\n**W:** Resposta', '<strong>b</strong> <em>i</em> &lt;x&gt; <a href="http://a">l</a>', "**b** *i*<", "03", "**t**\n- d\nSinonimos: s")
