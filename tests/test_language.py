@@ -153,3 +153,14 @@ def test_cards(spark):
     one = spark.createDataFrame([('"Pergunta" | W: W: Resposta', "**b** *i* <x> [l](http://a)", "<b>b</b> <i>i</i>&lt;")], "q string, m string, h string")
     got = one.select(cards.answer_text(F.col("q")), cards.inline_html(F.col("m")), cards.inline_markdown(F.col("h")), cards.numbered(F.lit(3), F.lit(12)), cards.dictionary_card(F.lit("t"), F.array(F.lit("d")), F.array(F.lit("s")), F.array().cast("array<string>"))).first()
     assert tuple(got) == ('**"Pergunta"**\n**W:** Resposta', '<strong>b</strong> <em>i</em> &lt;x&gt; <a href="http://a">l</a>', "**b** *i*<", "03", "**t**\n- d\nSinonimos: s")
+
+
+def test_definitions(spark):
+    from palimpsest.functions import definitions
+
+    made = definitions.normalised(["1. MORADIA; habitação", "2. Moradia", "s.m. casa &amp; lar  [nota]"])
+    assert made == ["Habitação", "Moradia", "Casa & lar"]
+    assert definitions.normalised(["lugar onde se vive", "LAR"]) == ["Lugar onde se vive. Sinonimo: lar."]
+    assert "Sinonimos: lar" in definitions.clean_definition("casa LAR, MORADA: onde se vive")
+    df = spark.createDataFrame([(["um", "dois", "Um"],), (None,)], "d array<string>")
+    assert [r[0] for r in df.select(definitions.definitions("d")).collect()] == [["Um", "Dois"], None]
