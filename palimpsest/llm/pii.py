@@ -1,7 +1,7 @@
 """PII: format-preserving pseudonyms by a keyed Feistel permutation, as DataFrame expressions.
 
 Numbers that pass their check (payment cards: Luhn; IBAN: mod 97; IPv4: octets; dates: the calendar; phone and social
-security numbers: their form), e-mail addresses and long hexadecimal secrets are replaced by others of the same form.
+security numbers: their form), e-mail addresses and secrets (long hexadecimal ones, access keys, passwords) are replaced by others of the same form.
 The permutation depends on key, kind and the value without its separators, so equal values get equal pseudonyms in all
 documents, and different values different ones. What fails its check stays as it is.
 
@@ -24,6 +24,8 @@ FIRST_DAY, DAY_HALVES = "1900-01-01", (319, 229)
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "secret": r"(?<![A-Za-z0-9])[0-9a-f]{32,64}+(?![A-Za-z0-9])",
+    "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "password": r"(?<=(?<![A-Za-z])(?:password|passwd|pwd)[=:])[A-Za-z0-9]{6,64}+(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-])",
     "ipv4": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
@@ -175,16 +177,17 @@ def _phone(m: Column, key: str) -> Column:
 
 
 def kind_of(m: Column) -> Column:
-    out = F.lit("card")
-    for k, p in list(KINDS.items())[-2::-1]:
-        out = F.when(m.rlike(f"^(?:{p})$"), k).otherwise(out)
+    out = F.lit("password")  # known by what stands before it
+    for k, p in list(KINDS.items())[::-1]:
+        if k != "password":
+            out = F.when(m.rlike(f"^(?:{p})$"), k).otherwise(out)
     return out
 
 
 def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
     """The pseudonym of one match; null if the value fails its check."""
     by = {
-        "email": _email(m, key), "secret": feistel_text(m, "secret", key, (DIGITS + "abcdef",)), "iban": _iban(m, key), "date": _date(m, key),
+        "email": _email(m, key), "secret": feistel_text(m, "secret", key, (DIGITS + "abcdef",)), "key": F.concat(F.lit("AKIA"), feistel_text(F.substring(m, 5, 16), "key", key, (DIGITS + UPPER,))), "password": feistel_text(m, "password", key, (DIGITS + LOWER + UPPER,)), "iban": _iban(m, key), "date": _date(m, key),
         "ipv4": _ipv4(m, key), "ssn": _digits(m, "ssn", key), "phone": _phone(m, key), "card": _card(m, key),
     }
     out = F.lit(None).cast("string")
