@@ -180,3 +180,34 @@ def test_chains_like_brute_force(seed):
     assert best <= max(score) + 1e-9
     if all(max(np.diff(a[c]).max(initial=0), np.diff(p[c]).max(initial=0)) <= passages.MOST_GAP + passages.K for c in found):
         assert best == pytest.approx(max(score))
+
+
+@pytest.mark.parametrize("blocks", [(30, 8, 30), (45, 12, 45), (49, 13, 49), (20, 3, 20, 4, 20), (45, 12, 33, 16, 45), (48,), (30, 20, 30)])
+def test_stretches_of_block_edits(blocks):
+    """Blocks of equal and of replaced words in turn: what stretches of 50 words and 0.8 cover, like brute force."""
+    rng = random.Random(sum(blocks))
+    same = np.concatenate([rng.choices([True, False], [1, 15], k=60), *(np.full(n, i % 2 == 0) for i, n in enumerate(blocks)), rng.choices([True, False], [1, 15], k=60)])
+    n, total = len(same), np.r_[0, np.cumsum(same)]
+    every = [(s, e) for s in range(n) for e in range(s + 50, n + 1) if same[s] and same[e - 1] and 5 * (total[e] - total[s]) >= 4 * (e - s)]
+    x, y = np.arange(n), np.where(same, np.arange(n), -1)
+    at = np.array([60])
+    got = passages.align(x, y, at, at)
+    assert all((s, e) in every and not any((u < s and v >= e) or (u <= s and v > e) for u, v in every) for s, e, *_ in got)
+    assert {i for s, e, *_ in got for i in range(s, e)} == {i for s, e in every for i in range(s, e)}
+    assert bool(got) or blocks in ((48,), (30, 20, 30))
+
+
+def test_passage_with_a_replaced_block(spark):
+    rng = random.Random(8)
+
+    def fill(n):
+        return words(rng, n, 100_000)
+
+    a, b = fill(49), fill(49)
+    rows = [(1, " ".join(fill(70) + a + fill(13) + b + fill(70))), (2, " ".join(fill(90) + a + fill(13) + b)), (3, " ".join(fill(200)))]
+    got = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert set(got) == {1, 2}
+    assert len(spans_of(got[1]) ^ set(range(70, 181))) <= 4 and len(spans_of(got[2]) ^ set(range(90, 201))) <= 4
+    c = fill(60)
+    beside = spark.createDataFrame([(4, " ".join(c + c + fill(40)))], "doc long, text string")
+    assert [(r.start, r.end, r.pivot_start, r.pivot_end) for r in passages.passages(beside).collect()] == [(60, 120, 0, 60)]
