@@ -211,3 +211,22 @@ def test_passage_with_a_replaced_block(spark):
     c = fill(60)
     beside = spark.createDataFrame([(4, " ".join(c + c + fill(40)))], "doc long, text string")
     assert [(r.start, r.end, r.pivot_start, r.pivot_end) for r in passages.passages(beside).collect()] == [(60, 120, 0, 60)]
+
+
+@pytest.mark.parametrize("size, earlier", [(50, 46), (52, 48), (55, 45), (60, 48)])
+def test_passage_whose_keys_stand_in_earlier_documents(spark, size, earlier):
+    """Earlier documents share less than 50 words with two later ones that have the whole passage."""
+    rng = random.Random(size)
+
+    def fill(n):
+        return words(rng, n, 100_000)
+
+    rows = []
+    for i in range(20):
+        shared = fill(size)
+        runs = [shared[s : s + earlier] for s in {*range(0, size - earlier, 3), size - earlier}] * 5
+        rows += [(100 * i + k, " ".join(fill(40) + run + fill(40))) for k, run in enumerate(runs)]
+        rows += [(100 * i + 90 + k, " ".join(fill(50) + shared + fill(30))) for k in range(2)]
+    found = passages.passages(spark.createDataFrame(rows, "doc long, text string")).collect()
+    got = {(r.doc, r.pivot) for r in found}
+    assert {(100 * i + 91, 100 * i + 90) for i in range(20)} <= got
