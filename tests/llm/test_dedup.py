@@ -230,3 +230,21 @@ def test_passage_whose_keys_stand_in_earlier_documents(spark, size, earlier):
     found = passages.passages(spark.createDataFrame(rows, "doc long, text string")).collect()
     got = {(r.doc, r.pivot) for r in found}
     assert {(100 * i + 91, 100 * i + 90) for i in range(20)} <= got
+
+
+def test_fuzzy_passages_meet(spark):
+    """Pairs with a passage of randomly replaced words, at least 0.8 alike, are all found."""
+    rng = random.Random(12)
+    rows, pairs = [], set()
+    for n in (50, 60, 100, 150):
+        for percent in (5, 10, 15, 20):
+            for _ in range(4):
+                base = words(rng, n, 100_000)
+                edited = list(base)
+                for i in rng.sample(range(1, n - 1), n * percent // 100):
+                    edited[i] = f"new{rng.randrange(100_000)}"
+                d = len(rows)
+                rows += [(d + k, " ".join(words(rng, 40, 100_000) + part + words(rng, 60, 100_000))) for k, part in enumerate((base, edited))]
+                pairs.add((d + 1, d))
+    found = {(r.doc, r.pivot) for r in passages.passages(spark.createDataFrame(rows, "doc long, text string")).collect()}
+    assert found == pairs
