@@ -31,8 +31,13 @@ KINDS = {
     "ipv4": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
-    "card": r"(?<!\d)\d(?:[ -]?\d){12,18}+(?!\d)",
 }
+#: A whole run of groups of digits, up to where another kind begins; card_parts() looks for the cards in it.
+_SEPARATOR = r"(?:-| (?!{}))".format("|".join(KINDS[k] for k in ("date", "ipv4", "ssn", "phone")))
+KINDS["card"] = rf"(?<!\d)(?!\d{{20,}}+(?!{_SEPARATOR}\d))\d(?:{_SEPARATOR}?+\d){{12,}}+"
+#: What only such a run is; a password has no separators.
+CARD_RUN = r"\d{13,19}|\d+[ -][\d -]*"
+CARD_DIGITS = (13, 19)
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 
 
@@ -123,6 +128,41 @@ def _card(m: Column, key: str) -> Column:
     return _let(_bare(m), new)
 
 
+def card_parts(m: Column) -> Column:
+    """A run of groups of digits as parts (m, kind): cards, and with a null kind what stands before, between and behind them.
+
+    From left to right, a card is the longest row of whole groups that begins here, has 13 to 19 digits and passes Luhn.
+    """
+
+    def part(groups: Column, start: Column, end: Column, kind: str | None) -> Column:
+        return F.struct(F.array_join(F.slice(groups, start, end - start + 1), "").alias("m"), F.lit(kind).cast("string").alias("kind"))
+
+    def of_groups(groups: Column) -> Column:
+        n = F.size(groups)
+
+        def end_from(i: Column) -> Column:
+            def valid(j: Column) -> Column:
+                return _let(_bare(F.array_join(F.slice(groups, i, j - i + 1), "")), lambda d: F.when(F.length(d).between(*CARD_DIGITS), luhn(d) % 10 == 0).otherwise(False))
+
+            return F.struct(i.alias("start"), F.array_max(F.filter(F.sequence(i, F.least(i + CARD_DIGITS[1] - 1, n)), valid)).alias("end"))
+
+        found = F.filter(F.transform(F.sequence(F.lit(1), n), end_from), lambda x: x["end"].isNotNull())
+        none = F.array().cast("array<struct<start:int,end:int,before:int>>")
+        start = F.struct(none.alias("cards"), F.lit(0).alias("last"))
+
+        def step(x: Column, c: Column) -> Column:
+            more = F.concat(x["cards"], F.array(F.struct(c["start"].alias("start"), c["end"].alias("end"), x["last"].alias("before"))))
+            return F.when(c["start"] > x["last"], F.struct(more.alias("cards"), c["end"].alias("last"))).otherwise(x)
+
+        def parts(x: Column) -> Column:
+            cards = F.transform(x["cards"], lambda c: F.array(part(groups, c["before"] + 1, c["start"] - 1, None), part(groups, c["start"], c["end"], "card")))
+            return F.concat(F.flatten(cards), F.array(part(groups, x["last"] + 1, n, None)))
+
+        return _let(F.aggregate(found, start, step), parts)
+
+    return _let(F.regexp_extract_all(m, F.lit(r"\d+[ -]?"), 0), of_groups)
+
+
 def _iban(m: Column, key: str) -> Column:
     def new(x: Column) -> Column:
         country, body = F.substring(x, 1, 2), F.substring(x, F.lit(5), F.length(x))
@@ -180,7 +220,7 @@ def kind_of(m: Column) -> Column:
     out = F.lit("password")  # known by what stands before it
     for k, p in list(KINDS.items())[::-1]:
         if k != "password":
-            out = F.when(m.rlike(f"^(?:{p})$"), k).otherwise(out)
+            out = F.when(m.rlike(f"^(?:{CARD_RUN if k == 'card' else p})$"), k).otherwise(out)
     return out
 
 
@@ -205,8 +245,10 @@ def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text") -> DataF
     text = F.col(column)
     some = text.rlike("[0-9@]|(?:password|passwd|pwd)[=:]")
     made = docs.withColumn("_found", F.when(some, F.transform(F.regexp_extract_all(text, F.lit(PATTERN), 0), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))))
-    made = made.withColumn("_new", F.transform("_found", lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), pseudonym(x["m"], x["kind"], key).alias("new"))))
-    joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), F.col("_new"), lambda t, x: F.concat(t, F.coalesce(x["new"], x["m"], F.lit("")))), "")
+    made = made.withColumn("_found", F.transform("_found", lambda x: F.when(x["kind"] == "card", card_parts(x["m"])).otherwise(F.array(x))))
+    made = made.withColumn("_new", F.transform("_found", lambda parts: F.transform(parts, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), pseudonym(x["m"], x["kind"], key).alias("new")))))
+    whole = F.transform("_new", lambda parts: F.array_join(F.transform(parts, lambda x: F.coalesce(x["new"], x["m"])), ""))
+    joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), whole, lambda t, x: F.concat(t, F.coalesce(x, F.lit("")))), "")
     none = F.array().cast("array<struct<kind:string,new:string>>")
-    said = F.transform(F.filter("_new", lambda x: x["new"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["new"].alias("new")))
+    said = F.transform(F.filter(F.flatten("_new"), lambda x: x["new"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["new"].alias("new")))
     return made.withColumns({column: F.when(F.size("_found") > 0, joined).otherwise(text), "pii": F.when(text.isNotNull(), F.coalesce(said, none))}).drop("_found", "_new")

@@ -230,3 +230,20 @@ def test_pipeline_like_brute_force(spark, tmp_path):
     five = encode(spark, four, here)
     assert five.count() == four.count() and five.where("not exact").count() == 0
     assert pipeline.run(spark, here).count() == five.count()
+
+
+def test_cards_with_digits_beside_them(spark):
+    card, other = "4111 1111 1111 1111", "5500 0000 0000 0004"
+    texts = [
+        f"{card} 03/25", "4111111111111111 123", f"{card} 2026", f"{card} {other}", f"pay {card}-{other} 12", "7536784127813050 48451681144073",
+        f"{card} 2024-01-02", f"{card} 192.168.0.1", f"{card} 123-45-6789", f"{card} 555-123-4567", card, "4111111111111112 123", "12345678901234567890 2024-13-45", "password=12345678901234567890",
+    ]
+    new, found = pseudonyms(spark, texts)
+    kinds = [[x.kind for x in f] for f in found]
+    assert kinds == [["card"], ["card"], ["card"], ["card", "card"], ["card", "card"], ["card"], ["card", "date"], ["card", "ipv4"], ["card", "ssn"], ["card", "phone"], ["card"], [], [], ["password"]]
+    assert new[0].endswith(" 03/25") and new[1].endswith(" 123") and new[2].endswith(" 2026") and new[4].endswith(" 12") and new[5].endswith(" 48451681144073")
+    alone = new[10]
+    assert alone != card and luhn_ok(alone)
+    assert all(new[i].startswith(alone) for i in (0, 2, 3, 6, 7, 8, 9)) and new[1].startswith(alone.replace(" ", ""))
+    assert all(card not in t and other not in t for t in new) and luhn_ok(new[3][20:])
+    assert new[11:13] == texts[11:13]
