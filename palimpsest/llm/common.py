@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 #: Words of the contracts: runs of anything but space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bytes of text that one vectorised step of a Python operator works on.
-STEP_BYTES = 2 << 20
+#: Bytes of text that one vectorised step of a Python operator works on; its arrays have some fifty times as many.
+STEP_BYTES = 1 << 19
 ARROW_ROWS = 1000
 
 
@@ -35,24 +35,24 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-#: Rows of a small table that one partition may hold, and of one that may be broadcast.
+#: Rows of a table of ids and links (100 bytes a row at most) that one partition may hold, and that may be broadcast.
 PART_ROWS, BROADCAST_ROWS = 20_000, 500_000
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:
-    """df, to be broadcast if it has no more rows than BROADCAST_ROWS."""
+    """df, of ids and links, to be broadcast if it has no more rows than BROADCAST_ROWS."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df, computed once and kept in the folder of spark.checkpoint.dir, which all machines share.
 
-    With a bound of its rows, df is kept in no more partitions than they need. Only where the session names no folder
-    (local tests), a temporary one is set.
+    With a bound of its rows, for tables of ids and links, df is kept in no more partitions than they need, but in one
+    for each core at least. Only where the session names no folder (local tests), a temporary one is set.
     """
-    if rows is not None and (parts := -(-rows // PART_ROWS) or 1) < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        df = df.coalesce(parts)
     context = df.sparkSession.sparkContext
+    if rows is not None and (parts := max(-(-rows // PART_ROWS), context.defaultParallelism)) < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(parts)
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
@@ -60,6 +60,14 @@ def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.checkpoint()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one made from it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def steps(sizes, most: int = STEP_BYTES):
     """Index ranges (start, end) of consecutive items that together have about `most` bytes; one large item stands alone."""
     start, total = 0, 0

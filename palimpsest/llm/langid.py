@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from palimpsest.llm.common import in_small_batches
+from palimpsest.llm.common import free_name, in_small_batches
 
 DIM = 512
 GRAM = 3
@@ -30,17 +30,26 @@ SEED = 20_240_501
 ROWS_PER_LANG = 4000
 MOST_LANGS = 4096
 UNIT = 1 << 20
+#: Distinct n-grams whose vectors are bundled at once.
+STEP = 2048
 #: Cosine of a text with a language below which it is as unlike as random vectors are (two standard deviations).
 NOISE = 2 / DIM**0.5
+#: N-grams that a text must have to be told from noise.
+GRAMS_TOLD = 40
 
 
 @functools.cache
-def gram_vectors(dim: int = DIM) -> np.ndarray:
-    """The bound vectors of all CLASSES ** GRAM n-grams, as int8."""
-    letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (CLASSES, dim))
-    out = letters
-    for place in range(1, GRAM):
-        out = (np.roll(out, 1, axis=-1)[:, None, :] * letters[None, :, :]).reshape(-1, dim)
+def _letters() -> list[np.ndarray]:
+    """The random vectors of all classes, permuted for each place of an n-gram, the first place first."""
+    letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (CLASSES, DIM))
+    return [np.roll(letters, GRAM - 1 - place, axis=1) for place in range(GRAM)]
+
+
+def gram_vectors(which: np.ndarray) -> np.ndarray:
+    """The bound vectors of n-grams given by number."""
+    out = np.ones((len(which), DIM), np.int8)
+    for place, letters in enumerate(_letters()):
+        out *= letters[which // CLASSES ** (GRAM - 1 - place) % CLASSES]
     return out
 
 
@@ -80,8 +89,8 @@ def bundle(text: str | None) -> np.ndarray | None:
     if not len(which):
         return None
     v = np.zeros(DIM, np.float64)
-    for a in range(0, len(which), 8192):  # long texts by parts
-        v += often[a : a + 8192].astype(np.float32) @ gram_vectors()[which[a : a + 8192]].astype(np.float32)
+    for a in range(0, len(which), STEP):  # long texts by parts
+        v += often[a : a + STEP].astype(np.float32) @ gram_vectors(which[a : a + STEP]).astype(np.float32)
     n = np.sqrt(v @ v)
     return v / n if n else v
 
@@ -127,7 +136,7 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, keep: lis
     def run(batches):
         for b in batches:
             pred, score = [], []
-            for t in b["_text"].to_pylist():
+            for t in b[name].to_pylist():
                 v = bundle(t)
                 if v is None or not langs:
                     pred.append("und")
@@ -137,24 +146,31 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, keep: lis
                     k = int(np.argmax(s))
                     pred.append(langs[k])
                     score.append(float(min(1.0, max(0.0, s[k]))))
-            b = b.drop_columns(["_text"])
+            b = b.drop_columns([name])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
-    frame = docs.select(*keep, F.col("text").alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields if f.name != "_text")
+    name = free_name(docs, "_text")
+    frame = docs.select(*keep, F.col("text").alias(name))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields if f.name != name)
     return in_small_batches(frame).mapInArrow(run, f"{fields + ', ' if fields else ''}lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, langs: list[str], prototypes: np.ndarray, least: float = NOISE) -> DataFrame:
+def keep_known(docs: DataFrame, langs: list[str], prototypes: np.ndarray, least: float = NOISE, grams_told: int = GRAMS_TOLD) -> DataFrame:
     """The rows of docs whose text has letters and a cosine of at least `least` with some language; all of docs' columns.
 
-    A null text goes; with a model without languages nothing stays.
+    A text of fewer n-grams than `grams_told` stays, as its cosine says too little. A null text goes; with a model
+    without languages nothing stays. Repeated rows are judged alike. Empty table: no rows.
     """
 
     @F.pandas_udf(BooleanType())
     def known(texts: pd.Series) -> pd.Series:
-        made = (bundle(t) for t in texts)
-        return pd.Series([v is not None and bool(langs) and float((prototypes @ v).max()) >= least for v in made], dtype=bool)
+        def one(t: str | None) -> bool:
+            which, often = grams(t)
+            if not len(which) or not langs:
+                return False
+            return int(often.sum()) < grams_told or float((prototypes @ bundle(t)).max()) >= least
+
+        return pd.Series([one(t) for t in texts], dtype=bool)
 
     return in_small_batches(docs).where(known("text"))
 

@@ -9,6 +9,9 @@ import numpy as np
 
 K = 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
+#: Powers that are kept: enough for the texts of a step and some more.
+KEPT = 1 << 20
 _NEXT = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
@@ -24,15 +27,20 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
-    out = []
-    for base in (_ODD, inverse):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+    """The first n powers of _ODD and of its inverse; those that usual steps need are kept."""
+    return tuple(x[:n] for x in _kept_powers()) if n <= KEPT else (_power_row(_ODD, n), _power_row(_INVERSE, n))
+
+
+def _power_row(base: np.uint64, n: int) -> np.ndarray:
+    p = np.full(n, base, np.uint64)
+    p[0] = 1
+    return np.multiply.accumulate(p, out=p)
+
+
+@functools.cache
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _power_row(_ODD, KEPT), _power_row(_INVERSE, KEPT)
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -48,9 +56,9 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     if not gap[0]:
         edge = np.r_[0, edge]
     start, end = edge[::2], edge[1::2]
-    up, down = _powers(max(1 << 21, 1 << int(len(data)).bit_length()))
+    up, down = _powers(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+    np.cumsum(_BYTE[data] * up, out=total[1:])
     words = scramble((total[end] - total[start]) * down[start])
     return words, np.r_[0, np.searchsorted(start, ends)].astype(np.int64)
 
