@@ -13,8 +13,8 @@ What then still stands apart in a bucket is dealt anew by an exact condition: tw
 have c = ceil(t / (1 + t) (|A| + |B|)) shingles in common, so one of the rarest |A| - c + 1 of A is one of the rarest
 |B| - c + 1 of B. What a copy was changed in makes shingles that few others have, and where these are too many it meets
 nobody. As c depends on both sizes, buckets are for sizes in steps of SIZE_STEP too, those of the smaller set. Groups of
-sets that are left connected are compared in blocks of bounded size against blocks, each as a matrix product; a pair of
-blocks emits a spanning forest of its links. No candidate is dropped.
+sets that are left connected are compared in blocks of bounded size against blocks, each as a matrix product, but for
+blocks that one component has for itself; a pair of blocks emits a spanning forest of its links. No candidate is dropped.
 """
 
 from __future__ import annotations
@@ -40,8 +40,6 @@ PIVOTS = 8
 #: Sets, and bytes of them, in a block.
 BLOCK_SETS, BLOCK_BYTES = 512, 8 << 20
 SIZE_STEP = 1.02
-#: So many document ids may be broadcast.
-BROADCAST_IDS = 500_000
 
 _rng = np.random.default_rng(5)
 _TIMES = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) | np.uint64(1)
@@ -81,10 +79,10 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def signatures(docs: DataFrame, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set), bands, sketch; the last three null for a text without words."""
+    """doc_id, n_shingles, digest (of the set), bands, sketch; the last three null for a text without words."""
 
     def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
         for ids, sets in _sets(batches, k):
             full = [s for s in sets if len(s)]
             mins = min_hashes(full) if full else np.zeros((0, SAMPLES), np.uint64)
@@ -94,7 +92,7 @@ def signatures(docs: DataFrame, k: int = K) -> DataFrame:
                 schema=schema,
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, bands array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
 def _sets(batches, k: int):
@@ -107,17 +105,19 @@ def _sets(batches, k: int):
             yield b["doc_id"][a:z], [np.unique(shingle_hashes(words[at[i] : at[i + 1]], k)) for i in range(z - a)]
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(node, full) of the documents with these ids: the sorted set, eight bytes a shingle."""
-    few = ids.count() <= BROADCAST_IDS
-    ids = ids.withColumnRenamed("doc_id", "_id")
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+def _full_sets(docs: DataFrame, wanted: DataFrame, rows: int, k: int) -> DataFrame:
+    """(node, full) of the classes wanted (node, rep, digest): the sorted set, eight bytes a shingle."""
+    ids = checkpointed(wanted.select(F.col("rep").alias("_id")).distinct(), rows)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    some = docs.select("doc_id", "text").join(sized(ids, ids.count()), same, "left_semi")
 
     def run(batches):
         for _, sets in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "full"])
+            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "full"])
 
-    return some.mapInArrow(run, "node binary, full binary").dropDuplicates(["node"])
+    # rows that repeat a doc_id, or its text, give a set that is not wanted, or one twice
+    made = some.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "digest binary, full binary")
+    return made.join(sized(wanted.select("node", "digest"), rows), "digest").select("node", "full").dropDuplicates(["node"])
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -130,11 +130,12 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             for node, full in zip(b["node"].to_pylist(), b["full"].to_pylist(), strict=True):
                 tokens = np.frombuffer(full, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array([node] * len(tokens), pa.binary()), pa.array(np.full(len(tokens), len(tokens), np.int64))], ["band", "node", "total"])
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.full(len(tokens), node, np.int64)), pa.array(np.full(len(tokens), len(tokens), np.int64))], ["band", "node", "total"])
 
-    tokens = sets.mapInArrow(run, "band long, node binary, total long")
+    tokens = sets.mapInArrow(run, "band long, node long, total long")
     often = tokens.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = tokens.join(often, "band").groupBy("node").agg(F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("n", "band"))).alias("by"))
+
     def step(size: Column) -> Column:
         return F.floor(F.ln(size.cast("double")) / F.lit(math.log(SIZE_STEP))).cast("int")
 
@@ -151,20 +152,35 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _block_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect what is connected among the sets (node, full, group) of each group."""
-    per = sets.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.length("full")).alias("size")).where("n > 1")
-    per = per.select("group", F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("size") / BLOCK_BYTES)).alias("blocks"))
-    dealt = sets.join(per, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    """Links (a, b) that connect what is connected among the sets (node, full, group, root) of each group.
+
+    Roots of a quarter of a block or more have blocks of their own, the others share blocks; two blocks of one root are
+    connected already and not compared. So a group costs what is not yet linked times its size.
+    """
+    per = sets.groupBy("group", "root").agg(F.count("*").alias("n"), F.sum(F.length("full")).alias("size"))
+    own = (F.col("n") >= BLOCK_SETS // 4) | (F.col("size") >= BLOCK_BYTES // 4)
+    labels = checkpointed(per.select("group", "root", "n", "size", F.when(own, F.col("root")).alias("label")))
+    blocks = labels.groupBy("group", "label").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    open_ = labels.groupBy("group").agg(F.count("*").alias("roots")).where("roots > 1").select("group")
+    # a group has as many blocks as its sets fill
+    parts_of = blocks.join(open_, "group").groupBy("group").agg(F.array_sort(F.collect_list(F.struct("label", "blocks"))).alias("parts"))
+    every = F.flatten(F.transform("parts", lambda p: F.transform(F.sequence(F.lit(0), p["blocks"] - 1), lambda i: F.struct(p["label"].alias("label"), i.alias("i")))))
+    dealt = sets.join(labels.select("group", "root", "label"), ["group", "root"]).join(parts_of.select("group", every.alias("all")), "group")
+    mine = F.filter("all", lambda b: b["label"].eqNullSafe(F.col("label")))
+    dealt = dealt.withColumn("at", F.get(mine, F.pmod(F.xxhash64("node"), F.size(mine)).cast("int")))
+    # a block of shared ones is compared with itself too
+    others = F.filter("all", lambda b: b["label"].isNull() | ~b["label"].eqNullSafe(F.col("label")))
+    dealt = dealt.select("group", "node", "full", "at", F.explode(others).alias("other"))
+    order = F.array_sort(F.array("at", "other"))
+    dealt = dealt.select("group", order[0].alias("i"), order[1].alias("j"), (order[0] == F.col("at")).alias("first"), "node", "full")
     keys = ["group", "i", "j"]
-    dealt = dealt.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "full")
 
     def run(batches):
         key, held = None, []
 
         def out():
-            pairs = _forest([(r["node"], r["own"] == key[1], np.frombuffer(r["full"], np.uint64)) for r in held], key[1] == key[2], percent)
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())], ["a", "b"])
+            pairs = _forest([(r["node"], r["first"], np.frombuffer(r["full"], np.uint64)) for r in held], key[1] == key[2], percent)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
 
         for b in batches:
             for row in b.to_pylist():
@@ -178,10 +194,10 @@ def _block_links(sets: DataFrame, percent: int) -> DataFrame:
             yield out()
 
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary")
+    return dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def _forest(rows: list[tuple[bytes, bool, np.ndarray]], whole: bool, percent: int) -> list[tuple[bytes, bytes]]:
+def _forest(rows: list[tuple[int, bool, np.ndarray]], whole: bool, percent: int) -> list[tuple[int, int]]:
     """Links that connect the linked ones among rows (node, in the first block, set); without `whole` only across blocks."""
     size = np.array([len(r[2]) for r in rows])
     who = np.repeat(np.arange(len(rows)), size)
@@ -231,7 +247,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("full").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("full").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame:
@@ -245,7 +261,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame
     """
     made = checkpointed(signatures(in_small_batches(docs), k))
     rows = made.count()
-    classes = checkpointed(made.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), rows)
+    found_sets = made.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    # a class's number holds from here on, as the table is kept
+    classes = checkpointed(found_sets.withColumn("node", F.monotonically_increasing_id()))
     bounds = classes.select("node", F.explode("bands").alias("band"))
     sketches = classes.select("node", "sketch")
     links, roots, wanted = None, None, percent / 100 - MARGIN
@@ -258,8 +276,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame
 
     def full_sets(nodes: DataFrame) -> DataFrame:
         nodes = checkpointed(nodes, rows)
-        ids = classes.select("node", "rep").join(sized(nodes, nodes.count()), "node").select(F.col("rep").alias("doc_id")).distinct()
-        return checkpointed(_full_sets(docs, checkpointed(ids, rows), k), rows)
+        wanted = checkpointed(classes.select("node", "rep", "digest").join(sized(nodes, nodes.count()), "node"), rows)
+        return checkpointed(_full_sets(docs, wanted, wanted.count(), k))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -294,31 +312,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame
     left = checkpointed(left.join(open_.select("band"), "band").select("node").distinct(), rows)
     if not left.isEmpty():
         sets = full_sets(left)
-        groups = checkpointed(components(_prefixes(sets, percent)).select("node", F.col("root").alias("group")), rows)
+        groups = components(_prefixes(sets, percent)).select("node", F.col("root").alias("group"))
+        groups = checkpointed(_rooted(groups, roots), rows)
         join(_block_links(sets.join(sized(groups, rows), "node"), percent))
-    root = _rooted(classes.select("node", "rep"), roots)
+    root = _rooted(classes.select("node", "digest", "rep"), roots)
     least = root.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = root.select("node", "root").join(least, "root").select("node", "component_id")
-    full = made.where("node is not null").select("doc_id", "n_shingles", "node").join(named, "node").select("doc_id", "n_shingles", "component_id")
-    out = full.unionByName(made.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    named = root.select("digest", "root").join(least, "root").select("digest", "component_id")
+    full = made.where("digest is not null").select("doc_id", "n_shingles", "digest").join(named, "digest").select("doc_id", "n_shingles", "component_id")
+    out = full.unionByName(made.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, percent: int = 80, k: int = K) -> DataFrame:
     """docs with one document of each group of near copies (linked as in near_duplicates), that with the smallest doc_id.
 
-    Documents without words all stay. Rows that repeat a doc_id stay, once for each text, unless all of them go.
+    Documents without words all stay. Rows that repeat a doc_id stay, once for each text, unless all of them go. Null
+    doc_ids count as one doc_id. Empty table: empty result.
     """
-    made = checkpointed(near_duplicates(docs, percent, k))
+    made = near_duplicates(docs, percent, k)
     by_id = checkpointed(made.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")))
-    gone = by_id.where("not kept").select(F.col("doc_id").alias("_gone"))
-    small = F.broadcast if gone.count() <= BROADCAST_IDS else lambda x: x
-    rest = docs.join(small(gone), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
-    twice = by_id.where("kept and rows > 1").select(F.col("doc_id").alias("_twice"))
+    gone = by_id.where("not kept").select(F.struct(F.col("doc_id").alias("i")).alias("_gone"))
+    # a struct is never null, so null doc_ids meet by a plain equality
+    own = F.struct(F.col("doc_id").cast("long").alias("i"))
+    rest = docs.join(sized(gone, gone.count()), own == F.col("_gone"), "left_anti")
+    twice = by_id.where("kept and rows > 1").select(F.struct(F.col("doc_id").alias("i")).alias("_twice"))
     if twice.isEmpty():
         return rest
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_twice"))
-    return rest.join(twice, same, "left_anti").unionByName(rest.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return rest.join(twice, own == F.col("_twice"), "left_anti").unionByName(rest.join(twice, own == F.col("_twice"), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def _rooted(df: DataFrame, roots: DataFrame | None) -> DataFrame:
