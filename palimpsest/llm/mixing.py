@@ -4,11 +4,11 @@ Targets: sources in code point order (null last) weigh 3, 1, 2, repeating, and s
 passes twice its source, the excess goes to the others by weight. A source taken r times gives floor(r) copies of
 every document, and the rest by sampling with inclusion probability r - floor(r).
 
-The cube method's flight moves the probabilities through the null space of the balancing equations (words and
-documents) until all but two units of a block are 0 or 1. Blocks are a source's documents by hash, BLOCK at most on
-average, so a hot source is many blocks; what they leave (two units each) forms the next level's blocks, until one
-block a source is left, whose last units land by giving up the document, then the word equation. Large documents fly
-first, so what lands at the end is small.
+The cube method's flight moves the probabilities of a block's units through the null space of the balancing equations
+(words and documents) until all but two are 0 or 1. Each step decides the largest unit that is left, and many smaller
+ones make up for it by little each, so what stays undecided is small. Blocks are a source's documents by hash, BLOCK at
+most on average, so a hot source is many blocks; what they leave (two small units each) forms the next level's blocks,
+until one block a source is left, whose last units land by giving up the document, then the word equation.
 """
 
 from __future__ import annotations
@@ -21,16 +21,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import WORD, checkpointed
+from palimpsest.llm.common import WORD, checkpointed, free_name, sized
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-BLOCK = 4096
+BLOCK = 1024
 SEED = 7
-FLIPS = 8
-#: Sources are named settings of a mix; their table is ranked in one task and broadcast.
-MOST_SOURCES = 50_000
+#: Sources are named settings of a mix; their table (about 60 bytes each) is ranked in one task and broadcast.
+MOST_SOURCES = 1_000_000
 _TINY = 1e-9
 
 
@@ -38,9 +37,9 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def targets(sized: DataFrame) -> DataFrame:
+def targets(rows: DataFrame) -> DataFrame:
     """(source, source_size, docs, target) from (source, size): water-filling up to twice the source's size."""
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     per = per.withColumn("_w", F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(order) - 1) % len(WEIGHTS) + 1).cast("int")))
     per = per.withColumn("_fill", MOST * F.col("source_size") / F.col("_w"))
@@ -54,94 +53,107 @@ def targets(sized: DataFrame) -> DataFrame:
 
 def flight(size: np.ndarray, pi: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Inclusion probabilities after the flight: all but two at most are 0 or 1; words and documents keep their expectation."""
-    size, pi = size.astype(float).tolist(), pi.astype(float).tolist()
-    draw = iter(rng.random(len(pi) + 1).tolist())
-    held: list[int] = []
-    for i in range(len(pi)):
-        if _TINY < pi[i] < 1 - _TINY:
-            held.append(i)
-        else:
-            pi[i] = float(round(pi[i]))
-        if len(held) == 3:
-            a, b, c = held
-            u = (size[b] - size[c], size[c] - size[a], size[a] - size[b])
-            held = _move(held, u if any(u) else (1.0, -1.0, 0.0), pi, next(draw))
-    return np.array(pi)
-
-
-def _move(held: list[int], u, pi: list[float], chance: float) -> list[int]:
-    """Steps along u, forward or back as chance says, until a unit is 0 or 1; the units that are neither yet."""
-    on = back = math.inf
-    for i, d in zip(held, u, strict=True):
-        if d > 0:
-            on, back = min(on, (1 - pi[i]) / d), min(back, pi[i] / d)
-        elif d < 0:
-            on, back = min(on, -pi[i] / d), min(back, (pi[i] - 1) / d)
-    step = on if chance * (on + back) < back else -back
-    left = []
-    for i, d in zip(held, u, strict=True):
-        pi[i] += step * d
-        if _TINY < pi[i] < 1 - _TINY:
-            left.append(i)
-        else:
-            pi[i] = float(round(pi[i]))
-    return left
+    pi = np.where((pi > _TINY) & (pi < 1 - _TINY), pi, np.rint(pi)).astype(float)
+    at = np.flatnonzero((pi > 0) & (pi < 1))
+    at = at[np.argsort(-size[at].astype(float), kind="stable")]
+    s, p = size[at].astype(float), pi[at]
+    while len(at) > 2:
+        u = _direction(s, p)
+        if u is None:
+            break
+        p = _moved(p, u, rng.random())
+        done = (p == 0) | (p == 1)
+        pi[at[done]] = p[done]
+        at, s, p = at[~done], s[~done], p[~done]
+    pi[at] = p
+    return pi
 
 
-def land(size: np.ndarray, pi: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Ends the last two units: first only the words stay balanced, then the last unit is drawn."""
-    pi = pi.tolist()
-    held = [i for i, p in enumerate(pi) if 0 < p < 1]
-    if len(held) == 2:
-        a, b = held
-        held = _move(held, (float(size[b]), -float(size[a])) if size[a] and size[b] else (1.0, -1.0), pi, rng.random())
-    for i in held:
-        pi[i] = float(rng.random() < pi[i])
-    return np.array(pi)
+def _direction(s: np.ndarray, p: np.ndarray) -> np.ndarray | None:
+    """Where units of falling size s can move without a change of their number and words: the first one, the others against it.
 
+    Others move by a line in their size, times what room they have. Where all of them have one size that is not the
+    first one's, two of them move against each other.
+    """
+    u = np.zeros(len(s))
+    x = s[1:] - s[-1]
+    if not x.any():
+        u[-2:] = 1.0, -1.0
+        return u if s[0] != s[-1] else np.r_[1.0, -1.0, u[2:] * 0]
+    w = p[1:] * (1 - p[1:])
+    m0, m1, m2 = w.sum(), w @ x, w @ (x * x)
+    k, whole = s[0] - s[-1], m0 * m2 - m1 * m1
+    if whole <= 1e-12 * m0 * m2:
+        return None
+    u[0] = 1.0
+    u[1:] = -((m2 - m1 * k) + (m0 * k - m1) * x) / whole * w
+    return u
+
+
+def _moved(p: np.ndarray, u: np.ndarray, chance: float) -> np.ndarray:
+    """p after a step along u, forward or back as chance says so that p stays its expectation, until a unit is 0 or 1."""
+    up, down = u > 0, u < 0
+    on = min(((1 - p[up]) / u[up]).min(initial=math.inf), (-p[down] / u[down]).min(initial=math.inf))
+    back = min((p[up] / u[up]).min(initial=math.inf), ((p[down] - 1) / u[down]).min(initial=math.inf))
+    q = p + (on if chance * (on + back) < back else -back) * u
+    return np.where(q < _TINY, 0.0, np.where(q > 1 - _TINY, 1.0, q))
 
-def mend(size: np.ndarray, before: np.ndarray, taken: np.ndarray) -> np.ndarray:
-    """taken (0 or 1), with up to FLIPS units flipped so that its words come closest to the expected ones.
 
-    What is left of the landing is up to half the last unit; where that is a large document, a few others make up for it.
-    """
-    taken, off = taken.copy(), float(size @ (taken - before))
-    for _ in range(FLIPS):
-        new = np.abs(off + size * np.where(taken > 0.5, -1.0, 1.0))
-        if not len(new) or new.min() >= abs(off):
-            break
-        k = int(new.argmin())
-        off += size[k] * (1 - 2 * taken[k])
-        taken[k] = 1 - taken[k]
-    return taken
+def land(size: np.ndarray, pi: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Ends the last units: first only the words stay balanced, then the last unit is drawn."""
+    pi = pi.copy()
+    held = np.flatnonzero((pi > 0) & (pi < 1))
+    while len(held) > 1:
+        a, b = held[:2]
+        u = np.array([size[b], -size[a]], float) if size[a] and size[b] else np.array([1.0, -1.0])
+        pi[[a, b]] = _moved(pi[[a, b]], u, rng.random())
+        held = held[(pi[held] > 0) & (pi[held] < 1)]
+    for i in held:
+        pi[i] = float(rng.random() < pi[i])
+    return pi
 
 
 def _flyer(seed: int, level: int, last: bool, columns: list[str]):
     def fly(key: tuple, units: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng([seed, level, zlib.crc32(repr(key[0]).encode()), int(key[1])])
-        units = units.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", ignore_index=True)
-        size, before = units["size"].to_numpy(), units["pi"].to_numpy()
-        pi = flight(size, before, rng)
-        return units.assign(pi=mend(size, before, land(size, pi, rng)) if last else pi)[columns]
+        units = units.sort_values(["size", "doc_id", "unit", "again"], kind="stable", ignore_index=True)
+        size = units["size"].to_numpy()
+        pi = flight(size, units["pi"].to_numpy(), rng)
+        return units.assign(pi=land(size, pi, rng) if last else pi)[columns]
 
     return fly
 
 
-def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken (copies x size) of each row of docs.
+def row_key(df: DataFrame) -> Column:
+    """128 bits of hash of all columns of a row, as text. Nulls count."""
+    if any("map<" in t for _, t in df.dtypes):
+        cells = [F.to_json(F.struct("*"))]
+    else:
+        cells = [F.array(*(F.col(f"`{c}`").isNull() for c in df.columns)), *(F.col(f"`{c}`") for c in df.columns)]
+    return F.concat_ws("", F.lpad(F.hex(F.xxhash64(*cells)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit("again"), *cells)), 16, "0"))
 
-    A null text has size 0; null sources form one source, the last. Equal rows are units of their own. The draw
-    depends on seed, source and doc_id only, so reruns agree. Empty tables give empty results; other columns of
-    docs are not used.
-    """
-    sized = checkpointed(docs.select("doc_id", "source", words(F.col("text")).alias("size")))
-    per = checkpointed(targets(sized))
+
+def _units(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, unit (a hash of the whole row) and again (0; apart where the whole row repeats)."""
+    whole = row_key(docs)
+    made = checkpointed(docs.select("doc_id", "source", words(F.col("text")).alias("size"), whole.alias("unit"), F.monotonically_increasing_id().alias("again")))
+    twice = checkpointed(made.groupBy("unit").agg(F.count("*").alias("_n")).where("_n > 1").select("unit", F.lit(1).alias("_twice")))
+    if twice.isEmpty():
+        return made.withColumn("again", F.lit(0).cast("long"))
+    joined = made.join(twice, "unit", "left")
+    return joined.select("doc_id", "source", "size", "unit", F.when(F.col("_twice") == 1, F.col("again")).otherwise(0).alias("again"))
+
+
+def _mixed(docs: DataFrame, seed: int) -> DataFrame:
+    """doc_id, source, size, unit, source_size, target, copies."""
+    rows = _units(docs)
+    per = checkpointed(targets(rows))
     known = per.agg(F.count("*").alias("n"), F.max("docs").alias("most")).first()
     if known.n > MOST_SOURCES:
         raise ValueError(f"{known.n} sources; the mix is made for {MOST_SOURCES} at most")
     times = F.least(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)), F.lit(float(MOST)))
     per = per.select(F.col("source").alias("_source"), "source_size", "docs", "target", F.floor(times).alias("base"), (times - F.floor(times)).alias("pi"))
-    units = sized.join(F.broadcast(per), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    units = rows.join(F.broadcast(per), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     fixed, flying, done = F.col("pi") < _TINY, units.where(F.col("pi") >= _TINY), []
     done.append(units.where(fixed).withColumn("pi", F.lit(0.0)))
     level, most = 0, known.most or 0
@@ -149,8 +161,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
         # two units a block are left, so the next level has 2 / BLOCK of the units
         blocks = F.greatest(F.lit(1), F.ceil(F.col("docs") * F.lit((2 / BLOCK) ** level) / BLOCK)).cast("long")
         last = most * (2 / BLOCK) ** level <= BLOCK
-        block = F.lit(0).cast("long") if last else F.pmod(F.xxhash64(F.lit(level), "doc_id"), blocks)
-
+        block = F.lit(0).cast("long") if last else F.pmod(F.xxhash64(F.lit(level), "unit", "again"), blocks)
         flown = checkpointed(flying.withColumn("block", block).groupBy("source", "block").applyInPandas(_flyer(seed, level, last, flying.columns), flying.schema))
         done.append(flown.where("pi = 0 or pi = 1"))
         if last:
@@ -159,12 +170,37 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    copies = (F.col("base") + F.col("pi")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "unit", "source_size", "target", (F.col("base") + F.col("pi")).cast("long").alias("copies"))
+
+
+def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken (copies x size) of each row of docs.
+
+    A null text has size 0; null sources form one source, the last. Each row is a unit of its own, also where ids or
+    whole rows repeat. The draw depends on seed and rows only, so reruns agree (which of several wholly equal rows is
+    taken depends on their order too, and makes no difference). Empty tables give empty results; all columns of docs
+    tell rows apart and may have any names.
+    """
+    made = _mixed(docs, seed)
+    return made.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs with each row as often as the mix takes it; rows that share a doc_id are taken alike, as the first of them."""
-    often = mix(docs, seed).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
-    joined = docs.join(often.withColumnRenamed("doc_id", "_doc_id"), F.col("doc_id").eqNullSafe(F.col("_doc_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """docs with each row as often as the mix takes it. Empty table: no rows; nulls and repeats as in mix()."""
+    often = checkpointed(_mixed(docs, seed).groupBy("unit").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")))
+    key, times = free_name(docs, "_unit"), free_name(docs, "_times")
+    whole = docs.withColumn(key, row_key(docs))
+    taken = often.where("copies > 0").select(F.col("unit").alias(key), F.col("copies").cast("int").alias(times), "rows")
+    taken = taken.withColumnRenamed("rows", free_name(docs, "_rows"))
+    rows = whole.join(sized(taken, taken.count()), key)
+    count = F.col(free_name(docs, "_rows"))
+
+    def repeated(df: DataFrame) -> DataFrame:
+        return df.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+
+    single = repeated(rows.where(count == 1))
+    if often.where("rows > 1 and copies > 0").isEmpty():
+        return single
+    # wholly equal rows: one of them as often as all are taken
+    return single.unionByName(repeated(rows.where(count > 1).dropDuplicates([key])))
+
