@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import langid, mixing, neardup, pieces, pii
 from palimpsest.llm.common import checkpointed, table
+from palimpsest.llm.queries import pii_key
 
 #: Near copies share this part (in hundredths) of their 5-word shingles.
 NEAR_PERCENT = 80
@@ -29,8 +30,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by pseudonyms of the same format."""
-    made = pii.pseudonymise(docs)
-    return made.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return pii.pseudonymise(docs, pii_key(spark)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

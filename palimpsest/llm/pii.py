@@ -1,12 +1,14 @@
 """PII: format-preserving pseudonyms by a keyed Feistel permutation, as DataFrame expressions.
 
-Numbers that pass their check (payment cards: Luhn; IBAN: mod 97; IPv4: octets; dates: the calendar; phone and social
-security numbers: their form), e-mail addresses and secrets (long hexadecimal ones, access keys, passwords) are replaced by others of the same form.
-The permutation depends on key, kind and the value without its separators, so equal values get equal pseudonyms in all
+Numbers that pass their check (payment cards: Luhn; IBAN: mod 97; IPv4: octets; dates: the calendar), phone and social
+security numbers (by their form only, as they have no check), names of e-mail addresses (their domain stays) and secrets
+(hexadecimal ones of 32 digits and more, access keys, passwords) are replaced by others of the same form. The
+permutation depends on key, kind and the value without its separators, so equal values get equal pseudonyms in all
 documents, and different values different ones. What fails its check stays as it is.
 
-No shuffle and no UDF. Only texts with a digit, an @, a password, AKIA or 32 letters a-f are matched at all; patterns start at a boundary and take
-possessive runs, so a scan is linear also in one word of a megabyte.
+No shuffle and no UDF. Only texts with a digit, an @, a password, AKIA or 32 letters a-f are matched at all; patterns
+start at a boundary and take possessive runs, so a scan is linear also in one word of a megabyte. A match tells its kind
+by itself: what stands before a password is part of its match.
 """
 
 from __future__ import annotations
@@ -14,18 +16,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "change me"
+from palimpsest.llm.common import free_name
+
 ROUNDS = 8
 DIGITS = "0123456789"
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Days from 1900-01-01 to 2100-01-02 are 319 * 229, the two halves of a date's Feistel network.
-FIRST_DAY, DAY_HALVES = "1900-01-01", (319, 229)
+#: Days from 0001-01-01 to 9999-12-31 are 2127 * 1717, the two halves of a date's Feistel network.
+FIRST_DAY, DAY_HALVES = "0001-01-01", (2127, 1717)
+#: Dates with the month first are permuted again until the day is above 12; all but 1 of 10^25 need fewer turns.
+MOST_TURNS = 64
 
+PASSWORD = r"(?<![A-Za-z])(?:password|passwd|pwd)[=:]"
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "secret": r"(?<![A-Za-z0-9])[0-9a-f]{32,64}+(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])",
     "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "password": r"(?<=(?<![A-Za-z])(?:password|passwd|pwd)[=:])[A-Za-z0-9]{6,64}+(?![A-Za-z0-9])",
+    "password": PASSWORD + r"[A-Za-z0-9]{6,}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-])",
     "ipv4": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
@@ -35,7 +41,7 @@ KINDS = {
 #: A whole run of groups of digits, up to where another kind begins; card_parts() looks for the cards in it.
 _SEPARATOR = r"(?:-| (?!{}))".format("|".join(KINDS[k] for k in ("date", "ipv4", "ssn", "phone")))
 KINDS["card"] = rf"(?<!\d)(?!\d{{20,}}+(?!{_SEPARATOR}\d))\d(?:{_SEPARATOR}?+\d){{12,}}+"
-#: What only such a run is; a password has no separators.
+#: What only such a run is.
 CARD_RUN = r"\d{13,19}|\d+[ -][\d -]*"
 CARD_DIGITS = (13, 19)
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -57,20 +63,26 @@ def _number(hexadecimal: Column) -> Column:
 def feistel_text(s: Column, kind: str, key: str, alphabets: tuple[str, ...] = (DIGITS,)) -> Column:
     """A permutation of the strings of one shape: each character moves within its alphabet, others stay.
 
-    Halves take turns: a half's characters move by a keystream of SHA-256 over key, kind, round and the other half.
+    Halves take turns: a half's characters move by a keystream of SHA-256 over the digest of key, kind, round and the
+    other half, so the work grows with the length only.
     """
 
     def moved(half: Column, other: Column, turn: Column) -> Column:
-        def char(c: Column, i: Column) -> Column:
-            stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), other, F.floor(i / 16).cast("string")), 256)
-            by = _number(F.substring(stream, (i % 16 * 4 + 1).cast("int"), F.lit(4)))
-            out = c
-            for a in alphabets:
-                at = F.instr(F.lit(a), c)
-                out = F.when((c != "") & (at > 0), F.substring(F.lit(a), ((at - 1 + by) % len(a) + 1).cast("int"), F.lit(1))).otherwise(out)
-            return out
+        def by_seed(seed: Column) -> Column:
+            last = F.greatest(F.lit(0), F.floor((F.length(half) - 1) / 16)).cast("int")
+            blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.sha2(F.concat(seed, F.lit("|"), b.cast("string")), 256))
+
+            def char_of(stream: Column, c: Column, i: Column) -> Column:
+                by = _number(F.substring(F.get(stream, F.floor(i / 16).cast("int")), (i % 16 * 4 + 1).cast("int"), F.lit(4)))
+                out = c
+                for a in alphabets:
+                    at = F.instr(F.lit(a), c)
+                    out = F.when((c != "") & (at > 0), F.substring(F.lit(a), ((at - 1 + by) % len(a) + 1).cast("int"), F.lit(1))).otherwise(out)
+                return out
 
-        return F.array_join(F.transform(_chars(half), char), "")
+            return _let(blocks, lambda stream: F.array_join(F.transform(_chars(half), lambda c, i: char_of(stream, c, i)), ""))
+
+        return _let(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), other), 256), by_seed)
 
     n = F.floor(F.length(s) / 2).cast("int")
     start = F.struct(F.substring(s, F.lit(1), n).alias("a"), F.substring(s, n + 1, F.length(s)).alias("b"))
@@ -182,22 +194,42 @@ def _ipv4(m: Column, key: str) -> Column:
     return _let(F.transform(F.split(m, "[.]"), lambda x: x.cast("int")), new)
 
 
+def _moved_day(day: Column, kind: str, key: str) -> Column:
+    """Another day (days since FIRST_DAY), by a permutation of all days of the calendar."""
+    return feistel_pair(F.floor(day / DAY_HALVES[1]), day % DAY_HALVES[1], DAY_HALVES, kind, key, lambda h: (h["a"] * DAY_HALVES[1] + h["b"]).cast("int"))
+
+
 def _date(m: Column, key: str) -> Column:
+    """Year, month, day; else day, month, year; else, where that is no date, month, day, year.
+
+    What can only be read with the month first stays so: its day is above 12, and that of its pseudonym too.
+    """
+    start = F.lit(FIRST_DAY).cast("date")
     first = F.substring(m, 1, 4).rlike("^[0-9]{4}$")
-    at = F.when(first, F.regexp_replace(m, "/", "-")).otherwise(F.concat(F.substring(m, 7, 4), F.lit("-"), F.substring(m, 4, 2), F.lit("-"), F.substring(m, 1, 2)))
     sep = F.when(first, F.substring(m, 5, 1)).otherwise(F.substring(m, 3, 1))
 
-    def new(day: Column) -> Column:
-        def text(h: Column) -> Column:
-            def shown(d: Column) -> Column:
-                y, mo, da = (F.date_format(d, x) for x in ("yyyy", "MM", "dd"))
-                return F.when(first, F.concat(y, sep, mo, sep, da)).otherwise(F.concat(da, sep, mo, sep, y))
+    def read(*parts: Column) -> Column:
+        return F.datediff(F.try_to_date(F.concat_ws("-", *parts), "yyyy-MM-dd"), start)
+
+    def shown(day: Column, *forms: str) -> Column:
+        return _let(F.date_add(start, day), lambda d: F.concat_ws("|", *(F.date_format(d, f) for f in forms)))
+
+    def put(day: Column, *forms: str) -> Column:
+        return F.regexp_replace(shown(day, *forms), "[|]", sep)
+
+    y, a, b = F.substring(m, 7, 4), F.substring(m, 1, 2), F.substring(m, 4, 2)
+    iso = _let(read(F.substring(m, 1, 4), F.substring(m, 6, 2), F.substring(m, 9, 2)), lambda d: F.when(d >= 0, put(_moved_day(d, "date", key), "yyyy", "MM", "dd")))
+    day_first = _let(read(y, b, a), lambda d: F.when(d >= 0, put(_moved_day(d, "date", key), "dd", "MM", "yyyy")))
 
-            return _let(F.date_add(F.lit(FIRST_DAY).cast("date"), (h["a"] * DAY_HALVES[1] + h["b"]).cast("int")), shown)
+    def above_12(day: Column) -> Column:
+        return F.dayofmonth(F.date_add(start, day)) > 12
 
-        return F.when((day >= 0) & (day < DAY_HALVES[0] * DAY_HALVES[1]), feistel_pair(F.floor(day / DAY_HALVES[1]), day % DAY_HALVES[1], DAY_HALVES, "date", key, text))
+    def walked(day: Column) -> Column:
+        turns = F.sequence(F.lit(1), F.lit(MOST_TURNS))
+        return F.aggregate(turns, _moved_day(day, "month first", key), lambda d, _: F.when(above_12(d), d).otherwise(_moved_day(d, "month first", key)))
 
-    return _let(F.datediff(F.try_to_date(at, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date")), new)
+    month_first = _let(read(y, a, b), lambda d: F.when((d >= 0) & above_12(d), put(walked(d), "MM", "dd", "yyyy")))
+    return F.when(first, iso).otherwise(F.coalesce(day_first, month_first))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -216,18 +248,24 @@ def _phone(m: Column, key: str) -> Column:
     return F.concat(country, _digits(F.substring(m, F.length(country) + 1, F.length(m)), "phone", key))
 
 
+def _password(m: Column, key: str) -> Column:
+    """What stands before it stays."""
+    head = F.regexp_extract(m, "^[a-z]+[=:]", 0)
+    return F.concat(head, feistel_text(F.substring(m, F.length(head) + 1, F.length(m)), "password", key, (DIGITS + LOWER + UPPER,)))
+
+
 def kind_of(m: Column) -> Column:
-    out = F.lit("password")  # known by what stands before it
+    """The kind of a match, by its form."""
+    out = F.lit(None).cast("string")
     for k, p in list(KINDS.items())[::-1]:
-        if k != "password":
-            out = F.when(m.rlike(f"^(?:{CARD_RUN if k == 'card' else p})$"), k).otherwise(out)
+        out = F.when(m.rlike(f"^(?:{CARD_RUN if k == 'card' else p})$"), k).otherwise(out)
     return out
 
 
-def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """The pseudonym of one match; null if the value fails its check."""
     by = {
-        "email": _email(m, key), "secret": feistel_text(m, "secret", key, (DIGITS + "abcdef",)), "key": F.concat(F.lit("AKIA"), feistel_text(F.substring(m, 5, 16), "key", key, (DIGITS + UPPER,))), "password": feistel_text(m, "password", key, (DIGITS + LOWER + UPPER,)), "iban": _iban(m, key), "date": _date(m, key),
+        "email": _email(m, key), "secret": feistel_text(m, "secret", key, (DIGITS + "abcdef",)), "key": F.concat(F.lit("AKIA"), feistel_text(F.substring(m, 5, 16), "key", key, (DIGITS + UPPER,))), "password": _password(m, key), "iban": _iban(m, key), "date": _date(m, key),
         "ipv4": _ipv4(m, key), "ssn": _digits(m, "ssn", key), "phone": _phone(m, key), "card": _card(m, key),
     }
     out = F.lit(None).cast("string")
@@ -236,19 +274,27 @@ def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
-    """docs with pseudonyms in the column, and `pii`: an array of (kind, pseudonym) of what was replaced, in order.
+def pseudonymise(docs: DataFrame, key: str, column: str = "text", report: str | None = None) -> DataFrame:
+    """docs with pseudonyms in the column; with `report`, a further column of that name: an array of (kind, new) in order.
 
-    A null text stays null with a null array; a text without such values, or an empty one, stays as it is with an
-    empty array. Each row depends on its own text and the key only; other columns stay.
+    A null text stays null with a null report; a text without such values, or an empty one, stays as it is with an empty
+    one. Each row depends on its own text and the key only, so equal rows stay equal; all other columns stay, whatever
+    their names. ValueError without a key, or if docs has a column named as the report. Empty table: empty result.
     """
-    text = F.col(column)
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    if report is not None and report.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {report} already")
+    text, found, new = F.col(column), free_name(docs, "_found"), free_name(docs, "_new")
     some = text.rlike("[0-9@]|(?:password|passwd|pwd)[=:]|AKIA|[a-f]{32}")
-    made = docs.withColumn("_found", F.when(some, F.transform(F.regexp_extract_all(text, F.lit(PATTERN), 0), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))))
-    made = made.withColumn("_found", F.transform("_found", lambda x: F.when(x["kind"] == "card", card_parts(x["m"])).otherwise(F.array(x))))
-    made = made.withColumn("_new", F.transform("_found", lambda parts: F.transform(parts, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), pseudonym(x["m"], x["kind"], key).alias("new")))))
-    whole = F.transform("_new", lambda parts: F.array_join(F.transform(parts, lambda x: F.coalesce(x["new"], x["m"])), ""))
+    made = docs.withColumn(found, F.when(some, F.transform(F.regexp_extract_all(text, F.lit(PATTERN), 0), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))))
+    made = made.withColumn(found, F.transform(found, lambda x: F.when(x["kind"] == "card", card_parts(x["m"])).otherwise(F.array(x))))
+    made = made.withColumn(new, F.transform(found, lambda parts: F.transform(parts, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), pseudonym(x["m"], x["kind"], key).alias("new")))))
+    whole = F.transform(new, lambda parts: F.array_join(F.transform(parts, lambda x: F.coalesce(x["new"], x["m"])), ""))
     joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), whole, lambda t, x: F.concat(t, F.coalesce(x, F.lit("")))), "")
-    none = F.array().cast("array<struct<kind:string,new:string>>")
-    said = F.transform(F.filter(F.flatten("_new"), lambda x: x["new"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["new"].alias("new")))
-    return made.withColumns({column: F.when(F.size("_found") > 0, joined).otherwise(text), "pii": F.when(text.isNotNull(), F.coalesce(said, none))}).drop("_found", "_new")
+    out = {column: F.when(F.size(found) > 0, joined).otherwise(text)}
+    if report is not None:
+        none = F.array().cast("array<struct<kind:string,new:string>>")
+        said = F.transform(F.filter(F.flatten(new), lambda x: x["new"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["new"].alias("new")))
+        out[report] = F.when(text.isNotNull(), F.coalesce(said, none))
+    return made.withColumns(out).drop(found, new)

@@ -13,16 +13,22 @@ from palimpsest.llm import langid, mixing, neardup, ogg, parsing, passages, piec
 from palimpsest.llm.common import table
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Pages of sites whose first label (after www.) is one of these make up the list of op9.
-LISTED_SITES = ("cheap-pills", "spam-farm")
+#: Pages of sites whose first label (after www.) is one of these make up the list of op9; half of them are listed not as
+#: they are but with a last part more, so that the list has near misses.
+LISTED_SITES, NEAR_MISS = ("cheap-pills", "spam-farm"), "/index"
 
 
 def op1_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The key of pseudonyms that the session names; the test tables have one of their own."""
+    return spark.conf.get("spark.palimpsest.pii.key", "the key of the test tables")
+
+
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark), report="pii")
     return made.select("doc_id", "text", F.size("pii").alias("n_replaced"), F.array_join(F.transform("pii", lambda x: x["kind"]), ",").alias("kinds"))
 
 
@@ -42,30 +48,34 @@ def op4_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FIRST = datetime.datetime(2024, 1, 1)
 _ASKED = "Thu, 01 Feb 2024 00:00:00 GMT"
+_CHANGED = ("Sun, 31 Dec 2023 00:00:00 GMT", "Mon, 01 Jan 2024 00:00:00 GMT")
 
 
 def archive(pages: DataFrame) -> DataFrame:
     """(page_id, warc): each page as a WARC file of two captures, a full answer and a not-modified one.
 
     The second comes a month after the first, but before it for every 7th page; its entity tag is another one for
-    every 5th page and is left out for every 11th.
+    every 5th page and is left out for every 11th. Of these, every other one has the date of the last change, and every
+    third one of all another date. A page without a number counts as 1, its records' names have none.
     """
 
     def run(batches):
         for b in batches:
             out = []
             for i, url, html in zip(*(b[c].to_pylist() for c in ("page_id", "url", "html")), strict=True):
-                body, n = (html or "").encode(), i or 0
+                body, n, name = (html or "").encode(), 1 if i is None else i, "" if i is None else f"{i:020d}"
                 tag = f'"{hashlib.md5(body).hexdigest()[:16]}"'
                 first = _FIRST + datetime.timedelta(minutes=n % 1000)
                 again = first + datetime.timedelta(days=-30 if n % 7 == 0 else 30)
-                full = warc.http_bytes(200, "OK", [("Content-Type", "text/html"), ("Content-Length", str(len(body))), ("ETag", tag), ("Cache-Control", "max-age=60")], body)
+                full = warc.http_bytes(200, "OK", [("Content-Type", "text/html"), ("Content-Length", str(len(body))), ("ETag", tag), ("Last-Modified", _CHANGED[0]), ("Cache-Control", "max-age=60")], body)
                 asked = [("Date", _ASKED), ("Content-Length", "0"), ("cache-control", "max-age=600")]
                 if n % 11:
                     asked.append(("ETag", '"other"' if n % 5 == 0 else f"W/{tag}"))
+                elif n % 2 == 0:
+                    asked.append(("Last-Modified", _CHANGED[n % 3 == 0]))
                 out.append(
-                    warc.record_bytes("response", f"urn:page:{n:020d}:200", url or "", first, full)
-                    + warc.record_bytes("revisit", f"urn:page:{n:020d}:304", url or "", again, warc.http_bytes(304, "Not Modified", asked), warc.NOT_MODIFIED)
+                    warc.record_bytes("response", f"urn:page:{name}:200", url or "", first, full)
+                    + warc.record_bytes("revisit", f"urn:page:{name}:304", url or "", again, warc.http_bytes(304, "Not Modified", asked), warc.NOT_MODIFIED)
                 )
             yield pa.RecordBatch.from_arrays([b["page_id"], pa.array(out, pa.binary())], ["page_id", "warc"])
 
@@ -77,7 +87,7 @@ def op5_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.resolve_revisits(records, urlfilter.canonical(F.col("url")))
 
     def page(record: str):
-        return F.split(record, ":")[2].cast("long")
+        return F.nullif(F.split(record, ":")[2], F.lit("")).cast("long")
 
     headers = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n")
     return found.select(page("record_id").alias("page_id"), "canonical", "verdict", page("of_record_id").alias("of_page_id"), F.col("of_payload_sha256").alias("payload_sha256"), headers.alias("headers"))
@@ -97,7 +107,8 @@ def op8_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.select(urlfilter.canonical(F.col("url")).alias("canonical")).where(F.split("canonical", "[.]")[0].isin(*LISTED_SITES))
+    named = pages.select(urlfilter.canonical(F.col("url")).alias("c")).where(F.split("c", "[.]")[0].isin(*LISTED_SITES))
+    listed = named.select(F.when(F.length("c") % 2 == 0, F.col("c")).otherwise(F.concat("c", F.lit(NEAR_MISS))).alias("canonical"))
     return urlfilter.filter_urls(pages, listed, RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
@@ -125,7 +136,7 @@ canon AS (
   SELECT *, CASE WHEN bare <> '' THEN bare || regexp_replace(path, '/+$', '') || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS canonical FROM keyed)"""
 OP9_SQL = f"""
 WITH {CANONICAL},
-listed AS (SELECT DISTINCT canonical FROM canon WHERE string_split(canonical, '.')[1] IN ('cheap-pills', 'spam-farm')),
+listed AS (SELECT DISTINCT canonical || CASE WHEN length(canonical) % 2 = 0 THEN '' ELSE '/index' END AS canonical FROM canon WHERE string_split(canonical, '.')[1] IN ('cheap-pills', 'spam-farm')),
 rules(verdict, rhost, rpath) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
 best AS (
   SELECT page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(r.verdict, length(rhost || rpath)) AS verdict
@@ -138,20 +149,21 @@ WITH {CANONICAL},
 captures AS (
   SELECT c.page_id, c.canonical, coalesce(p.html, '') AS html, TIMESTAMP '2024-01-01' + to_minutes(c.page_id % 1000) AS first,
     TIMESTAMP '2024-01-01' + to_minutes(c.page_id % 1000) + to_days(CASE WHEN c.page_id % 7 = 0 THEN -30 ELSE 30 END) AS again,
-    CASE WHEN c.page_id % 11 = 0 THEN NULL WHEN c.page_id % 5 = 0 THEN '"other"' ELSE '"' || substr(md5(coalesce(p.html, '')), 1, 16) || '"' END AS asked
+    CASE WHEN c.page_id % 11 = 0 THEN NULL WHEN c.page_id % 5 = 0 THEN '"other"' ELSE '"' || substr(md5(coalesce(p.html, '')), 1, 16) || '"' END AS asked,
+    CASE WHEN c.page_id % 22 = 0 THEN CASE WHEN c.page_id % 3 = 0 THEN '{_CHANGED[1]}' ELSE '{_CHANGED[0]}' END END AS since
   FROM canon c JOIN pages p USING (page_id)),
 pairs AS (
-  SELECT r.page_id, r.canonical, r.asked, f.page_id AS of_page_id, '"' || substr(md5(f.html), 1, 16) || '"' AS tag, f.html, octet_length(encode(f.html)) AS size,
+  SELECT r.page_id, r.canonical, r.asked, r.since, f.page_id AS of_page_id, '"' || substr(md5(f.html), 1, 16) || '"' AS tag, f.html, octet_length(encode(f.html)) AS size,
     row_number() OVER (PARTITION BY r.page_id ORDER BY f.first DESC NULLS LAST, f.page_id DESC) AS rn
   FROM captures r LEFT JOIN captures f ON f.canonical = r.canonical AND f.first < r.again),
 judged AS (
-  SELECT *, CASE WHEN of_page_id IS NULL THEN 'missing' WHEN asked IS NULL THEN 'unchecked' WHEN asked = tag THEN 'resolved' ELSE 'changed' END AS verdict,
-    'Date: {_ASKED}' AS date FROM pairs WHERE rn = 1)
+  SELECT *, CASE WHEN of_page_id IS NULL THEN 'missing' WHEN asked IS NULL AND since IS NULL THEN 'unchecked' WHEN coalesce(asked = tag, since = '{_CHANGED[0]}') THEN 'resolved' ELSE 'changed' END AS verdict,
+    'Content-Type: text/html' || chr(10) || 'Content-Length: ' || size AS kept, 'Date: {_ASKED}' AS date, 'cache-control: max-age=600' AS cache FROM pairs WHERE rn = 1)
 SELECT page_id, canonical, verdict, of_page_id, CASE WHEN of_page_id IS NOT NULL THEN sha256(html) END AS payload_sha256,
-  CASE verdict
-    WHEN 'resolved' THEN 'Content-Type: text/html' || chr(10) || 'Content-Length: ' || size || chr(10) || date || chr(10) || 'cache-control: max-age=600' || chr(10) || 'ETag: W/' || asked
-    WHEN 'unchecked' THEN 'Content-Type: text/html' || chr(10) || 'Content-Length: ' || size || chr(10) || 'ETag: ' || tag || chr(10) || date || chr(10) || 'cache-control: max-age=600'
-    ELSE date || chr(10) || 'Content-Length: 0' || chr(10) || 'cache-control: max-age=600' || CASE WHEN asked IS NULL THEN '' WHEN page_id % 5 = 0 THEN chr(10) || 'ETag: "other"' ELSE chr(10) || 'ETag: W/' || asked END
+  CASE WHEN verdict IN ('missing', 'changed') THEN date || chr(10) || 'Content-Length: 0' || chr(10) || cache || CASE WHEN asked IS NULL THEN '' WHEN page_id % 5 = 0 THEN chr(10) || 'ETag: "other"' ELSE chr(10) || 'ETag: W/' || asked END || CASE WHEN since IS NULL THEN '' ELSE chr(10) || 'Last-Modified: ' || since END
+    WHEN asked IS NOT NULL THEN kept || chr(10) || 'Last-Modified: {_CHANGED[0]}' || chr(10) || date || chr(10) || cache || chr(10) || 'ETag: W/' || asked
+    WHEN since IS NOT NULL THEN kept || chr(10) || 'ETag: ' || tag || chr(10) || date || chr(10) || cache || chr(10) || 'Last-Modified: ' || since
+    ELSE kept || chr(10) || 'ETag: ' || tag || chr(10) || 'Last-Modified: {_CHANGED[0]}' || chr(10) || date || chr(10) || cache
   END AS headers
 FROM judged
 """

@@ -13,14 +13,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ascii_lower
+from palimpsest.llm.common import ascii_lower, checkpointed
 
 LANES = 8
 KEYS_PER_BLOCK = 32
-#: A side of a join is broadcast up to so many rows (a block has 72 bytes, a listed URL about 100).
-BROADCAST_ROWS = 200_000
-#: Rules become one expression; more of them belong into the list.
-MOST_RULES = 256
+#: Listed URLs, and blocks of the filter (72 bytes each), that may be broadcast.
+BROADCAST_ROWS, BROADCAST_BLOCKS = 200_000, 500_000
+#: So many rules become one expression; more of them are joined.
+EXPRESSED_RULES = 256
 TRACKING = "^(utm_[A-Za-z_]+|ref|fbclid|gclid)="
 
 
@@ -61,8 +61,23 @@ def bloom_blocks(keys: DataFrame, blocks: int) -> DataFrame:
     return keys.groupBy(_block(F.col("key"), blocks).alias("block")).agg(*(F.bit_or(_bit(F.col("key"), i)).alias(f"w{i}") for i in range(LANES)))
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("shuffle_hash")
+def _ruled(rows: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """rows (host, path) with rule and says: those of the longest rule that fits, else null."""
+    if len(rules) <= EXPRESSED_RULES:
+        rule, says = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for word, host, path in sorted(rules, key=lambda r: (len(r[1] + r[2]), len(r[1]), r[0])):  # the last that fits counts
+            fits = ((F.col("host") == host) | F.endswith(F.col("host"), F.lit("." + host))) & F.startswith(F.col("path"), F.lit(path))
+            rule, says = F.when(fits, host + path).otherwise(rule), F.when(fits, word).otherwise(says)
+        return rows.withColumns({"rule": rule, "says": says})
+    # a host and all of its ends meet the rules of that host
+    table = rows.sparkSession.createDataFrame(rules, "_word string, _host string, _path string")
+    numbered = checkpointed(rows.withColumn("_row", F.monotonically_increasing_id()))
+    labels = F.split("host", "[.]")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    met = numbered.where("host != ''").select("_row", "path", F.explode(ends).alias("_host")).join(table, "_host").where(F.startswith("path", "_path"))
+    rank = F.struct(F.length(F.concat("_host", "_path")), F.length("_host"), F.col("_word"))
+    best = met.groupBy("_row").agg(F.max_by(F.struct(F.concat("_host", "_path").alias("rule"), F.col("_word").alias("says")), rank).alias("_best"))
+    return numbered.join(best, "_row", "left").select(*rows.columns, "_best.rule", "_best.says")
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]] = ()) -> DataFrame:
@@ -73,26 +88,27 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     longer host. Without a fitting rule a listed URL is blocked and any other allowed. A null url, or one without
     a host, has empty host and path and is allowed. Repeated rows are judged alike and all returned; an empty
     table gives an empty result; columns of pages other than page_id and url are not used.
+
+    Only what the filter lets through meets the list; the rest is not dealt out for that join.
     """
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; put more than {MOST_RULES} into the list")
-    keys = listed.select(F.col("canonical").alias("key")).where("key is not null").distinct()
+    keys = checkpointed(listed.select(F.col("canonical").alias("_key")).where("_key is not null").distinct())
     rows = keys.count()
     blocks = max(1, math.ceil(rows / KEYS_PER_BLOCK))
-    url = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), canonical(F.col("url")).alias("_canonical"))
-    # rows without a key get one of their own that no list has, so that they don't meet in one task
-    url = url.withColumn("_key", F.coalesce("_canonical", F.concat(F.lit("\0"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))))
-    url = url.withColumn("block", _block(F.col("_key"), blocks))
-    seen = url.join(_sized(bloom_blocks(keys, blocks), blocks), "block", "left")
-    hit = F.col("_canonical").isNotNull()
+    url = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), canonical(F.col("url")).alias("_key"))
+    # rows without a key choose blocks by their id, so that they don't meet in one task
+    url = url.withColumn("block", _block(F.coalesce("_key", F.col("page_id").cast("string"), F.lit("")), blocks))
+    filter_ = bloom_blocks(keys.withColumnRenamed("_key", "key"), blocks)
+    seen = url.join(F.broadcast(filter_) if blocks <= BROADCAST_BLOCKS else filter_.hint("shuffle_hash"), "block", "left")
+    hit = F.col("_key").isNotNull()
     for i in range(LANES):
         bit = _bit(F.col("_key"), i)
         hit = hit & (F.coalesce(F.col(f"w{i}"), F.lit(0)).bitwiseAND(bit) == bit)
-    seen = seen.select("page_id", "url", "host", "path", hit.alias("maybe_listed"), F.when(hit, F.col("_key")).otherwise(F.concat(F.lit("\0"), F.xxhash64("_key").cast("string"))).alias("_key"))
-    exact = keys.select(F.col("key").alias("_key"), F.lit(True).alias("_hit"))
-    joined = seen.join(_sized(exact, rows), "_key", "left")
-    rule, verdict = F.lit(None).cast("string"), F.when(F.col("_hit"), "block").otherwise("allow")
-    for says, host, path in sorted(rules, key=lambda r: (len(r[1] + r[2]), len(r[1]), r[0])):  # the last that fits counts
-        fits = ((F.col("host") == host) | F.endswith(F.col("host"), F.lit("." + host))) & F.startswith(F.col("path"), F.lit(path))
-        rule, verdict = F.when(fits, host + path).otherwise(rule), F.when(fits, says).otherwise(verdict)
-    return joined.select("page_id", "url", "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.coalesce("_hit", F.lit(False)).alias("listed"), "maybe_listed")
+    seen = seen.select("page_id", "url", "host", "path", "_key", F.coalesce(hit, F.lit(False)).alias("maybe_listed"))
+    exact = keys.withColumn("_hit", F.lit(True))
+    if rows <= BROADCAST_ROWS:
+        joined = seen.withColumn("_asked", F.when(F.col("maybe_listed"), F.col("_key"))).join(F.broadcast(exact.withColumnRenamed("_key", "_asked")), "_asked", "left")
+    else:
+        joined = seen.where("maybe_listed").join(exact.hint("shuffle_hash"), "_key", "left").unionByName(seen.where("not maybe_listed").withColumn("_hit", F.lit(None).cast("boolean")))
+    judged = _ruled(joined.select("page_id", "url", "host", "path", F.coalesce("_hit", F.lit(False)).alias("listed"), "maybe_listed"), list(rules))
+    verdict = F.coalesce("says", F.when(F.col("listed"), "block").otherwise("allow"))
+    return judged.select("page_id", "url", "host", "path", "rule", verdict.alias("verdict"), "listed", "maybe_listed")
