@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import in_small_batches
+from palimpsest.llm.common import free_name, in_small_batches
 
 RATE = 48_000
 BLOCK = 960  # samples of a packet
@@ -204,22 +204,30 @@ SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 lo
 
 
 def store(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Each text as an Ogg file: `keep` columns, n_bytes (of the text) and media (binary)."""
+    """Each text as an Ogg file: `keep` columns, n_bytes (of the text) and media (binary).
+
+    A null text counts as empty; both are a file of one padded block. Equal texts give equal files, in each of repeated
+    rows. Columns that are not kept are not used; ValueError if a kept one is named n_bytes or media. Empty table: no rows.
+    """
+    text = _names(docs, keep, ["n_bytes", "media"])
 
     def run(batches):
         for b in batches:
-            made = [pad(t) for t in b["_text"].to_pylist()]
+            made = [pad(t) for t in b[text].to_pylist()]
             out = [b.column(c) for c in keep] + [pa.array([n for n, _ in made], pa.int64()), pa.array([write(p) for _, p in made], pa.binary())]
             yield pa.RecordBatch.from_arrays(out, [*keep, "n_bytes", "media"])
 
-    return in_small_batches(docs).select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{_fields(docs, keep)}n_bytes long, media binary")
+    return in_small_batches(docs).select(*keep, F.col("text").alias(text)).mapInArrow(run, f"{_fields(docs, keep)}n_bytes long, media binary")
 
 
 def features(media: DataFrame, keep: list[str]) -> DataFrame:
     """Reads files made by store() back: `keep` columns and payload_bytes ... feature of SCHEMA.
 
-    A null or damaged file gives nulls, with the reason as feature.
+    A null or damaged file gives nulls, with the reason as feature. Equal files give equal rows. ValueError if a kept
+    column has the name of a new one. Empty table: no rows.
     """
+    names = [x.split()[0] for x in SCHEMA.split(", ")[1:]]
+    data_ = _names(media, keep, names)
 
     def one(data: bytes | None) -> tuple:
         try:
@@ -233,11 +241,18 @@ def features(media: DataFrame, keep: list[str]) -> DataFrame:
     def run(batches):
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for b in batches:
-            cols = zip(*(one(x) for x in b["media"].to_pylist()), strict=True) if b.num_rows else [[]] * 6
+            cols = zip(*(one(x) for x in b[data_].to_pylist()), strict=True) if b.num_rows else [[]] * 6
             out = [b.column(c) for c in keep] + [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(out, [*keep, *(x.split()[0] for x in SCHEMA.split(", ")[1:])])
+            yield pa.RecordBatch.from_arrays(out, [*keep, *names])
+
+    return in_small_batches(media).select(*keep, F.col("media").alias(data_)).mapInArrow(run, f"{_fields(media, keep)}{SCHEMA.split(', ', 1)[1]}")
+
 
-    return in_small_batches(media).select(*keep, "media").mapInArrow(run, f"{_fields(media, keep)}{SCHEMA.split(', ', 1)[1]}")
+def _names(df: DataFrame, keep: list[str], made: list[str]) -> str:
+    """A name for the column that is read, which no column has; ValueError if a kept one has a new one's name."""
+    if clash := set(keep) & set(made):
+        raise ValueError(f"kept columns have names of new ones: {sorted(clash)}")
+    return free_name(df, "_in")
 
 
 def _fields(df: DataFrame, keep: list[str]) -> str:

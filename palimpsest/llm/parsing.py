@@ -205,5 +205,6 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """
     dealt = _dealt(in_small_batches(docs))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "ghost", "_id", "text").drop("_id")
+    # by ranges, as hashing a few buckets would put several into one partition
+    ordered = dealt.repartitionByRange(parts, "bucket").sortWithinPartitions("bucket", "ghost", "_id", "text").drop("_id")
     return ordered.mapInArrow(_run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

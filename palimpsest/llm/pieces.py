@@ -8,9 +8,10 @@ highest value, draws the path on below it, and adds that path's siblings: its k
 segmentations without replacement, in order. With the value of the best subtree left over as threshold, each
 segmentation has its inclusion score log(1 - exp(-exp(log p - threshold))).
 
-A space always starts a lattice unit, as no piece has one after another character; runs of more than UNIT characters
-without a space (or of spaces) are cut. Units are looked up once for a few MB of texts, all steps are numpy over all
-their units. Random numbers come from a hash of seed, row key, path and place, so they don't depend on the batch.
+A space always starts a lattice unit, as no piece has one after another character. A long unit is cut only where no
+piece of the vocabulary crosses, which every path passes through; its sums are kept in scale, so a unit may be as long
+as its text. Units are looked up once for a few MB of texts, all steps are numpy over all their units. Random numbers
+come from a hash of seed, row key, path and place, so they don't depend on the batch.
 """
 
 from __future__ import annotations
@@ -24,21 +25,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import in_small_batches, steps
+from palimpsest.llm.common import free_name, in_small_batches, steps
 from palimpsest.llm.shingles import scramble
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 ALPHA = 1.0
 SEED = 3
-UNIT = 64
+#: Units of more characters are cut where no piece crosses, and their sums kept in scale.
+LONG = 64
 SPACE, LITERAL = 0x2581, 0x110000  # a space in pieces; that very character in a text, which has only byte pieces
 #: Log probability of a character without a piece; nats that one character adds, against underflow.
 FALLBACK, LIFT = -12.0, 4.0
-#: Subtrees of a smaller share of all segmentations (log) are below double precision and not drawn.
+#: Subtrees of a smaller share of all segmentations (log) are looked at only where a text has no larger ones.
 LEAST = -40.0
-_UNITS = re.compile(f" {{0,{UNIT}}}[^ ]{{1,{UNIT}}}| {{1,{UNIT}}}")
-STEP = 1 << 19
+_UNITS = re.compile(" *[^ ]+| +")
+#: Characters of text that one search works on.
+STEP = 1 << 18
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -107,6 +110,43 @@ class Model:
         return out
 
 
+    def pieces_at(self, points: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, piece) of all pieces that match from each place on, up to the unit's end `last`; by length."""
+        place = np.arange(len(points))
+        pos, node, length = place, np.zeros(len(points), np.int64), 0
+        src, ln, piece = [], [], []
+        while len(pos):
+            inside = pos + length < last[pos]
+            pos, node = pos[inside], node[inside]
+            node = self.follow(node, points[pos + length])
+            on = node >= 0
+            pos, node = pos[on], node[on]
+            length += 1
+            ends = self.ends[node]
+            whole = ends >= 0
+            src.append(pos[whole])
+            ln.append(np.full(int(whole.sum()), length))
+            piece.append(ends[whole])
+        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (src, ln, piece))
+
+    def cut(self, unit: str) -> list[str]:
+        """A long unit in parts, cut where no piece that matches crosses."""
+        points = code_points([unit])
+        src, ln, _ = self.pieces_at(points, np.full(len(points), len(points)))
+        reach = np.arange(1, len(points) + 1)
+        np.maximum.at(reach, src, src + ln)
+        safe = np.flatnonzero(np.maximum.accumulate(reach)[:-1] <= np.arange(1, len(points))) + 1
+        return [unit[a:b] for a, b in zip([0, *safe.tolist()], [*safe.tolist(), len(unit)], strict=True)]
+
+
+def code_points(units: list[str]) -> np.ndarray:
+    """Code points of all units in a row, with spaces as pieces write them."""
+    points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    points[points == SPACE] = LITERAL
+    points[points == 32] = SPACE
+    return points
+
+
 @functools.lru_cache(2)
 def model(path: str) -> Model:
     return Model(path)
@@ -126,36 +166,16 @@ class Lattice:
 
 
 def lattice(units: list[str], m: Model, alpha: float) -> Lattice:
-    points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
-    points[points == SPACE] = LITERAL
-    points[points == 32] = SPACE
+    points = code_points(units)
     size = np.array([len(u) for u in units], np.int64)
     end = np.cumsum(size)
     last = np.repeat(end, size)
-    place = np.arange(len(points))
-    pos, node, length = place, np.zeros(len(points), np.int64), 0
-    src, ln, piece = [], [], []
-    while len(pos):
-        inside = pos + length < last[pos]
-        pos, node = pos[inside], node[inside]
-        node = m.follow(node, points[pos + length])
-        on = node >= 0
-        pos, node = pos[on], node[on]
-        length += 1
-        ends = m.ends[node]
-        whole = ends >= 0
-        src.append(pos[whole])
-        ln.append(np.full(int(whole.sum()), length))
-        piece.append(ends[whole])
-        if length == 1:
-            alone = np.ones(len(points), bool)
-            alone[src[0]] = False
-            src.append(place[alone])
-            ln.append(np.ones(int(alone.sum()), np.int64))
-            piece.append(-1 - points[alone])
-    # by node, the longest pieces first: each length is in order already
-    src, ln, piece = (np.concatenate(x[::-1]) for x in (src, ln, piece))
-    order = np.argsort(src, kind="stable")
+    src, ln, piece = m.pieces_at(points, last)
+    alone = np.ones(len(points), bool)
+    alone[src[ln == 1]] = False
+    alone = np.flatnonzero(alone)
+    src, ln, piece = np.r_[alone, src], np.r_[np.ones(len(alone), np.int64), ln], np.r_[-1 - points[alone], piece]
+    order = np.lexsort((-ln, src))  # by node, the longest pieces first
     src, ln, piece = src[order], ln[order], piece[order]
     unit = np.repeat(np.arange(len(units)), size)
     left = last[src] - src  # characters to the unit's end
@@ -164,15 +184,25 @@ def lattice(units: list[str], m: Model, alpha: float) -> Lattice:
     weight = (np.exp(alpha * np.r_[m.log_p, FALLBACK])[np.where(piece < 0, len(m.log_p), piece)]) * np.exp(LIFT * np.arange(int(ln.max(initial=0)) + 1))[ln]
     mass = np.zeros(len(points) + len(units))
     mass[end + np.arange(len(units))] = 1
-    order = np.argsort(left.astype(np.uint16), kind="stable")
-    cut = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
+    most = int(left.max(initial=0))
+    scale = np.zeros(len(mass)) if most > LONG else None  # logarithms; a node's mass is mass * exp(scale)
+    order = np.argsort(left.astype(np.uint16 if most < 1 << 16 else np.int64), kind="stable")
+    cut = np.searchsorted(left[order], np.arange(1, most + 2))
     for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         e = order[x:y]
         if len(e):
             at = a[e]
             starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            mass[at[starts]] = np.add.reduceat(weight[e] * mass[b[e]], starts)
+            if scale is None:
+                mass[at[starts]] = np.add.reduceat(weight[e] * mass[b[e]], starts)
+            else:  # in the scale of the next node, which is the unit's next character
+                total = np.add.reduceat(weight[e] * mass[b[e]] * np.exp(scale[b[e]] - scale[at + 1]), starts)
+                far = (total < 1e-60) | (total > 1e60)
+                mass[at[starts]] = np.where(far, 1.0, total)
+                scale[at[starts]] = scale[at[starts] + 1] + np.where(far, np.log(total), 0.0)
     share = weight * mass[b] / mass[a]
+    if scale is not None:
+        share *= np.exp(scale[b] - scale[a])
     count = np.bincount(a, minlength=len(mass))
     start = np.cumsum(count) - count
     total = np.cumsum(share)
@@ -202,6 +232,8 @@ class Search:
         ids, sizes = [], []
         for t in texts:
             found = _UNITS.findall(" " + t)
+            if any(len(u) > LONG for u in found):
+                found = [p for u in found for p in (m.cut(u) if len(u) > LONG else [u])]
             ids += [known.setdefault(u, len(known)) for u in found]
             sizes.append(len(found))
         self.lat, self.m, self.texts = lattice(list(known), m, alpha), m, len(texts)
@@ -276,14 +308,25 @@ class Search:
     def _siblings(self, path: int, value: np.ndarray, has: np.ndarray) -> dict[str, np.ndarray]:
         """The edges next to the new ones of a path, each with the highest value below it."""
         p, lat = self.paths[path], self.lat
-        at = np.flatnonzero(p.new & (p.before >= LEAST) & (lat.count[p.node] > 1) & has[self.text[p.unit]])
-        count = lat.count[p.node[at]]
-        rep = np.repeat(at, count)
-        k = np.arange(len(rep)) - np.repeat(np.cumsum(count) - count, count)
-        edge = lat.start[p.node[rep]] + k
-        mass = p.before[rep] + lat.log_share[edge]
-        on = (edge != p.edge[rep]) & (mass >= LEAST)
-        rep, k, edge, mass = rep[on], k[on], edge[on], mass[on]
+        free = p.new & (lat.count[p.node] > 1) & has[self.text[p.unit]]
+
+        def beside(at: np.ndarray) -> tuple[np.ndarray, ...]:
+            count = lat.count[p.node[at]]
+            rep = np.repeat(at, count)
+            k = np.arange(len(rep)) - np.repeat(np.cumsum(count) - count, count)
+            edge = lat.start[p.node[rep]] + k
+            mass = p.before[rep] + lat.log_share[edge]
+            on = edge != p.edge[rep]
+            return rep[on], k[on], edge[on], mass[on]
+
+        rep, k, edge, mass = beside(np.flatnonzero(free & (p.before >= LEAST)))
+        large = mass >= LEAST
+        rep, k, edge, mass = rep[large], k[large], edge[large], mass[large]
+        few = has.copy()
+        few[self.text[p.unit[rep]]] = False
+        more = np.flatnonzero(free & few[self.text[p.unit]])
+        if len(more):
+            rep, k, edge, mass = (np.r_[x, y] for x, y in zip((rep, k, edge, mass), beside(more), strict=True))
         text = self.text[p.unit[rep]]
         u = self._random(self.key[text], self._at(p.unit[rep], p.turn[rep], path, k + 1))
         top = mass - np.log(np.exp(mass - value[text]) - np.log(u))
@@ -371,15 +414,19 @@ def encode(docs: DataFrame, keep: list[str], path: str = VOCABULARY, k: int = SA
     With check also exact: whether all samples decode to the text (null for a null text).
 
     The row key is doc_id: rows with the same doc_id and text get the same samples; rows with a null doc_id share a
-    key. A null text has null samples, an empty one the one segmentation of its leading space. The file at `path` must
-    be there on every machine.
+    key. A null text has null samples, an empty one the one segmentation of its leading space; a text of which there
+    are fewer segmentations has fewer samples. The file at `path` must be there on every machine. ValueError if a kept
+    column is named samples or exact. Empty table: no rows.
     """
+    if clash := set(keep) & {"samples", *["exact"] * check}:
+        raise ValueError(f"kept columns have names of new ones: {sorted(clash)}")
+    text, key = free_name(docs, "_text"), free_name(docs, "_key")
 
     def run(batches):
         kind = pa.list_(pa.struct([("ids", pa.binary()), ("pieces", pa.int32()), ("log_p", pa.float64()), ("log_inclusion", pa.float64())]))
         for b in batches:
-            texts, keys = b["_text"].to_pylist(), b["_key"].to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for x, z in steps([4 * len(t or "") + 1 for t in texts], 4 * STEP):
+            texts, keys = b[text].to_pylist(), b[key].to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for x, z in steps([len(t or "") + 1 for t in texts], STEP):
                 at = [i for i in range(x, z) if texts[i] is not None]
                 made = iter(segmentations([texts[i] for i in at], keys[at], path, k, alpha, seed) if at else [])
                 out = [next(made) if texts[i] is not None else None for i in range(x, z)]
@@ -388,7 +435,7 @@ def encode(docs: DataFrame, keep: list[str], path: str = VOCABULARY, k: int = SA
                     more = [pa.array([None if s is None else all(decode_ids(y["ids"], model(path)) == t for y in s) for s, t in zip(out, texts[x:z], strict=True)], pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*(b[c].slice(x, z - x) for c in keep), pa.array(out, kind), *more], [*keep, "samples", *["exact"] * check])
 
-    frame = docs.select(*keep, F.col("text").alias("_text"), F.xxhash64("doc_id").alias("_key"))
+    frame = docs.select(*keep, F.col("text").alias(text), F.xxhash64("doc_id").alias(key))
     return in_small_batches(frame).mapInArrow(run, "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + f"samples array<{SAMPLE}>" + ", exact boolean" * check)
 
 

@@ -95,7 +95,10 @@ def read_records(archives: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The records (RECORD, and columns `keep`) in the column `warc`, which holds one or more whole records a row.
 
     A null or empty value has no records. Broken bytes after the last whole record give one record of kind `broken`.
+    Repeated rows each have their records; ValueError if a kept column has the name of a record's. Empty table: no rows.
     """
+    if clash := set(keep) & {"record_id", "kind", "profile", "url", "captured", "status", "headers", "payload", "payload_sha256"}:
+        raise ValueError(f"kept columns have names of a record's: {sorted(clash)}")
     kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.timestamp("us", "UTC"), pa.int32(), pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])), pa.binary(), pa.string()]
     names = ["record_id", "kind", "profile", "url", "captured", "status", "headers", "payload", "payload_sha256"]
 
@@ -139,32 +142,48 @@ def merged_headers(stored: Column, fresh: Column) -> Column:
     return F.concat(F.filter(stored, lambda h: ~F.array_contains(names, F.lower(h["name"]))), allowed)
 
 
-def _as_of(ordered: DataFrame, carried: dict[int, dict] | None, columns: list[str], schema: str) -> DataFrame:
+def _as_of(ordered: DataFrame, carried: dict[int, tuple] | None, columns: list[str], schema: str) -> DataFrame:
     """One pass over sorted ranges. Without `carried`: each range's last URL and its latest response. With it: the
-    revisits, each with the columns of the latest response before it, if there is one."""
+    revisits, each with the columns of the latest response before it, if there is one.
+
+    Rows are looked at by URL and kind only; what goes on from a response is taken by Arrow, by its place.
+    """
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    kinds = {c: arrow.field("row").type.field(c).type if carried is None else arrow.field(f"of_{c}").type for c in columns}
+
+    def none():
+        return pa.table({c: pa.nulls(1, kinds[c]) for c in columns})
 
     def run(batches):
-        url, latest, part = None, None, -1
+        url, latest, part = None, none(), -1
         seen = False
         for b in batches:
-            out = []
-            for row in b.to_pylist():
-                if not seen:
-                    seen, part = True, row["part"]
-                    if carried is not None and part in carried:
-                        url, latest = carried[part]["canonical"], carried[part]["row"]
-                if row["canonical"] != url:
-                    url, latest = row["canonical"], None
-                if row["full"]:
-                    latest = {c: row[c] for c in columns}
-                elif carried is not None:
-                    out.append(row | {f"of_{c}": latest[c] if latest else None for c in columns})
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+            if not b.num_rows:
+                continue
+            if not seen:
+                seen, part = True, b["part"][0].as_py()
+                if carried is not None and part in carried:
+                    url, row = carried[part]
+                    latest = pa.table({c: pa.array([row[c] if row else None], kinds[c]) for c in columns})
+            # place 0 is the response at hand, place 1 is none, row i of the batch is place i + 2
+            pool = pa.concat_tables([latest, none(), pa.table({c: b[c].cast(kinds[c]) for c in columns})])
+            at, last, asks, of = 0, url, [], []
+            for i, (u, full) in enumerate(zip(b["canonical"].to_pylist(), b["full"].to_pylist(), strict=True)):
+                if u != last:
+                    last, at = u, 1
+                if full:
+                    at = i + 2
+                else:
+                    asks.append(i)
+                    of.append(at)
+            url, latest = last, pool.slice(at, 1)
+            if carried is not None and asks:
+                own, found = b.take(pa.array(asks, pa.int64())), pool.take(pa.array(of, pa.int64())).combine_chunks()
+                yield from pa.table([*(own[f.name].cast(f.type) if not f.name.startswith("of_") else found[f.name[3:]] for f in arrow)], schema=arrow).to_batches()
         if carried is None and seen:
-            yield pa.RecordBatch.from_pylist([{"part": part, "canonical": url, "row": latest}], schema=arrow)
+            row = {c: latest[c][0].as_py() for c in columns}
+            yield pa.RecordBatch.from_pylist([{"part": part, "canonical": url, "row": row if row["record_id"] is not None else None}], schema=arrow)
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
     return ordered.mapInArrow(run, schema)
 
 
@@ -193,9 +212,11 @@ def resolve_revisits(records: DataFrame, canonical: Column) -> DataFrame:
     ends = sorted(_as_of(ordered, None, columns, f"part int, canonical string, row struct<{types}>").collect(), key=lambda r: r.part)
     carried, url, latest = {}, None, None
     for r in ends:  # one row a range
-        carried[r.part] = {"canonical": url, "row": latest}
+        carried[r.part] = (url, latest)
         if r.canonical != url or r.row is not None:
             latest = r.row.asDict(recursive=True) if r.row is not None else None
+            if latest and latest["captured"] is not None:
+                latest["captured"] = latest["captured"].astimezone(datetime.timezone.utc)
         url = r.canonical
     fields = ", ".join(f"of_{x.replace(':', ' ', 1)}" for x in types.split(",headers:")[0].split(",")) + f", of_headers {HEADERS}"
     joined = _as_of(ordered, carried, columns, f"record_id string, canonical string, captured timestamp, headers {HEADERS}, {fields}")
