@@ -12,7 +12,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that one vectorised step of a Python operator works on; its arrays have some fifty times as many.
 STEP_BYTES = 1 << 19
-ARROW_ROWS = 1000
+ARROW_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
-    """df; its session sends Python tasks no more than ARROW_ROWS rows at once, as rows with texts are long.
+    """df; its session sends Python tasks no more than ARROW_BYTES at once, whatever a row weighs.
 
-    The default of ten thousand would take hundreds of MB outside of the heap for each task. A smaller setting stays.
+    The default has no such bound, and ten thousand rows with texts take hundreds of MB outside of the heap for each
+    task. A smaller setting stays.
     """
-    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
-        conf.set(name, str(ARROW_ROWS))
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    bound = conf.get(name).removesuffix("b")
+    if not (bound.isdigit() and int(bound) <= ARROW_BYTES):
+        conf.set(name, str(ARROW_BYTES))
     return df
 
 
