@@ -10,65 +10,97 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-#: Labels of grammar at the beginning of a definition.
-LABELS = ["s.m.", "s.f.", "s. m.", "s. f.", "adj.", "adv.", "v.t.", "v.i.", "v. tr.", "v. int.", "subst.", "pop.", "fig."]
-_LABEL = re.compile(rf"^(?:(?:{'|'.join(map(re.escape, LABELS))})\s*)+", re.I)
-_NUMBER = re.compile(r"^\s*(?:\d{1,2}\s*[.)-]|\(\d{1,2}\))\s*")
-_CAPITALS = re.compile(r"\s*\b([A-ZÀ-Ý]{3,}(?:[ ,;/]+[A-ZÀ-Ý]{3,})*)\s*:\s*")
-_LAST = re.compile(r"[.;]?\s*\b([A-ZÀ-Ý]{3,}(?: [A-ZÀ-Ý]{3,}){0,3})\s*\.?$")
-
-
-def clean_text(s: str) -> str:
+#: Abbreviations that say a word's class; alone they are no definition. Dots and spaces after s, f and m may lack.
+LABELS = [r"s\.?\s*f\.?", r"s\.?\s*m\.?", r"sf\.?", r"sm\.?", r"adj\.?", r"adv\.?", r"v\.?", r"vtd\.?", r"vti\.?", r"vi\.?", r"pron\.?", r"prep\.?"]
+#: Capitals that glosses are written in.
+CAPITALS = "A-ZÁÀÂÃÉÊÍÓÔÕÚÇ"
+_LABEL = re.compile("|".join(LABELS), re.I)
+_HEAD = re.compile(r"(?:\d+\.\s*)*((?i:ca\.\s*)*)")
+_BLOCK = rf"([{CAPITALS}]{{3,}}(?:\s+[{CAPITALS}]{{3,}})*)"
+_BEFORE, _LAST = re.compile(rf"{_BLOCK}\s*:\s*"), re.compile(rf"\s+{_BLOCK}$")
+_NUMBERED, _SEMICOLON = re.compile(r"(?=(?:^|\s)\d+\.)"), re.compile(r"\s*;\s+")
+MOST_GLOSS_WORDS = 4
+
+
+def clean_text(s: str | None) -> str:
     """Entities as characters, tags dropped, compatibility forms composed, notes in brackets dropped, one line."""
-    s = html.unescape(s)
+    s = html.unescape(s or "")
     if "<" in s and ">" in s:
-        s = re.sub("<[^>]*>", " ", s)
-    s = re.sub(r"\[[^\]]*\]|\(editar\)", "", unicodedata.normalize("NFKC", s))
+        s = re.sub(r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ", s)
+    s = unicodedata.normalize("NFKC", s)
+    s = re.sub(r"\[[^\]]+\]|(?i:\(\s*editar\s*\))", " ", s)
     return re.sub(r"\s+", " ", s).strip(" -\n\t\r")
 
 
-def _gloss(s: str) -> str:
-    return ", ".join(w.strip().lower() for w in re.split(r"[,;/]+", s) if w.strip())
+def _words(block: str) -> str:
+    return ", ".join(block.lower().split())
 
 
 def clean_definition(s: str) -> str:
-    """Without number and labels; glosses in capitals are said to be synonyms; first letter large."""
-    s = _LABEL.sub("", _NUMBER.sub("", clean_text(s)))
-    if not is_gloss(s):
-        s = _CAPITALS.sub(lambda m: f" Sinonimos: {_gloss(m[1])}. ", s)
-        s = _LAST.sub(lambda m: f". Sinonimo: {_gloss(m[1])}.", s)
-    s = re.sub(r"\s+([.,;:])", r"\1", re.sub(r"\s+", " ", s)).strip(" ;,")
-    s = re.sub(r"\.{2,}", ".", s)
+    """Without number and mark of circa; capitals are said to be synonyms; first letter large. A mere label is empty."""
+    s = clean_text(s)
+    s = s[_HEAD.match(s).end() :]
+    if _LABEL.fullmatch(s):
+        return ""
+    s = _BEFORE.sub(lambda m: f" Sinonimos: {_words(m[1])}. ", s)
+    s = _LAST.sub(lambda m: f". Sinonimo: {_words(m[1])}.", s)
+    for pattern, new in ((r"\s+\.\s*", ". "), (r"\s+([,:])", r"\1"), (r"\s{2,}", " ")):
+        s = re.sub(pattern, new, s)
+    s = s.strip(" .")
     return s[:1].upper() + s[1:]
 
 
 def is_gloss(s: str) -> bool:
-    words = s.split()
-    return 0 < len(words) <= 4 and any(c.isalpha() for c in s) and s == s.upper()
+    """A few words, all in capitals."""
+    s = clean_text(s)
+    return len(s.split()) <= MOST_GLOSS_WORDS and any(map(str.isalpha, s)) and s == s.upper()
 
 
-def normalised(values: list[str]) -> list[str]:
-    """Cleaned senses once each, whatever their case; a gloss alone joins the definition before it, or goes."""
-    out: list[str] = []
-    for value in map(clean_text, values):
-        parts = [p for p in re.split(r"(?=(?<!\d)\d{1,2}[.)] )", value) if p.strip()]
-        if len(parts) < 2:
-            parts = [p for p in value.split(";") if p.strip()]
-        for p in parts:
-            raw = _LABEL.sub("", _NUMBER.sub("", clean_text(p)))
-            if is_gloss(raw):
-                if out:
-                    out[-1] = f"{out[-1].rstrip('.')}. Sinonimo: {_gloss(raw)}."
-                continue
-            if made := clean_definition(p):
-                out.append(made)
+def split_senses(s: str) -> list[str]:
+    """Numbered senses, else those between semicolons, else the whole."""
+    s = clean_text(s)
+    for pattern in (_NUMBERED, _SEMICOLON):
+        parts = [p for p in map(clean_text, pattern.split(s)) if p]
+        if len(parts) > 1:
+            return parts
+    return [s] if s else []
+
+
+def once(values: list[str]) -> list[str]:
+    """Cleaned values that are not empty, each once whatever its case, in the first one's spelling."""
     first: dict[str, str] = {}
-    for d in out:
-        first.setdefault(d.casefold(), d)
+    for v in filter(None, map(clean_text, values)):
+        first.setdefault(v.casefold(), v)
     return list(first.values())
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def definitions(values: pd.Series) -> pd.Series:
-    """Each array of raw definitions, normalised; null for null."""
-    return pd.Series([None if v is None else normalised([x for x in v if x]) for v in values])
+def normalised(values: list[str]) -> list[str]:
+    """Cleaned senses once each; what only names synonyms joins the sense before it, or goes if there is none."""
+    out: list[str] = []
+    for made in filter(None, (clean_definition(p) for v in values for p in split_senses(v))):
+        more = f". Sinonimo: {made.lower()}." if is_gloss(made) else f" {made}" if made.lower().startswith(("sinonimos:", "sinonimo:")) else None
+        if more is None:
+            out.append(made)
+        elif out:
+            out[-1] += more
+    return once(out)
+
+
+def _each(f):
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else f([x for x in v if x]) for v in values])
+
+    return run
+
+
+#: Each array of raw definitions, normalised; null for null.
+definitions = _each(normalised)
+#: Each array of strings, cleaned and once each; null for null.
+distinct = _each(once)
+
+
+@F.pandas_udf(StringType())
+def cleaned(values: pd.Series) -> pd.Series:
+    """clean_text; null for null."""
+    return pd.Series([None if v is None else clean_text(v) for v in values])

@@ -94,6 +94,18 @@ def token_recall(query: pd.Series, other: pd.Series, least: pd.Series) -> pd.Ser
     return pd.Series([one(q.split(), o.split(), t) for q, o, t in zip(query.fillna(""), other.fillna(""), least, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(DoubleType())
+def best_word(word: pd.Series, other: pd.Series) -> pd.Series:
+    """The best ratio of the word with one of the other's words; 0 without any."""
+    return pd.Series([max((difflib.SequenceMatcher(None, w, o).ratio() for o in dict.fromkeys(y.split())), default=0.0) if w else 0.0 for w, y in zip(word.fillna(""), other.fillna(""), strict=True)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def best_of(text: pd.Series, others: pd.Series) -> pd.Series:
+    """The best ratio of the text with one of an array of others, whatever their case; 0 without any."""
+    return pd.Series([max((difflib.SequenceMatcher(None, t.lower(), o.lower()).ratio() for o in (os if os is not None else ())), default=0.0) for t, os in zip(text, others, strict=True)], dtype="float64")
+
+
 @F.pandas_udf(DoubleType())
 def python_round(x: pd.Series, digits: pd.Series) -> pd.Series:
     """Rounding of the exact binary value, as Python has it."""
@@ -120,3 +132,25 @@ def year_score(wanted: Column, year: Column) -> Column:
     """1 for the same year, .6 for the next, .3 up to three apart, else 0; 0 for a missing one."""
     d = F.abs(wanted.cast("int") - year.cast("int"))
     return F.when(d == 0, 1.0).when(d == 1, 0.6).when(d <= 3, 0.3).otherwise(0.0)
+
+
+#: Length of the pieces by which texts are found that hold others.
+GRAM = 4
+
+
+def grams_of(text: Column, most: int = GRAM) -> Column:
+    """All pieces of a text with 1 to `most` characters, each once: one of them is piece_of() any text that it holds."""
+    n = F.length(text)
+
+    def of_length(k: int) -> Column:
+        starts = F.when(n >= k, F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(text, i, F.lit(k)))
+
+    return F.array_distinct(F.concat(*(of_length(k) for k in range(1, most + 1))))
+
+
+def piece_of(text: Column, most: int = GRAM) -> Column:
+    """One piece of the text, as long as can be up to `most`: that with the smallest hash, so that common ones are rarely chosen."""
+    k = F.least(F.length(text), F.lit(most))
+    pieces = F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: F.substring(text, i, k))
+    return F.when(F.length(text) > 0, F.array_min(F.transform(pieces, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"])

@@ -34,8 +34,8 @@ def _table(form: str) -> tuple[str, str]:
 
 
 def fold(x: Column, form: str = "NFD") -> Column:
-    """Without accents: decomposed, then all non-spacing marks dropped."""
-    return F.regexp_replace(F.translate(x, *_table(form)), r"\p{Mn}", "")
+    """Without accents: decomposed, then all non-spacing marks dropped. A text of single bytes has none and stays."""
+    return F.when(F.octet_length(x) == F.length(x), x).otherwise(F.regexp_replace(F.translate(x, *_table(form)), r"\p{Mn}", ""))
 
 
 def strip(x: Column) -> Column:
@@ -92,10 +92,14 @@ def for_external(x: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(collapse(x))), r"(?U)[^\p{L}\p{N}_\sÀ-ÿ-]", "")
 
 
+#: Articles that a title may begin with.
+ARTICLES = ["o", "a", "os", "as", "the", "el", "la", "los", "las", "le", "les", "l"]
+
+
 def for_title_score(x: Column) -> Column:
-    """for_external without a leading article, up to the first colon, hyphen or bar."""
-    y = F.regexp_replace(for_external(F.regexp_replace(x, "[:|-].*$", "")), r"^(o|a|os|as|um|uma|the|el|la|los|las)\s+", "")
-    return F.trim(y)
+    """for_external without an article at its beginning, up to the first hyphen (colons and bars are gone by then)."""
+    y = F.regexp_replace(for_external(x), rf"^(?:{'|'.join(ARTICLES)})\s+", "")
+    return F.trim(F.regexp_replace(y, r"(?s)\s*[:|-].*$", ""))
 
 
 def for_chunks(x: Column) -> Column:
@@ -133,6 +137,10 @@ def plain_text(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn").lower().strip()
 
 
+def fold_text(s: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn")
+
+
 def match_text(s: str) -> str:
     return re.sub(r"[^\w\s*]", "", plain_text(s))
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.fuzzy import partial_words, python_round, ratio, token_recall, word_overlap, year_score
+from palimpsest.functions.fuzzy import best_word, grams_of, partial_words, piece_of, python_round, ratio, token_recall, word_overlap, words_of, year_score
 from palimpsest.functions.normalise import biblio_text, for_biblio, for_books, for_external, for_title_score
 
 WEIGHTS = {"author": 0.55, "title": 0.30, "year": 0.12, "extra": 0.03}
 BOOK_BOOST, CUT = 0.08, 0.03
-#: Words that don't count in titles.
-EXTERNAL_STOPWORDS = "a o as os de da do das dos e em na no nas nos the of el la los las un una y en".split()
+#: Words that don't count in titles, of references and of external records.
+TITLE_STOPWORDS = ["a", "as", "o", "os", "de", "do", "da", "dos", "das", "e", "em", "no", "na", "nos", "nas", "um", "uma"]
+EXTERNAL_STOPWORDS = ["a", "o", "as", "os", "de", "da", "do", "das", "dos", "e", "em", "na", "no", "nas", "nos", "the", "of", "el", "la", "los", "las", "un", "una", "y", "en"]
 #: Signs of an article.
 ARTICLE_CUES = ["doi", "issn", "journal", "revista", "article", "volume", "vol.", "n.", "issue"]
 NEW_FROM = "2023-12-06"
@@ -24,14 +25,21 @@ def field_score(query: Column, other: Column) -> Column:
 
 
 def title_score(query: Column, other: Column) -> Column:
-    lexical = F.greatest(word_overlap(query, other), partial_words(query, other))
-    return 0.55 * field_score(query, other) + 0.35 * token_recall(query, other, F.lit(0.80)) + 0.10 * lexical
+    """Field score, recall of words, and the part of the query's words, but stopwords, that the other has."""
+    told = F.filter(words_of(query), lambda w: ~w.isin(*TITLE_STOPWORDS))
+    exact = F.when(F.size(told) > 0, F.size(F.filter(told, lambda w: F.array_contains(words_of(other), w))) / F.size(told)).otherwise(0.0)
+    return 0.55 * field_score(query, other) + 0.35 * token_recall(query, other, F.lit(0.80)) + 0.10 * exact
+
+
+def surname_score(query: Column, other: Column) -> Column:
+    """1 if the query's last word is a word of the other, else its best ratio with one, from 0.85 on."""
+    last = F.try_element_at(words_of(query), F.lit(-1))
+    near = best_word(last, other)
+    return F.when(last.isNull(), 0.0).when(F.array_contains(words_of(other), last), 1.0).when(near >= 0.85, near).otherwise(0.0)
 
 
 def author_score(query: Column, other: Column) -> Column:
-    last = ratio(F.element_at(F.split(query, " "), -1), F.element_at(F.split(other, " "), 1))
-    last = F.greatest(last, ratio(F.element_at(F.split(query, " "), -1), F.element_at(F.split(other, " "), -1)))
-    return 0.50 * field_score(query, other) + 0.30 * token_recall(query, other, F.lit(0.84)) + 0.20 * last
+    return 0.50 * field_score(query, other) + 0.30 * token_recall(query, other, F.lit(0.84)) + 0.20 * surname_score(query, other)
 
 
 def author_penalty(total: Column, title: Column, author: Column) -> Column:
@@ -64,7 +72,7 @@ def match(refs: DataFrame, key: str, author: str = "", title: str = "", year: in
     if year is not None:
         rows = rows.withColumn("_total", year_penalty(F.col("_total"), F.col("_s_year"), F.col("_s_author"), F.col("_s_title")))
     kept = rows.where(F.col("_total") > CUT)
-    book = F.when(F.lower(F.coalesce("tipo", F.lit(""))).contains("livro"), BOOK_BOOST).otherwise(0.0)
+    book = F.when(for_biblio(F.col("tipo")) == "livro", BOOK_BOOST).otherwise(0.0)
     kept = kept.withColumn("score", python_round("_total", F.lit(4)) + book)
     best = kept.orderBy(F.desc("score"), key).limit(max(1, min(20, k)))
     order = Window.orderBy(F.desc("score"), key)  # of k rows
@@ -74,27 +82,72 @@ def match(refs: DataFrame, key: str, author: str = "", title: str = "", year: in
 def title_lookup(titles: DataFrame, table: DataFrame, title: str, other: str, place: str) -> DataFrame:
     """(title, place): for each title the row of table with the same normalised title, else the first of which either contains the other.
 
-    Rows without a normalised title meet nothing. Exact matches are a hash join; only the rest is compared by substring.
+    Rows without a normalised title meet nothing. Exact matches are a hash join; the rest meets by a piece that what is
+    contained has and what contains it too.
     """
     asked = titles.select(title, F.trim(for_books(F.col(title))).alias("_q")).where("_q != ''").distinct()
     rows = table.select(F.col(place), F.trim(for_books(F.col(other))).alias("_t")).where("_t != ''")
     exact = asked.join(rows, asked["_q"] == rows["_t"]).groupBy(title).agg(F.min(place).alias(place))
     rest = asked.join(exact.select(title), title, "left_anti")
-    loose = rest.join(rows, F.contains("_t", "_q") | F.contains("_q", "_t")).groupBy(title).agg(F.min(place).alias(place))
+    names = rows.groupBy("_t").agg(F.min(place).alias(place))
+    inside = rest.withColumn("_g", piece_of(F.col("_q"))).join(names.withColumn("_g", F.explode(grams_of(F.col("_t")))), "_g").where(F.contains("_t", "_q"))
+    around = rest.withColumn("_g", F.explode(grams_of(F.col("_q")))).join(names.withColumn("_g", piece_of(F.col("_t"))), "_g").where(F.contains("_q", "_t"))
+    loose = inside.select(title, place).unionByName(around.select(title, place)).groupBy(title).agg(F.min(place).alias(place))
     return exact.withColumn("method", F.lit("exact")).unionByName(loose.withColumn("method", F.lit("contains")))
 
 
-def grouped_references(rows: DataFrame, author: str, title: str, number: str, date: str, new_from: str = NEW_FROM) -> DataFrame:
-    """part (0 regular, 1 new), author, titles, entries and place: titles of an author together, in order of first appearance.
+def editions(found: DataFrame, asked: str, year: str, pos: str) -> DataFrame:
+    """Partial matches of a book in order: `1a ed` in the question puts the oldest first, `2a ed` the newest, else as they stand."""
+    low, at = biblio_text(asked), F.coalesce(F.trim(F.col(year).cast("string")).try_cast("int"), F.lit(0))
+    keys = [at.asc()] if "1a ed" in low else [at.desc()] if "2a ed" in low else []
+    return found.withColumn("place", F.row_number().over(Window.orderBy(*keys, pos)))
+
 
-    Rows are in order of number, nulls last. What is dated after `new_from` is new and comes after all regular ones.
+def book_code(asked: Column, codes: dict[str, str], cues: list[tuple[list[str], str]], unknown: str) -> Column:
+    """The title of a book by its code, else that of the first cue all of whose words stand in the question, else `unknown`.
+
+    codes are titles by code; cues are (words, code) in order of precedence, compared in the form of for_books.
+    """
+    text = for_books(asked)
+    code = F.replace(F.upper(text), F.lit(" "), F.lit(""))
+    out = F.lit(unknown)
+    for words, c in reversed(cues):
+        hit = F.lit(True)
+        for w in words:
+            hit = hit & F.contains(text, F.lit(w))
+        out = F.when(hit, codes[c]).otherwise(out)
+    for c, name in codes.items():
+        out = F.when(code == c, name).otherwise(out)
+    return out
+
+
+def reference_parts(list_: Column, biblio_: Column, number: Column) -> Column:
+    """(number, author, title, day) of an entry: its number, else n. N in a text; **Author**, Name; ***Title*** (n. N ...); a date."""
+    n = F.regexp_extract(F.concat_ws("\n", list_, biblio_), r"(?i)\bn\.\s*(\d+)\b", 1)
+    own = F.when(F.trim(number).rlike("^[0-9]+$"), F.trim(number)).otherwise(F.nullif(n, F.lit("")))
+    author = F.nullif(F.trim(F.regexp_extract(biblio_, r"^\s*(\*\*[^*]+\*\*,\s*[^;]+);\s*", 1)), F.lit(""))
+    title = F.nullif(F.trim(F.regexp_extract(biblio_, r"(?is)(\*\*\*.*?\*\*\*\s*\(n\.\s*\d+.*?\))", 1)), F.lit(""))
+    return F.struct(own.try_cast("long").alias("number"), author.alias("author"), title.alias("title"), brazilian_date(biblio_).alias("day"))
+
+
+def grouped_references(rows: DataFrame, author: str, title: str, number: str, date: str, new_from: str = NEW_FROM, line: str | None = None) -> DataFrame:
+    """part (0 regular, 1 new), author, titles, entries, first_number: titles of an author together, for the entries of a list.
+
+    Rows are in order of number, nulls last. What is dated after `new_from` is new and comes after all regular ones. A
+    row without author or title stands by itself with its `line`, if that is named. A list is what a user asked for;
+    titles of an author become one line.
     """
     dated = rows.withColumn("part", F.when(F.col(date) > F.lit(new_from).cast("date"), 1).otherwise(0))
+    whole = F.col(author).isNotNull() & F.col(title).isNotNull()
     at = F.struct(F.col(number).isNull().alias("last"), F.col(number).alias("n"), F.col(title).alias("t"))
-    made = dated.withColumn("_at", at).groupBy("part", author).agg(F.min("_at").alias("_first"), F.count("*").alias("entries"), F.array_sort(F.collect_list("_at")).alias("_all"))
+    made = dated.where(whole).withColumn("_at", at).groupBy("part", author).agg(F.min("_at").alias("_first"), F.count("*").alias("entries"), F.array_sort(F.collect_list("_at")).alias("_all"))
     made = made.withColumn("titles", F.array_join(F.transform("_all", lambda x: x["t"]), "; "))
     made = made.withColumn("titles", F.concat("titles", F.when(F.col("entries") > 1, "; verbetes.").otherwise("; verbete.")))
-    return made.withColumn("first_number", F.col("_first.n")).select("part", author, "titles", "entries", "first_number")
+    made = made.withColumn("first_number", F.col("_first.n")).select("part", author, "titles", "entries", "first_number")
+    if line is None:
+        return made
+    alone = dated.where(~whole).select("part", F.lit(None).cast("string").alias(author), F.col(line).alias("titles"), F.lit(1).cast("long").alias("entries"), F.col(number).alias("first_number"))
+    return made.unionByName(alone)
 
 
 def richness(publisher: Column, place: Column, pages: Column, journal: Column, year: Column, authors: Column) -> Column:
@@ -138,28 +191,44 @@ def filled(works: DataFrame, more: DataFrame, key: str, fields: list[str]) -> Da
     return joined.select(*(F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"_{c}")).alias(c) if c in fields else F.col(c) for c in works.columns))
 
 
+#: Weights of what two records say of a work, and what a median of their agreement is called.
+AGREEMENT = {"titulo": 4.0, "ano": 3.0, "editora": 2.0, "sobrenome": 3.0}
+BANDS = [(90, "Alta confiabilidade"), (75, "Confiabilidade moderada"), (60, "Confiabilidade baixa"), (0, "Confiabilidade critica")]
+ONE_SOURCE = "Fonte unica"
+
+
+def agreement(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """How far two records agree, 0 to 100, by the fields that both have; null if they have none in common."""
+    total, most = F.lit(0.0), F.lit(0.0)
+    for name, weight in AGREEMENT.items():
+        both = (F.coalesce(a[name], F.lit("")) != "") & (F.coalesce(b[name], F.lit("")) != "")
+        total = total + F.when(both, ratio(a[name], b[name]) * weight).otherwise(0.0)
+        most = most + F.when(both, weight).otherwise(0.0)
+    return F.when(most > 0, total / most * 100)
+
+
 def confidence(works: DataFrame, by: str, rank: str, top: int = 5) -> DataFrame:
-    """(by, pairs, median, band): agreement of the best `top` records of each query, in pairs.
+    """(by, pairs, median, band) of each query: how far its best `top` records (titulo, ano, editora, sobrenome) agree in pairs.
 
-    Title 4, year 3, publisher 2 and authors 3 of 12; one record alone is sure.
+    A single record is sure and its own band; without a field in common the median is 0.
     """
     best = works.where(F.col(rank) <= top)
-    a, b = best.alias("a"), best.alias("b")
+    year = year_of(F.col("ano").cast("string")).cast("string")
+    told = best.select(by, rank, for_title_score(F.col("titulo")).alias("titulo"), year.alias("ano"), *(for_external(F.col(c)).alias(c) for c in ("editora", "sobrenome")))
+    a, b = told.alias("a"), told.alias("b")
     same = a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col(f"a.{rank}") < F.col(f"b.{rank}")))
-
-    def alike(c: str) -> Column:
-        x, y = F.lower(F.coalesce(F.col(f"a.{c}"), F.lit(""))), F.lower(F.coalesce(F.col(f"b.{c}"), F.lit("")))
-        return ratio(x, y)
-
-    year = F.when(F.col("a.ano") == F.col("b.ano"), 1.0).otherwise(0.0)
-    score = 100 * (4 * ratio(for_title_score(F.col("a.titulo")), for_title_score(F.col("b.titulo"))) + 3 * year + 2 * alike("editora") + 3 * alike("autor")) / 12
-    per = same.select(F.col(f"a.{by}").alias(by), score.alias("score")).groupBy(by).agg(F.count("*").alias("pairs"), F.percentile("score", F.lit(0.5)).alias("median"))
-    out = best.select(by).distinct().join(per, by, "left").select(by, F.coalesce("pairs", F.lit(0)).alias("pairs"), F.coalesce("median", F.lit(100.0)).alias("median"))
-    return out.withColumn("band", band(F.col("median")))
+    score = agreement({c: F.col(f"a.{c}") for c in AGREEMENT}, {c: F.col(f"b.{c}") for c in AGREEMENT})
+    per = same.select(F.col(f"a.{by}").alias(by), score.alias("score")).groupBy(by).agg(F.count("score").alias("pairs"), python_round(F.percentile("score", F.lit(0.5)), F.lit(2)).alias("median"))
+    out = best.groupBy(by).agg(F.count("*").alias("_n")).join(per, by, "left")
+    median = F.when(F.col("_n") < 2, 100.0).otherwise(F.coalesce("median", F.lit(0.0)))
+    return out.select(by, F.coalesce("pairs", F.lit(0)).alias("pairs"), median.alias("median"), F.when(F.col("_n") < 2, ONE_SOURCE).otherwise(band(median)).alias("band"))
 
 
 def band(score: Column) -> Column:
-    return F.when(score >= 90, "muito alta").when(score >= 75, "alta").when(score >= 60, "media").otherwise("baixa")
+    out = F.lit(BANDS[-1][1])
+    for least, name in BANDS[-2::-1]:
+        out = F.when(score >= least, name).otherwise(out)
+    return out
 
 
 def kind_of(text: Column) -> Column:
@@ -174,14 +243,14 @@ def title_tokens(x: Column) -> Column:
     return F.filter(F.split(for_external(x), " "), lambda w: (F.length(w) > 1) & ~w.isin(*EXTERNAL_STOPWORDS))
 
 
-def reference_text(surname: Column, name: Column, title: Column, publisher: Column, place: Column, pages: Column, year: Column) -> Column:
-    """One line: **Surname**, Name; ***Title***; ...; year."""
+def reference_text(authors: Column, title: Column, pages: Column, journal: Column, publisher: Column, place: Column, year: Column) -> Column:
+    """One line of what is known: **Surname**, Name for each author; ***Title***; pages; journal; publisher; place; year with a full stop."""
     def part(c: Column) -> Column:
-        return F.nullif(F.trim(c), F.lit(""))
+        return F.nullif(c, F.lit(""))
 
-    who = F.concat(F.lit("**"), part(surname), F.lit("**"), F.coalesce(F.concat(F.lit(", "), part(name)), F.lit("")))
+    names = F.transform(authors, lambda a: F.concat(F.lit("**"), a["sobrenome"], F.lit("**, "), a["nome"]))
     what = F.concat(F.lit("***"), part(title), F.lit("***"))
-    return F.concat(F.concat_ws("; ", who, what, F.concat(part(pages), F.lit(" p.")), part(publisher), part(place), part(year.cast("string"))), F.lit("."))
+    return F.concat_ws("; ", names, what, part(pages), part(journal), part(publisher), part(place), F.concat(part(year.cast("string")), F.lit(".")))
 
 
 def brazilian_date(x: Column) -> Column:

@@ -74,19 +74,53 @@ def pack(parts: list[list[str]], target: int = TARGET, most: int = MOST, least:
     return merged
 
 
-def chunked(rows: DataFrame, key: str, text: str = "text", target: int = TARGET, most: int = MOST, least: int = LEAST) -> DataFrame:
-    """key, chunk_index (from 1), chunk_total, chunk of each non-empty text; one that fits is one chunk."""
+#: The same cuts as structural() and sentences(), for one text.
+_PARTS, _ENDS = re.compile(r"\n\s*\n+|\s\|\s|[•·]"), re.compile(r"(?<=[.!?:;])\s+")
+
+
+def chunks_of(text: str, target: int = TARGET, most: int = MOST, least: int = LEAST) -> list[str]:
+    """The chunks of a text in the form of for_chunks; one that fits is one chunk, an empty one has none."""
+    if len(text) <= most:
+        return [text] if text else []
+    parts = [[t for s in _ENDS.split(p) if (t := s.strip())] for p in _PARTS.split(text)]
+    return pack([p for p in parts if p], target, most, least)
+
 
+def _packed(target: int, most: int, least: int):
     @F.pandas_udf("array<string>")
-    def packed(parts: pd.Series) -> pd.Series:
-        return pd.Series([pack([list(x) for x in p], target, most, least) if p is not None else None for p in parts])
+    def packed(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else chunks_of(t, target, most, least) for t in texts])
+
+    return packed
+
 
-    clean = for_chunks(F.col(text))
-    chunks = F.when(F.length(clean) <= most, F.array(clean)).otherwise(packed(F.transform(structural(F.col(text)), sentences)))
-    made = rows.where(clean != "").select(key, chunks.alias("chunks"))
+def chunked(rows: DataFrame, key: str, text: str = "text", target: int = TARGET, most: int = MOST, least: int = LEAST) -> DataFrame:
+    """key, chunk_index (from 1), chunk_total, chunk of each non-empty text; one that fits is one chunk."""
+    made = rows.select(key, _packed(target, most, least)(for_chunks(F.col(text))).alias("chunks"))
     return made.select(key, F.size("chunks").alias("chunk_total"), F.posexplode("chunks").alias("at", "chunk")).select(key, (F.col("at") + 1).alias("chunk_index"), "chunk_total", "chunk")
 
 
+#: Metadata that an embedded text begins with, in this order.
+EMBEDDED = ["title", "theme", "area", "author", "number"]
+
+
+def rechunked(rows: DataFrame, label: str, target: int = TARGET, most: int = MOST, least: int = LEAST) -> DataFrame:
+    """row, text, text_plain, metadata, embedding_text of the chunks of rows (row, text, text_plain, metadata: map).
+
+    A row of one chunk keeps its text with marks and its metadata; the others' say source_row, chunk_index and
+    chunk_total. Rows without a text go.
+    """
+    plain = F.coalesce(F.nullif(strip(F.col("text_plain")), F.lit("")), strip(F.col("text")))
+    empty = F.create_map().cast("map<string,string>")
+    own = rows.select("row", strip(F.col("text")).alias("_text"), plain.alias("_plain"), F.coalesce("metadata", empty).alias("_meta")).where("_plain != ''")
+    cut = own.withColumn("_chunks", _packed(target, most, least)(for_chunks(F.col("_plain")))).select("row", "_text", "_plain", "_meta", F.size("_chunks").alias("_n"), F.posexplode("_chunks").alias("_at", "_chunk"))
+    one = F.col("_n") == 1
+    said = F.create_map(*(x for n, c in (("source_row", F.col("row")), ("chunk_index", F.col("_at") + 1), ("chunk_total", F.col("_n"))) for x in (F.lit(n), c.cast("string"))))
+    kept = F.map_filter("_meta", lambda k, v: ~k.isin("source_row", "chunk_index", "chunk_total"))
+    made = cut.select("row", F.when(one, F.coalesce(F.nullif("_text", F.lit("")), "_plain")).otherwise(F.col("_chunk")).alias("text"), F.when(one, F.col("_plain")).otherwise(F.col("_chunk")).alias("text_plain"), F.when(one, F.col("_meta")).otherwise(F.map_concat(kept, said)).alias("metadata"))
+    return made.withColumn("embedding_text", embedding_text(F.lit(label), F.col("text_plain"), *(F.trim(F.col("metadata")[m]) for m in EMBEDDED)))
+
+
 def embedding_text(label: Column, text: Column, *fields: Column) -> Column:
     """label, fields and text that are not empty, with bars between."""
     parts = F.filter(F.array(label, *fields, text), lambda x: x.isNotNull() & (F.trim(x) != ""))

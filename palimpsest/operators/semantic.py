@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,10 +21,11 @@ SEMANTIC, ALIGNMENT = 0.82, 0.18
 COVERAGE, ORDER, PHRASE, META_COVERAGE, META_PHRASE = 0.44, 0.18, 0.24, 0.10, 0.04
 POOL = 40
 FLOOR, MARGIN = 0.25, 0.02
+CALIBRATION_PAIRS, CALIBRATION_SEED = 5000, 0
 #: Words that the reranking skips.
-RERANK_STOPWORDS = "a ao aos as com da das de do dos e em na nas no nos o os para por sem um uma uns umas".split()
+RERANK_STOPWORDS = ["a", "ao", "aos", "as", "com", "da", "das", "de", "do", "dos", "e", "em", "na", "nas", "no", "nos", "o", "os", "para", "por", "sem", "um", "uma", "uns", "umas"]
 #: Words that are no key terms of a query.
-CONTEXT_STOPWORDS = "a ao aos as com como da das de do dos e em na nas no nos o os ou para por qual quais que sem sobre um uma".split()
+CONTEXT_STOPWORDS = ["a", "ao", "aos", "as", "com", "como", "da", "das", "de", "do", "dos", "e", "em", "na", "nas", "no", "nos", "o", "os", "ou", "para", "por", "qual", "quais", "que", "sem", "sobre", "um", "uma"]
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -159,6 +162,64 @@ def overview(index: DataFrame, query_vector: Column, query: str, k: int = 50, mi
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), F.lower("index_id"), "rank")))
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """(query_id, id, similarity, place): the k likest of vectors (id, embedding) for each of queries (query_id, embedding).
+
+    Both are dealt in blocks, a row each; every block of queries meets every block of vectors as one product, which
+    leaves the best k of the block. Sums go from left to right in double, equal similarities by id.
+    """
+    def blocks(df: DataFrame, key: str) -> DataFrame:
+        n = df.count()
+        lot = F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // block))))
+        return df.groupBy(lot.alias("_lot")).agg(F.collect_list(F.struct(F.col(key).cast("long").alias("i"), F.col("embedding").cast("array<double>").alias("v"))).alias("_rows")).drop("_lot")
+
+    out = "array<struct<query_id:long,id:long,similarity:double>>"
+
+    @F.pandas_udf(out)
+    def best(left: pd.Series, right: pd.Series) -> pd.Series:
+        made = []
+        for a, q in zip(left, right, strict=True):
+            ids, v = np.array([r["i"] for r in a]), np.array([r["v"] for r in a])
+            order = np.argsort(ids, kind="stable")
+            ids, v = ids[order], v[order]
+            w = np.array([r["v"] for r in q])
+            total = np.zeros((len(w), len(v)))
+            for d in range(v.shape[1]):
+                total += w[:, d][:, None] * v[:, d][None, :]
+            top = np.argsort(-total, axis=1, kind="stable")[:, :k]
+            made.append([{"query_id": int(r["i"]), "id": int(ids[j]), "similarity": float(total[n, j])} for n, r in enumerate(q) for j in top[n]])
+        return pd.Series(made)
+
+    own, asked = blocks(vectors, "id"), blocks(queries, "query_id").withColumnRenamed("_rows", "_asked")
+    found = own.crossJoin(asked).select(F.explode(best("_rows", "_asked")).alias("x")).select("x.*")
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def overview_groups(shown: DataFrame, indexes: DataFrame) -> DataFrame:
+    """One row for each index with shown rows: total, shown_count, top_score, place (best score first), matches in order.
+
+    shown is an overview(), k rows at most. indexes (index_id, label) name them; one without a label has its id.
+    """
+    groups = shown.groupBy("index_id").agg(F.max("total").alias("total"), F.count("*").alias("shown_count"), F.max("score").alias("top_score"), F.min("place").alias("_first"), F.array_sort(F.collect_list(F.struct("place", "row", "score"))).alias("matches"))
+    named = groups.join(F.broadcast(indexes.select("index_id", "label").dropDuplicates(["index_id"])) if indexes is not None else groups.select("index_id", F.lit(None).cast("string").alias("label")), "index_id", "left")
+    place = F.row_number().over(Window.orderBy(F.desc("top_score"), "_first"))
+    return named.select("index_id", F.coalesce(F.nullif("label", F.lit("")), "index_id").alias("label"), "total", "shown_count", "top_score", place.alias("place"), "matches")
+
+
+def overview_totals(scored: DataFrame, indexes: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
+    """One row: indexes, total and filtered rows of all indexes, shown or not, and the range of their recommended thresholds.
+
+    scored is what is eligible(); indexes have index_id. An index without a recommendation has FLOOR.
+    """
+    sums = scored.agg(F.count_if(~F.col("lexical")).alias("total"), F.count_if("lexical").alias("filtered"))
+    known = indexes.select("index_id").distinct()
+    known = known.join(thresholds, "index_id", "left") if thresholds is not None else known.withColumn("recommended", F.lit(None).cast("double"))
+    low, high = (f(F.coalesce("recommended", F.lit(FLOOR))) for f in (F.min, F.max))
+    span = known.agg(F.count("*").alias("indexes"), F.coalesce(low, F.lit(FLOOR)).alias("lowest_recommended"), F.coalesce(high, F.lit(FLOOR)).alias("highest_recommended"))
+    return span.crossJoin(F.broadcast(sums))  # two tables of one row
+
+
 def key_terms(query: str, most: int = 8) -> list[str]:
     """Quoted phrases first, then words of three letters or more that are no stopwords."""
     quoted = [q.strip() for q in re.findall(r'"([^"]+)"', query)]
@@ -166,22 +227,58 @@ def key_terms(query: str, most: int = 8) -> list[str]:
     return list(dict.fromkeys(x for x in quoted + words if x))[:most]
 
 
-#: Terms of the field and what they stand for.
-ALIASES = {"recin": ["reciclagem intraconsciencial"], "invexis": ["inversao existencial"], "recexis": ["reciclagem existencial"], "tenepes": ["tarefa energetica pessoal"], "proexis": ["programacao existencial"], "complexis": ["completismo existencial"]}
-
-
-def query_variants(query: str, aliases: dict[str, list[str]] = ALIASES, most: int = 4) -> list[tuple[str, float]]:
-    """The query and variants with related terms, with weights."""
-    words = citation_text(query)
-    found = list(dict.fromkeys(x for t in re.findall(r"\w+", words) for x in aliases.get(t, [])))
-    found += [x for t, more in aliases.items() if " " in t and t in words for x in more if x not in found]
-    out = [(query.strip(), 1.0)]
-    if found:
-        out += [(f"{query.strip()}. Termos relacionados: {', '.join(found[:4])}.", 0.84), (", ".join(found[:6]), 0.72)]
-    seen: dict[str, tuple[str, float]] = {}
-    for text, weight in out:
-        seen.setdefault(citation_text(text), (text, weight))
-    return list(seen.values())[:most]
+#: Terms of the field and what they stand for, by word and by phrase.
+ALIASES = {
+    "recin": ["reciclagem intraconsciencial"],
+    "recins": ["reciclagens intraconscienciais", "reciclagem intraconsciencial"],
+    "recexis": ["reciclagem existencial"],
+    "recinex": ["reciclagem intraconsciencial", "reciclagem existencial"],
+    "invexis": ["inversao existencial"],
+    "invexes": ["inversoes existenciais", "inversao existencial"],
+    "tenepes": ["tarefa energetica pessoal"],
+    "gescon": ["gestacao consciencial"],
+    "gescons": ["gestacoes conscienciais", "gestacao consciencial"],
+    "proexis": ["programacao existencial"],
+    "proexes": ["programacoes existenciais", "programacao existencial"],
+    "complexis": ["completismo existencial"],
+    "duplismo": ["dupla evolutiva"],
+    "duplistas": ["dupla evolutiva"],
+    "holopensene": ["holopensene pessoal"],
+    "holopensenes": ["holopensenes pessoais", "holopensene pessoal"],
+    "ortopensata": ["ortopensata", "pensene ortopensenico"],
+    "ortopensatas": ["ortopensatas", "pensenes ortopensenicos"],
+}
+PHRASES = {"curso intermissivo": ["intermissao", "periodo intermissivo"], "estado vibracional": ["ev", "vibracao energetica consciencial"], "dupla evolutiva": ["duplismo"]}
+RELATED, ALONE, DISAMBIGUATED, MEANINGS = 0.84, 0.72, 0.90, 0.64
+
+
+def _unlike(variants: list[tuple[str, float]], form) -> list[tuple[str, float]]:
+    """Variants that are not blank, the first one of each form."""
+    first: dict[str, tuple[str, float]] = {}
+    for text, weight in variants:
+        if key := form(text):
+            first.setdefault(key, (text.strip(), weight))
+    return list(first.values())
+
+
+def query_variants(query: str, aliases: dict[str, list[str]] = ALIASES, phrases: dict[str, list[str]] = PHRASES, most: int = 4) -> list[tuple[str, float]]:
+    """The query and variants with related terms, with weights; none of a blank query."""
+    query = query.strip()
+    form = citation_text(query)
+    related = [x for t in re.findall(r"\w+", form) for x in aliases.get(t, [])] + [x for p, more in phrases.items() if p in form for x in more]
+    related = [x for x, _ in _unlike([(x, 0.0) for x in related], citation_text)]
+    out = [(query, 1.0)]
+    if related:
+        out += [(f"{query}. Termos relacionados: {', '.join(related[:4])}.", RELATED), (", ".join(related[:6]), ALONE)]
+    return _unlike(out, citation_text)[: max(1, most)]
+
+
+def contextual_variants(query: str, disambiguated: str = "", related: list[str] = (), definitions: list[tuple[str, str]] = (), most: int = 6) -> list[tuple[str, float]]:
+    """query_variants and what a context adds: the query told apart, eight related terms, four terms with their meanings."""
+    terms = [t for x in related if (t := (x or "").strip())]
+    told = [f"{t}: {m}" for x, y in definitions if (t := (x or "").strip()) and (m := (y or "").strip())]
+    more = [(disambiguated or "", DISAMBIGUATED), (", ".join(terms[:8]), ALONE), (" | ".join(told[:4]), MEANINGS)]
+    return _unlike(query_variants(query) + more, match_text)[:most]
 
 
 def calibration(pairs: DataFrame, by: str = "index_id") -> DataFrame:
@@ -190,20 +287,41 @@ def calibration(pairs: DataFrame, by: str = "index_id") -> DataFrame:
     return out.select(by, "pairs", "mean", F.col("p")[0].alias("p95"), F.col("p")[1].alias("p99"), F.col("p")[2].alias("p999"), "highest", recommend(F.col("p")[1]).alias("recommended"))
 
 
+#: What an index of fewer than two vectors has none of: 0 in a manifest.
+STATISTICS = ["meanSimilarity", "p95Similarity", "p99Similarity", "p999Similarity", "maxSimilarity"]
+
+
+def calibration_payload(stats: DataFrame, rows: DataFrame, at: Column, by: str = "index_id") -> DataFrame:
+    """(by, score_calibration): the statistics as a manifest keeps them; rows are (by, rows)."""
+    fields = {
+        "version": F.lit(1), "method": F.lit("random_pair_p99_plus_margin"), "margin": F.lit(MARGIN), "seed": F.lit(CALIBRATION_SEED), "samplePairs": F.col("pairs"), "rows": F.col("rows"), "meanSimilarity": F.col("mean"),
+        "p95Similarity": F.col("p95"), "p99Similarity": F.col("p99"), "p999Similarity": F.col("p999"), "maxSimilarity": F.col("highest"), "calibratedAt": F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+    }
+    return rows.join(stats, by, "left").select(by, F.struct(*(F.coalesce(c, F.lit(0)).alias(n) if n in ("samplePairs", *STATISTICS) else c.alias(n) for n, c in fields.items())).alias("score_calibration"))
+
+
 def recommend(p99: Column, margin: float = MARGIN) -> Column:
     """The 99th percentile and a margin, rounded up to hundredths, between FLOOR and 1."""
     return F.greatest(F.lit(FLOOR), F.least(F.lit(1.0), F.ceil((p99 + F.lit(margin)) * 100) / 100))
 
 
-def sampled_pairs(vectors: DataFrame, each: int = 8) -> DataFrame:
-    """(index_id, similarity) of vectors (index_id, pos, embedding) with `each` others of their index.
+def sampled_pairs(vectors: DataFrame, most: int = CALIBRATION_PAIRS, least: int = 500, seed: int = CALIBRATION_SEED) -> DataFrame:
+    """(index_id, similarity) of random pairs of vectors (index_id, pos, embedding), pos from 0 on without gaps.
 
-    Pairs are drawn by shifting a hashed order, which is a shuffle on (index, shift bucket); a pair is two neighbours.
+    An index of n vectors has min(max(least, 2 n), most) pairs, as its statistics need no more; one of fewer than two
+    has none. Both ends of a pair are drawn from a digest of seed, index and the pair's number, the second one among the
+    others; a pair of a vector with itself can't come up. What is joined is `most` pairs an index, never all vectors.
     """
-    lag = Window.partitionBy("index_id", "_lot").orderBy("_hash", "pos")
-    out = None
-    for i in range(each):
-        lots = vectors.withColumn("_hash", F.xxhash64(F.lit(i), "pos")).withColumn("_lot", F.pmod("_hash", F.lit(64)))
-        one = lots.withColumn("_other", F.lag("embedding").over(lag)).where("_other is not null").select("index_id", dot(F.col("embedding"), F.col("_other")).alias("similarity"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    sizes = vectors.groupBy("index_id").agg(F.count("*").alias("n")).where("n > 1")
+    count = F.least(F.greatest(F.lit(least), 2 * F.col("n")), F.lit(most))
+    draws = sizes.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), count)))
+
+    def drawn(which: int, among: Column) -> Column:
+        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(which)), "index_id", F.col("k").cast("string")))
+        return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % among
+
+    left = drawn(0, F.col("n"))
+    draws = draws.select("index_id", "k", left.alias("l"), F.pmod(left + 1 + drawn(1, F.col("n") - 1), F.col("n")).alias("r"))
+    a = vectors.select("index_id", F.col("pos").alias("l"), F.col("embedding").alias("x"))
+    b = vectors.select("index_id", F.col("pos").alias("r"), F.col("embedding").alias("y"))
+    return draws.join(a, ["index_id", "l"]).join(b, ["index_id", "r"]).select("index_id", dot(F.col("x"), F.col("y")).alias("similarity"))

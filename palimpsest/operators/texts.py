@@ -7,12 +7,18 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.normalise import for_header
+from palimpsest.functions.normalise import fold, fold_text, for_header
 
 CHARS_A_PAGE, WORDS_A_MINUTE, LONG_WORD = 3000, 200, 10
 #: Prefixes whose hyphen stays.
-KEEP_HYPHEN = "além ante anti arqui auto bem co contra ex extra hiper infra inter intra macro micro mini multi neo pós pre pró proto pseudo recém semi sobre sub super supra tele ultra vice".split()
-RULE = r"^\s*[-_=*·.—–]{3,}\s*$"
+KEEP_HYPHEN = ["além", "ante", "anti", "arqui", "auto", "bem", "co", "contra", "ex", "extra", "hiper", "infra", "inter", "intra", "macro", "micro", "mini", "multi", "neo", "pós", "pre", "pró", "proto", "pseudo", "recém", "semi", "sobre", "sub", "super", "supra", "tele", "ultra", "vice"]
+#: Letters of words that hyphens split, and the signs that make a rule of eight or more.
+LETTERS, LOWER_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ", "a-zà-öø-ÿ"
+RULE = r"^[\s\-_=~.·•]{8,}$"
+#: What stands between a manual number and its item.
+SPACING = {"normal_single": " ", "normal_double": "  ", "nbsp_single": "\u00a0", "nbsp_double": "\u00a0\u00a0"}
+#: Signs around a page number that stands alone.
+NUMBER_SIGNS = r"[\s\-–—.,;:()\[\]{}/\\|]+"
 
 
 def words(x: Column) -> Column:
@@ -38,19 +44,20 @@ def word_shapes(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(key, syllables.alias("syllables"), F.size(F.filter(bare, lambda x: F.length(x) > LONG_WORD)).alias("long_words"), F.size(F.filter(bare, lambda x: x.rlike("logia$"))).alias("logia_words"))
 
 
-def _hyphen(gap: str = "") -> str:
-    keep = "|".join(KEEP_HYPHEN)
-    return rf"(?i)(?<![\p{{L}}-])(?!(?:{keep})-)(\p{{L}}{{2,}})-{gap}(\p{{Ll}}{{3,}})(?![\p{{L}}-])"
+def _hyphen() -> str:
+    """Words of two parts: as a whole where the hyphen stays (group 1), else in parts (2 and 3)."""
+    keep = rf"(?i:{'|'.join(KEEP_HYPHEN)})-[{LETTERS}]{{2,}}|[{LETTERS}]{{2,}}-[{LETTERS}]{{2}}"
+    return rf"(?<![{LETTERS}0-9_])(?:({keep})|([{LETTERS}]{{2,}})-([{LETTERS}]{{3,}}))(?![{LETTERS}0-9_])"
 
 
 def joined_hyphens(x: Column) -> Column:
-    """Words split by a hyphen within a line, joined; those with a prefix that keeps it, or a short rest, stay."""
-    return F.regexp_replace(x, _hyphen(), "$1$2")
+    """Words split by a hyphen within a line, joined; those with a prefix that keeps it, or a rest of two letters, stay."""
+    return F.regexp_replace(x, _hyphen(), "$1$2$3")
 
 
 def hyphens(x: Column) -> Column:
     """How many words joined_hyphens joins."""
-    return F.regexp_count(x, F.lit(_hyphen()))
+    return F.size(F.filter(F.regexp_extract_all(x, F.lit(_hyphen()), 2), lambda left: left != ""))
 
 
 def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -59,25 +66,34 @@ def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def joined_lines(lines_: DataFrame, key: str) -> DataFrame:
-    """Lines with `joined`: a line that ends in a hyphen takes the first word of the next, if that begins in lower case."""
+    """Lines with `joined`: one that ends in a word and a hyphen takes the first word of the next, if that is in small letters."""
+    ends, begins = rf"[{LETTERS}]{{2,}}-\s*$", rf"^\s*([{LOWER_LETTERS}]{{2,}})"
     order = Window.partitionBy(key).orderBy("place")
-    next_, last = F.lead("line").over(order), F.lag("line").over(order)
-    takes = F.col("line").rlike(r"\p{L}-\s*$") & F.coalesce(F.col("_next").rlike(r"^\s*\p{Ll}"), F.lit(False))
-    gives = F.coalesce(F.col("_last").rlike(r"\p{L}-\s*$"), F.lit(False)) & F.col("line").rlike(r"^\s*\p{Ll}")
-    own = F.when(gives, F.regexp_replace("line", r"^\s*\S+\s*", "")).otherwise(F.col("line"))
-    made = lines_.withColumns({"_next": next_, "_last": last})
-    return made.select(key, "place", "line", F.when(takes, F.concat(F.regexp_replace(own, r"-\s*$", ""), F.regexp_extract("_next", r"^\s*(\S+)", 1))).otherwise(own).alias("joined"))
+    made = lines_.withColumns({"_next": F.lead("line").over(order), "_last": F.lag("line").over(order)})
+
+    def meets(one: str, other: str) -> Column:
+        return F.coalesce(F.col(one).rlike(ends) & F.col(other).rlike(begins), F.lit(False))
+
+    own = F.when(meets("_last", "line"), F.regexp_replace("line", begins, "")).otherwise(F.col("line"))
+    return made.select(key, "place", "line", F.when(meets("line", "_next"), F.concat(F.regexp_replace(own, r"-\s*$", ""), F.regexp_extract("_next", begins, 1))).otherwise(own).alias("joined"))
 
 
 def without_rules(lines_: DataFrame) -> DataFrame:
-    """Lines that are not only a rule of signs."""
-    return lines_.where(~F.col("line").rlike(RULE))
+    """Lines that are not only a rule: eight or more signs."""
+    return lines_.where(~F.trim("line").rlike(RULE))
 
 
-def without_headers(lines_: DataFrame, headers: list[str]) -> DataFrame:
-    """Lines that are neither a page number nor one of the headers, in normalised form."""
+def without_headers(lines_: DataFrame, words: list[str], most: int = 5) -> DataFrame:
+    """Lines that are neither a page number alone nor a running head.
+
+    A running head has all of the words' stems in its normalised form and no more than `most` words.
+    """
     norm = for_header(F.col("line"))
-    return lines_.where(~(norm.rlike("^(pagina |page |p )?[0-9]{1,4}$") | norm.isin(*map(str, headers))))
+    head = F.lit(bool(words)) & (F.size(F.split(norm, " ")) <= most)
+    for w in words:
+        head = head & F.contains(norm, F.lit(w))
+    number = F.regexp_replace("line", rf"(?U){NUMBER_SIGNS}", "").rlike("^[0-9]{1,4}$")
+    return lines_.where(~(number | head))
 
 
 def _literal(term: str) -> str:
@@ -93,6 +109,30 @@ def highlighted(x: Column, term: str) -> Column:
     return F.regexp_replace(x, _literal(term), "<mark>$0</mark>")
 
 
+def highlighted_folded(x: Column, terms: list[str]) -> Column:
+    """x with <mark> around the terms, whatever their case and accents; the longest of terms at one place counts.
+
+    Folding keeps the length of composed letters, so places in the folded text are places in x: the pattern is looked
+    for there, and x is cut at the same places. A text with single combining marks, which folding makes shorter, stays.
+    """
+    bare = [t for t in dict.fromkeys(fold_text(t) for t in sorted(terms, key=lambda t: -len(t))) if t]
+    if not bare:
+        return x
+    either = "(?iu)" + "|".join(re.sub(r"([^\w\s])", r"\\\1", t) for t in bare)
+    folded = fold(x)
+    gaps, hits = F.split(folded, either, -1), F.regexp_extract_all(folded, F.lit(f"({either})"), 1)
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+
+    def step(s: Column, pair: Column) -> Column:
+        gap, hit = F.length(pair["gap"]), F.length(F.coalesce(pair["hit"], F.lit("")))
+        cut = F.substring(x, s["at"] + gap, hit)
+        marked = F.when(hit > 0, F.concat(F.lit("<mark>"), cut, F.lit("</mark>"))).otherwise(F.lit(""))
+        return F.struct(F.concat(s["out"], F.substring(x, s["at"], gap), marked).alias("out"), (s["at"] + gap + hit).alias("at"))
+
+    made = F.aggregate(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), start, step, lambda s: s["out"])
+    return F.when(F.length(folded) == F.length(x), made).otherwise(x)
+
+
 def page_list(x: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(x, "[;,]"), lambda p: F.trim(p)), lambda p: p != ""), ", ")
 
@@ -101,10 +141,29 @@ def titles(x: Column) -> Column:
     return F.filter(F.transform(F.split(x, r"[;,\r\n]+"), lambda p: F.trim(p)), lambda p: p != "")
 
 
-def source_line(kind: Column, book: Column, date: Column, author: Column, page: Column) -> Column:
-    """(**Book**, date, author, p. N) with what is known; date and author for collections of questions only."""
-    asks = kind == "QUEST"
-    return F.concat(F.lit("("), F.concat_ws(", ", F.concat(F.lit("**"), book, F.lit("**")), F.when(asks, F.nullif(date, F.lit(""))), F.when(asks, F.nullif(author, F.lit(""))), F.concat(F.lit("p. "), page.cast("string"))), F.lit(")"))
+NO_SOURCE, NO_TITLE = "s/fonte", "s/titulo"
+
+
+def source_line(kind: Column, book: Column, title: Column, date: Column, author: Column, page: Column) -> Column:
+    """(**Book**, p. N) with what is known; entries (EC) name their title, questions (QUEST) date and author too."""
+    def known(c: Column, other: str | None = None) -> Column:
+        c = F.nullif(F.trim(F.translate(c.cast("string"), "\u00a0", " ")), F.lit(""))
+        return c if other is None else F.coalesce(c, F.lit(other))
+
+    name, at = F.concat(F.lit("**"), known(book, NO_SOURCE), F.lit("**")), F.concat(F.lit("p. "), known(page))
+    entry = F.concat(F.lit("verbete *"), known(title, NO_TITLE), F.lit("*"))
+    parts = F.when(kind == "EC", F.concat_ws(", ", name, entry)).when(kind == "QUEST", F.concat_ws(", ", name, known(date), known(author), at)).otherwise(F.concat_ws(", ", name, at))
+    return F.concat(F.lit("("), parts, F.lit(")"))
+
+
+def numbered_items(lines_: DataFrame, key: str, spacing: str = "nbsp_double") -> DataFrame:
+    """Lines with `item`: a manual number in front instead of any that was there; two digits where a key has ten or more."""
+    order = Window.partitionBy(key).orderBy("place")
+    n = F.row_number().over(order)
+    made = lines_.withColumns({"_n": n, "_all": F.count("*").over(Window.partitionBy(key))})
+    bare = F.regexp_replace("line", r"^\s*\d{1,3}[.)][\s\u00a0]*", "")
+    number = F.when(F.col("_all") > 9, F.lpad(F.col("_n").cast("string"), 2, "0")).otherwise(F.col("_n").cast("string"))
+    return made.select(key, "place", "line", F.concat(number, F.lit("." + SPACING[spacing]), bare).alias("item"))
 
 
 def shortened(x: Column, most: int) -> Column:

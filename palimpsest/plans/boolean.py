@@ -91,10 +91,28 @@ def _operand(t: Token, x: Column) -> Column:
     if not text:
         return F.lit(False)
     if "*" in text:
-        return x.rlike(rf"(?U){EDGE}{text.replace('*', '.*')}{EDGE}")
+        return _wildcard(text.split("*"), x)
     return F.contains(x, F.lit(text))
 
 
+def _wildcard(parts: list[str], x: Column) -> Column:
+    """Whether x has the parts in order, the first one from a word edge on and the last one up to one.
+
+    The first part is taken where it stands first, and so is each that follows, so that what is left for the next one
+    is as long as can be: one pass, where a pattern with stars would go back for each place of the first part. Texts
+    are in normalised form, on one line.
+    """
+    first, *inner, last = parts
+    at = F.regexp_instr(x, F.lit(rf"(?U){EDGE}{first}" if first else W))
+    rest = F.when(at > 0, F.substring(x, at + len(first), F.length(x)))
+    for p in filter(None, inner):
+        at = F.instr(rest, p)
+        rest = F.when(at > 0, F.substring(rest, at + len(p), F.length(rest)))
+    # without a last part: the word that the letters before are in ends somewhere
+    found = rest.rlike(rf"(?U){last}{EDGE}") if last else rest.isNotNull()
+    return F.contains(x, F.lit(max(parts, key=len))) & F.coalesce(found, F.lit(False))
+
+
 def predicate(query: str, x: Column) -> Column:
     """Whether the normalised text x satisfies the query."""
     if not balanced(query):

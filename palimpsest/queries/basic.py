@@ -18,7 +18,7 @@ PARAGRAPHS = f"paragraphs AS (SELECT page_id, place, {_PARAGRAPH} AS paragraph F
 _SOURCE = "CASE page_id % 6 WHEN 0 THEN 'Aulete' WHEN 1 THEN 'Michaelis' WHEN 2 THEN 'Priberam' WHEN 3 THEN 'Wiktionary' WHEN 4 THEN 'Dicio' ELSE 'Outro' END"
 STAGES = f"""stages AS (SELECT page_id, page_id // 6 AS term, {_SOURCE} AS source, page_id % 4 <> 3 AS ok, page_id % 5 = 0 AS retried, count(p.paragraph) AS definitions, count(p.paragraph) FILTER (length(p.paragraph) < 40) AS synonyms
   FROM pages LEFT JOIN paragraphs p USING (page_id) GROUP BY page_id),
-scored AS (SELECT *, CASE source WHEN 'Aulete' THEN 1.0::DOUBLE WHEN 'Michaelis' THEN 0.96::DOUBLE WHEN 'Priberam' THEN 0.92::DOUBLE WHEN 'Wiktionary' THEN 0.76::DOUBLE WHEN 'Dicio' THEN 0.66::DOUBLE ELSE 0.5::DOUBLE END * 100 + least(definitions, 10) * 2.2::DOUBLE + least(synonyms, 8) * 0.8::DOUBLE + CASE WHEN retried THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END AS quality FROM stages)"""
+scored AS (SELECT *, CASE source WHEN 'Aulete' THEN 1.0::DOUBLE WHEN 'Michaelis' THEN 0.96::DOUBLE WHEN 'Priberam' THEN 0.92::DOUBLE WHEN 'Wiktionary' THEN 0.76::DOUBLE WHEN 'Dicio' THEN 0.66::DOUBLE ELSE 0.5::DOUBLE END * 100 + least(definitions, 10) * 2.2::DOUBLE + least(synonyms, 8) * 0.8::DOUBLE + CASE WHEN retried THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END AS exact, round(exact, 2) AS quality FROM stages)"""
 
 
 def _docs(spark, sf_dir):
@@ -66,16 +66,16 @@ def txt_hyphen(spark, sf_dir):
 
 
 @R.add(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents)
-SELECT doc_id, place, line FROM l WHERE trim(line) <> '' AND NOT regexp_matches(line, '^\s*[-_=*·.—–]{3,}\s*$')""")
+SELECT doc_id, place, line FROM l WHERE trim(line) <> '' AND NOT regexp_matches(trim(line), '^[\s\-_=~.·•]{8,}$')""")
 def txt_rule_lines(spark, sf_dir):
     return texts.without_rules(texts.lines(_docs(spark, sf_dir), "doc_id"))
 
 
 @R.add(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents),
 n AS (SELECT *, trim(regexp_replace(lower(strip_accents(line)), '[^a-z0-9]+', ' ', 'g')) AS norm FROM l WHERE trim(line) <> '')
-SELECT doc_id, place, line FROM n WHERE NOT regexp_matches(norm, '^(pagina |page |p )?[0-9]{1,4}$') AND norm <> 'that it'""")
+SELECT doc_id, place, line FROM n WHERE NOT regexp_matches(regexp_replace(replace(line, chr(160), ' '), '[\s\-–—.,;:()\[\]{}/\\|]+', '', 'g'), '^[0-9]{1,4}$') AND NOT (contains(norm, 'that') AND contains(norm, 'it') AND len(string_split(norm, ' ')) <= 5)""")
 def txt_headers(spark, sf_dir):
-    return texts.without_headers(texts.lines(_docs(spark, sf_dir), "doc_id"), ["that it"])
+    return texts.without_headers(texts.lines(_docs(spark, sf_dir), "doc_id"), ["that", "it"])
 
 
 @R.add("SELECT doc_id, md5(regexp_replace(text, '(?i)eaux', '<mark>\\0</mark>', 'g')) AS digest FROM documents")
@@ -119,10 +119,19 @@ def dict_paragraphs(spark, sf_dir):
     return dictionary.html_paragraphs(table(spark, sf_dir, "pages"), "page_id")
 
 
-@R.add(r"""SELECT item_id, unnest(s) AS sense, generate_subscripts(s, 1) AS place FROM (SELECT item_id, list_filter(list_transform(string_split('1. ' || replace(text, '. ', '; '), ';'), lambda x: trim(x)), lambda x: x <> '') AS s FROM benchmark)""")
+#: Passages with numbers before every other sentence, or with semicolons instead of full stops.
+_SENSES = r"CASE WHEN item_id % 2 = 0 THEN '1. ' || regexp_replace(text, '\. ', '. 2. ', 'g') ELSE replace(text, '. ', '; ') END"
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace({x}, '\[[^\]]+\]|(?i:\(\s*editar\s*\))', ' ', 'g'), '\s+', ' ', 'g'), '^[ \-]+|[ \-]+$', '', 'g')"
+
+
+@R.add(f"""WITH t AS (SELECT item_id, {_CLEAN.format(x=_SENSES)} AS t FROM benchmark),
+p AS (SELECT item_id, string_split(regexp_replace(t, '(^|\\s)(\\d+\\.)', chr(1) || '\\1\\2', 'g'), chr(1)) AS n, string_split_regex(t, '\\s*;\\s+') AS o FROM t),
+c AS (SELECT item_id, list_filter(list_transform(n, lambda x: {_CLEAN.format(x='x')}), lambda x: x <> '') AS n, list_filter(list_transform(o, lambda x: {_CLEAN.format(x='x')}), lambda x: x <> '') AS o FROM p),
+s AS (SELECT item_id, CASE WHEN len(n) > 1 THEN n ELSE o END AS s FROM c)
+SELECT item_id, unnest(s) AS sense, generate_subscripts(s, 1) AS place FROM s""".replace("\\\\", "\\"))
 def dict_senses(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").withColumn("text", F.concat(F.lit("1. "), F.replace("text", F.lit(". "), F.lit("; "))))
-    parts = b.select("item_id", F.posexplode(dictionary.senses(F.col("text"))).alias("at", "sense"))
+    made = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("1. "), F.replace("text", F.lit(". "), F.lit(". 2. ")))).otherwise(F.replace("text", F.lit(". "), F.lit("; ")))
+    parts = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(dictionary.senses(made)).alias("at", "sense"))
     return parts.select("item_id", "sense", (F.col("at") + 1).alias("place"))
 
 
@@ -158,6 +167,61 @@ def dict_merge(spark, sf_dir):
     return dictionary.summary(_stages(spark, sf_dir), "term")
 
 
+_MERGED = f"""lists AS (SELECT s.*, coalesce(list(p.paragraph ORDER BY p.place) FILTER (p.paragraph IS NOT NULL), []) AS d, coalesce(list(p.paragraph ORDER BY p.place) FILTER (length(p.paragraph) < 40), []) AS y,
+    max(CASE WHEN p.place = 1 AND s.page_id % 3 = 0 THEN p.paragraph END) AS e
+  FROM scored s LEFT JOIN paragraphs p USING (page_id) GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY ok DESC, quality DESC, definitions DESC, source) AS by_quality, coalesce(list_position(['Aulete', 'Priberam', 'Michaelis', 'Wiktionary', 'Dicio'], source), 6) AS by_precedence FROM lists)"""
+
+
+def _merged_sql(at: str, most: str) -> str:
+    def once(x: str, n: int) -> str:
+        flat = f"flatten(coalesce(list({x} ORDER BY {at}, source) FILTER (ok), []))"
+        return f"md5(array_to_string(list_filter({flat}, lambda v, i: list_position(list_transform({flat}, lambda z: lower(z)), lower(v)) = i)" + (f"[:{n}]" if most else "") + ", '|'))"
+
+    return f"""WITH {PARAGRAPHS}, {STAGES}, {_MERGED}
+SELECT term, {once('d', 12)} AS definitions, {once('y', 14)} AS synonyms, (list(e ORDER BY {at}, source) FILTER (ok AND e IS NOT NULL))[1] AS etymology,
+  array_to_string(coalesce(list(source ORDER BY {at}, source) FILTER (ok), []), ',') AS sources_ok, array_to_string(coalesce(list(source ORDER BY {at}, source) FILTER (NOT ok), []), ',') AS sources_failed
+FROM placed GROUP BY term"""
+
+
+def _merged(spark, sf_dir, by: str):
+    pages = table(spark, sf_dir, "pages")
+    p = dictionary.html_paragraphs(pages, "page_id").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("place", "paragraph"))).alias("_p"))
+    told = F.coalesce(F.transform("_p", lambda x: x["paragraph"]), F.array().cast("array<string>"))
+    lists = _stages(spark, sf_dir).select("page_id", "term", "source", "ok", "quality").join(p, "page_id", "left").select("term", "source", "ok", "quality", told.alias("definitions"), F.filter(told, lambda x: F.length(x) < 40).alias("synonyms"), F.array().cast("array<string>").alias("examples"), F.when(F.col("page_id") % 3 == 0, F.get(told, F.lit(0))).alias("etymology"))
+    out = dictionary.merged(lists, "term", by)
+    joined = {c: F.md5(F.array_join(c, "|")) for c in ("definitions", "synonyms")} | {c: F.array_join(c, ",") for c in ("sources_ok", "sources_failed")}
+    return out.withColumns(joined).drop("examples")
+
+
+@R.add(_merged_sql("by_quality", ""))
+def dict_summary(spark, sf_dir):
+    """What all sources of a term say, by quality; a term is six pages."""
+    return _merged(spark, sf_dir, "quality")
+
+
+@R.add(_merged_sql("by_precedence", "cut"))
+def dict_summary_by_precedence(spark, sf_dir):
+    return _merged(spark, sf_dir, "precedence")
+
+
+@R.add(None)
+def dict_extracted(spark, sf_dir):
+    """Each page by the rule of one of five sources."""
+    names = F.array(*map(F.lit, dictionary.RULES))
+    pages = table(spark, sf_dir, "pages").withColumn("source", F.get(names, (F.col("page_id") % 5).cast("int")))
+    made = dictionary.extracted(pages, "page_id")
+    return made.select(F.col("term").alias("page_id"), "source", "ok", "quality", F.size("definitions").alias("definitions"), F.size("synonyms").alias("synonyms"), F.size("examples").alias("examples"), F.md5(F.array_join("definitions", "|")).alias("digest"), "error")
+
+
+@R.add(None)
+def dict_updated_entry(spark, sf_dir):
+    """Passages as entries with a pronunciation, a word class, numbered senses and an etymology."""
+    text = F.concat(F.lit("(pro.nun) s.f. 1. "), F.regexp_replace("text", r"\. ", ". 2. "), F.lit(" [F.: Do lat. "), F.substring("text", 1, 9), F.lit("]"))
+    e = dictionary.updated_entry(text)
+    return table(spark, sf_dir, "benchmark").select("item_id", e.alias("e")).select("item_id", "e.pronunciation", "e.grammar", "e.etymology", F.size("e.definitions").alias("senses"), F.md5(F.array_join(F.transform("e.definitions", lambda d: d["text"]), "|")).alias("digest"))
+
+
 @R.add("""WITH p AS (SELECT text AS term, source, doc_id % 3 = 0 AS ok, n_chars AS definitions FROM (SELECT string_split(text, ' ')[1] AS text, source, doc_id, n_chars, row_number() OVER (PARTITION BY string_split(text, ' ')[1], source ORDER BY doc_id) AS n FROM documents) WHERE n = 1),
 r AS (SELECT term, source, bool_or(length(term) % 2 = 0) AS ok, max(definitions) AS definitions FROM p GROUP BY term, source),
 j AS (SELECT p.*, strip_accents(p.term) AS plain, NOT p.ok AND coalesce(r.ok, false) AND strip_accents(p.term) <> p.term AS use, r.definitions AS more FROM p LEFT JOIN r ON strip_accents(p.term) = r.term AND p.source = r.source)
@@ -169,22 +233,24 @@ def dict_accent_fallback(spark, sf_dir):
     return dictionary.with_fallback(p, r, "term")
 
 
-_LOG = "log AS (SELECT event_id, user_id, ts, (props::JSON->>'k')::BIGINT AS k, CASE WHEN event_type = 'error' THEN event_type END AS error, CASE event_id % 4 WHEN 0 THEN 'gpt-5.4-mini' WHEN 1 THEN 'gpt-5.4-nano' WHEN 2 THEN 'gpt-5.4' ELSE 'other' END AS model FROM events)"
+_LOG = "log AS (SELECT event_id, user_id, ts, (props::JSON->>'k')::BIGINT AS k, CASE WHEN event_type = 'error' THEN event_type END AS error, CASE event_id % 5 WHEN 0 THEN 'gpt-5.4-mini-2026' WHEN 1 THEN 'GPT-5.4-nano' WHEN 2 THEN 'gpt-5.4' WHEN 3 THEN 'gpt-5.4-pro' ELSE 'other' END AS model FROM events)"
 
 
 def _log(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     k = F.from_json("props", "k long")["k"]
-    model = F.get(F.array(*map(F.lit, ["gpt-5.4-mini", "gpt-5.4-nano", "gpt-5.4", "other"])), (F.col("event_id") % 4).cast("int"))
-    return e.select("event_id", "user_id", "ts", F.when(F.col("event_type") == "error", F.col("event_type")).alias("error"), model.alias("model"), (k * 10).alias("tokens_in"), k.alias("cached"), (k * 3).alias("tokens_out"))
+    model = F.get(F.array(*map(F.lit, ["gpt-5.4-mini-2026", "GPT-5.4-nano", "gpt-5.4", "gpt-5.4-pro", "other"])), (F.col("event_id") % 5).cast("int"))
+    return e.select("event_id", "user_id", "ts", F.when(F.col("event_type") == "error", F.col("event_type")).alias("error"), model.alias("model"), (k * 10).alias("tokens_in"), F.when(F.col("event_id") % 7 == 0, k * 11).otherwise(k).alias("cached"), (k * 3).alias("tokens_out"))
 
 
-@R.add(f"WITH {_LOG} SELECT user_id, count(*) AS calls, count(*) FILTER (error IS NULL) AS ok, count(*) FILTER (error IS NOT NULL) AS failed, sum(k * 10)::BIGINT AS tokens_in, sum(k * 3)::BIGINT AS tokens_out FROM log GROUP BY user_id")
-def use_totals(spark, sf_dir):
-    return usage.totals(_log(spark, sf_dir), "user_id").drop("brl", "usd")
+_CACHED = "CASE WHEN event_id % 7 = 0 THEN k * 11 ELSE k END"
+_COST = f"(greatest(0, k * 10 - {_CACHED}) * {{}}::DOUBLE + {_CACHED} * {{}}::DOUBLE + k * 3 * {{}}::DOUBLE) / 1e6"
+_PRICE = f"CASE WHEN lower(model) LIKE 'gpt-5.4-mini%' THEN {_COST.format(4.125, 0.4125, 24.75)} WHEN lower(model) LIKE 'gpt-5.4-nano%' THEN {_COST.format(1.1, 0.11, 6.875)} WHEN lower(model) = 'gpt-5.4' THEN {_COST.format(13.75, 1.375, 82.5)} END"
 
 
-_PRICE = "CASE model WHEN 'gpt-5.4-mini' THEN ((k * 10 - k) * 4.125::DOUBLE + k * 0.4125::DOUBLE + k * 3 * 24.75::DOUBLE) / 1e6 WHEN 'gpt-5.4-nano' THEN ((k * 10 - k) * 1.1::DOUBLE + k * 0.11::DOUBLE + k * 3 * 6.875::DOUBLE) / 1e6 WHEN 'gpt-5.4' THEN ((k * 10 - k) * 13.75::DOUBLE + k * 1.375::DOUBLE + k * 3 * 82.5::DOUBLE) / 1e6 END"
+@R.add(f"WITH {_LOG} SELECT user_id, count(*) AS calls, count(*) FILTER (error IS NULL) AS ok, count(*) FILTER (error IS NOT NULL) AS failed, sum(k * 10)::BIGINT AS tokens_in, sum(k * 3)::BIGINT AS tokens_out, round(sum({_PRICE}), 6) AS brl, round(sum({_PRICE}) / 5.5, 6) AS usd FROM log GROUP BY user_id")
+def use_totals(spark, sf_dir):
+    return usage.totals(_log(spark, sf_dir), "user_id").withColumns({c: F.round(c, 6) for c in ("brl", "usd")})
 
 
 @R.add(f"WITH {_LOG} SELECT event_id, {_PRICE} AS brl FROM log")
@@ -192,15 +258,29 @@ def use_cost(spark, sf_dir):
     return _log(spark, sf_dir).select("event_id", usage.cost_brl(F.col("model"), F.col("tokens_in"), F.col("cached"), F.col("tokens_out")).alias("brl"))
 
 
+@R.add("""WITH r AS (SELECT conv_id, turn, w AS r, i FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM conversations) WHERE trim(w) <> ''),
+f AS (SELECT conv_id, trim(r) AS reference, min(turn * 1000000 + i) AS seen FROM r GROUP BY ALL)
+SELECT conv_id, reference, row_number() OVER (PARTITION BY conv_id ORDER BY seen, reference) AS place FROM f""")
+def use_references(spark, sf_dir):
+    return usage.references(table(spark, sf_dir, "conversations").withColumn("refs", F.split("text", " ")), "conv_id", "refs", "turn")
+
+
 @R.add("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events QUALIFY rank <= 80")
 def use_recent(spark, sf_dir):
     return usage.recent(table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "rank")
 
 
-@R.add("""SELECT doc_id, '(' || concat_ws(', ', '**' || source || '**', CASE WHEN doc_id % 2 = 0 THEN '01/02/2014' END, CASE WHEN doc_id % 2 = 0 THEN nullif(lang, '') END, 'p. ' || (doc_id // 10 + 1)) || ')' AS line FROM documents""")
+_DATE, _PAGE = "CASE WHEN doc_id % 5 <> 0 THEN '01/02/2014' END", "CASE WHEN doc_id % 7 <> 0 THEN 'p. ' || (doc_id // 10 + 1) END"
+
+
+@R.add(f"""SELECT doc_id, '(' || CASE doc_id % 3 WHEN 0 THEN concat_ws(', ', '**' || source || '**', {_DATE}, nullif(lang, ''), {_PAGE}) WHEN 1 THEN '**' || source || '**, verbete *' || CASE WHEN doc_id % 2 = 0 THEN lang ELSE 's/titulo' END || '*'
+  ELSE concat_ws(', ', '**' || source || '**', {_PAGE}) END || ')' AS line FROM documents""")
 def card_source_line(spark, sf_dir):
-    kind = F.when(F.col("doc_id") % 2 == 0, "QUEST").otherwise("EC")
-    return _docs(spark, sf_dir).select("doc_id", texts.source_line(kind, F.col("source"), F.lit("01/02/2014"), F.col("lang"), (F.floor(F.col("doc_id") / 10) + 1)).alias("line"))
+    n = F.col("doc_id")
+    kind = F.get(F.array(*map(F.lit, ["QUEST", "EC", "LO"])), (n % 3).cast("int"))
+    page = F.when(n % 7 != 0, (F.floor(n / 10) + 1).cast("string")).otherwise(" ")
+    line = texts.source_line(kind, F.col("source"), F.when(n % 2 == 0, F.col("lang")), F.when(n % 5 != 0, "01/02/2014"), F.col("lang"), page)
+    return _docs(spark, sf_dir).select("doc_id", line.alias("line"))
 
 
 @R.add("SELECT doc_id, CASE WHEN lang = source THEN lang ELSE concat_ws(' | ', nullif(trim(source), ''), nullif(trim(lang), ''), n_chars::VARCHAR) END AS line FROM documents")

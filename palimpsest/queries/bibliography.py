@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import fuzzy
-from palimpsest.operators import biblio
+from palimpsest.operators import biblio, external
 from palimpsest.queries.common import Registry, n7, table
 
 R = Registry()
@@ -51,7 +51,7 @@ def bib_penalties(spark, sf_dir):
 
 @R.add(None)
 def bib_match(spark, sf_dir):
-    return biblio.match(_refs(spark, sf_dir), "p_partkey", author="Supplier 3", title="part 12", year=2010)
+    return biblio.match(_refs(spark, sf_dir), "p_partkey", author="Supplier 3", title="small widget", year=2010)
 
 
 _WORKS = f"{REFS}, works AS (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE extra END AS editora, lower(split_part(titulo, ' ', 1)) || '::' || lower(extra) AS key, CASE p_partkey % 4 WHEN 0 THEN 'original' WHEN 1 THEN 'resumo' WHEN 2 THEN 'estudo' ELSE 'outro' END AS nature FROM refs)"
@@ -74,7 +74,7 @@ def ext_dedup_latest(spark, sf_dir):
     return biblio.latest_works(w, F.col("key"), "rich", "ano", "p_partkey").select("key", "place", "p_partkey", "records")
 
 
-@R.add(f"WITH {_WORKS} SELECT p_partkey, nature FROM works w WHERE nature NOT IN ('resumo', 'estudo', 'adaptacao') OR NOT EXISTS (SELECT 1 FROM works o WHERE o.key = w.key AND o.nature = 'original')")
+@R.add(f"WITH {_WORKS}, known AS (SELECT *, bool_or(nature = 'original') OVER (PARTITION BY key) AS original FROM works) SELECT p_partkey, nature FROM known WHERE NOT original OR nature NOT IN ('resumo', 'estudo', 'adaptacao')")
 def ext_nature_filter(spark, sf_dir):
     return biblio.natures(_works(spark, sf_dir), "key", "nature").select("p_partkey", "nature")
 
@@ -86,7 +86,7 @@ def ext_enrich(spark, sf_dir):
     return biblio.filled(w, more, "key", ["editora"]).select("p_partkey", "editora")
 
 
-@R.add("SELECT p_partkey, CASE WHEN p_size * 2 >= 90 THEN 'muito alta' WHEN p_size * 2 >= 75 THEN 'alta' WHEN p_size * 2 >= 60 THEN 'media' ELSE 'baixa' END AS band FROM part")
+@R.add("SELECT p_partkey, CASE WHEN p_size * 2 >= 90 THEN 'Alta confiabilidade' WHEN p_size * 2 >= 75 THEN 'Confiabilidade moderada' WHEN p_size * 2 >= 60 THEN 'Confiabilidade baixa' ELSE 'Confiabilidade critica' END AS band FROM part")
 def ext_confidence_bands(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", biblio.band(F.col("p_size") * 2).alias("band"))
 
@@ -95,14 +95,25 @@ def ext_confidence_bands(spark, sf_dir):
 def ext_confidence(spark, sf_dir):
     from pyspark.sql import Window
 
-    w = _works(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("p_partkey")))
+    w = _works(spark, sf_dir).withColumn("sobrenome", F.element_at(F.split("autor", "#"), -1)).withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("p_partkey")))
     return biblio.confidence(w, "key", "rank")
 
 
-@R.add(f"WITH {_WORKS} SELECT p_partkey, concat_ws('; ', '**' || split_part(autor, '#', 1) || '**, ' || split_part(autor, '#', 2), '***' || titulo || '***', nullif(editora, ''), tipo, ano::VARCHAR) || '.' AS line FROM works")
+@R.add(f"WITH {_WORKS} SELECT p_partkey, concat_ws('; ', '**' || split_part(autor, '#', 1) || '**, ' || split_part(autor, '#', 2), '***' || titulo || '***', (ano - 1900) || ' p.', nullif(editora, ''), tipo, ano::VARCHAR || '.') AS line FROM works")
 def ext_reference_text(spark, sf_dir):
     a = F.split("autor", "#")
-    return _works(spark, sf_dir).select("p_partkey", biblio.reference_text(a[0], a[1], F.col("titulo"), F.col("editora"), F.col("tipo"), F.lit(None).cast("string"), F.col("ano")).alias("line"))
+    people, pages = F.array(F.struct(a[0].alias("sobrenome"), a[1].alias("nome"))), F.concat((F.col("ano") - 1900).cast("string"), F.lit(" p."))
+    return _works(spark, sf_dir).select("p_partkey", biblio.reference_text(people, F.col("titulo"), pages, F.lit(None).cast("string"), F.col("editora"), F.col("tipo"), F.col("ano")).alias("line"))
+
+
+@R.add(None)
+def ext_search(spark, sf_dir):
+    """Parts as records of two services, searched by author and title."""
+    w = _works(spark, sf_dir)
+    source = F.when(F.col("p_partkey") % 2 == 0, "google").otherwise("open_library")
+    a = F.split("autor", "#")
+    records = w.select(source.alias("source"), F.col("p_partkey").alias("pos"), "titulo", F.col("ano").cast("string").alias("ano"), "editora", F.lit(None).cast("string").alias("local"), F.when(F.col("p_partkey") % 4 != 0, "12 p.").alias("paginas_totais"), F.lit(None).cast("string").alias("revista"), F.lit("livro").alias("tipo"), F.array(F.struct(a[0].alias("sobrenome"), a[1].alias("nome"))).alias("autores"))
+    return external.search(records, {"title": "small widget", "author": "Ann Supplier"}).select("rank", "titulo", "ano", F.round("score", 6).alias("score"), "reference")
 
 
 _GROUPED = """rows AS (SELECT CASE WHEN o_orderdate > DATE '1996-06-30' THEN 1 ELSE 0 END AS part, c_name AS author, o_orderkey AS number, o_orderpriority || ' ' || o_orderkey AS title FROM orders JOIN customer ON o_custkey = c_custkey)"""
@@ -115,11 +126,39 @@ def refs_grouped(spark, sf_dir):
     return biblio.grouped_references(o, "c_name", "title", "o_orderkey", "o_orderdate", "1996-06-30").withColumnRenamed("c_name", "author")
 
 
-@R.add("""WITH t AS (SELECT DISTINCT lower(p_type) AS q FROM part), r AS (SELECT p_partkey, lower(p_type) AS t FROM part)
-SELECT q AS title, min(p_partkey) AS p_partkey, 'exact' AS method FROM t JOIN r ON q = t GROUP BY q""")
+#: Titles that are asked for: types of parts, their first word with the second, and all of them with a word more.
+_ASKED = "SELECT DISTINCT unnest([lower(p_type), substr(p_type, 1, length(p_type) - 2), p_type || ' extra', substr(p_type, 3)]) AS q FROM part"
+
+
+@R.add(f"""WITH t AS ({_ASKED}), r AS (SELECT p_partkey, {n7('p_type')} AS t FROM part), n AS (SELECT q, {n7('q')} AS k FROM t),
+e AS (SELECT q, min(p_partkey) AS p FROM n JOIN r ON k = t GROUP BY q),
+l AS (SELECT q, min(p_partkey) AS p FROM n JOIN r ON contains(t, k) OR contains(k, t) WHERE q NOT IN (SELECT q FROM e) GROUP BY q)
+SELECT q AS title, p AS p_partkey, 'exact' AS method FROM e UNION ALL SELECT q, p, 'contains' FROM l""")
 def refs_title_lookup(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    return biblio.title_lookup(p.select(F.lower("p_type").alias("title")).distinct(), p, "title", "p_type", "p_partkey")
+    t = F.col("p_type")
+    wanted = F.array(F.lower(t), F.substring(t, F.lit(1), F.length(t) - 2), F.concat(t, F.lit(" extra")), F.substring(t, F.lit(3), F.length(t)))
+    return biblio.title_lookup(p.select(F.explode(wanted).alias("title")).distinct(), p, "title", "p_type", "p_partkey")
+
+
+_BOOK = "CASE WHEN p_size <= 9 THEN 'c' || p_size ELSE p_type END"
+
+
+@R.add(f"""SELECT p_partkey, CASE {_BOOK} WHEN 'c1' THEN 'One' WHEN 'c2' THEN 'Two' WHEN 'c3' THEN 'Three' ELSE
+  CASE WHEN contains(lower({_BOOK}), 'prom') AND contains(lower({_BOOK}), 'o') THEN 'One' WHEN contains(lower({_BOOK}), 'st') THEN 'Two' WHEN contains(lower({_BOOK}), 'e') THEN 'Three' ELSE 'none' END END AS title FROM part""")
+def refs_book_code(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    asked = F.when(F.col("p_size") <= 9, F.concat(F.lit("c"), F.col("p_size").cast("string"))).otherwise(F.col("p_type"))
+    codes, cues = {"C1": "One", "C2": "Two", "C3": "Three"}, [(["prom", "o"], "C1"), (["st"], "C2"), (["e"], "C3")]
+    return p.select("p_partkey", biblio.book_code(asked, codes, cues, "none").alias("title"))
+
+
+@R.add("""SELECT o_orderkey, o_orderkey AS number, '**C' || o_custkey || '**, Ann' AS author, '***T' || o_orderkey || '*** (n. ' || o_orderkey || '; a)' AS title, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate::DATE END AS day FROM orders""")
+def refs_parts(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    key, day = F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "dd.MM.yyyy")).otherwise(F.lit("99.99.2000"))
+    text = F.concat(F.lit("**C"), F.col("o_custkey").cast("string"), F.lit("**, Ann; ***T"), key, F.lit("*** (n. "), key, F.lit("; a); "), day)
+    return o.select("o_orderkey", biblio.reference_parts(F.lit(""), text, F.when(F.col("o_orderkey") % 3 == 0, key)).alias("x")).select("o_orderkey", "x.*")
 
 
 @R.add("SELECT o_orderkey, o_orderdate::DATE AS day FROM orders")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators import lexical
+from palimpsest.tables import kept
 
 
 class Registry:
@@ -33,7 +34,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.indexed(corpus(spark, sf_dir), F.array("text", "title", "area", F.col("doc_id").cast("string")))
+    """The corpus with its normalised texts and segments, a table that the session's first search writes."""
+    made = lambda: lexical.indexed(corpus(spark, sf_dir), F.array("text", "title", "area", F.col("doc_id").cast("string")))
+    return kept("corpus", table(spark, sf_dir, "documents"), made)
 
 
 def n1(x: str) -> str:

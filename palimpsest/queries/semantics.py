@@ -86,17 +86,44 @@ def sem_overview_totals(spark, sf_dir):
     return o.groupBy("index_id").agg(F.max("total").alias("total"), F.count("*").alias("shown"), F.max("score").alias("top_score"))
 
 
+#: Recommended thresholds of indexes; every third one has none.
+_LIMITS = "limits AS (SELECT DISTINCT label::VARCHAR AS index_id, CASE WHEN label % 3 = 0 THEN NULL ELSE (label % 3) / 10.0::DOUBLE END AS recommended FROM embeddings)"
+
+
+def _limits(spark, sf_dir):
+    labels = table(spark, sf_dir, "embeddings").select("label").distinct()
+    return labels.select(F.col("label").cast("string").alias("index_id"), F.when(F.col("label") % 3 != 0, (F.col("label") % 3) / 10.0).alias("recommended"))
+
+
+@R.add(f"WITH {INDEX}, {_LIMITS} SELECT index_id, count(*) AS total FROM idx JOIN limits USING (index_id) WHERE semantic >= coalesce(recommended, 0.25) GROUP BY index_id")
+def sem_own_thresholds(spark, sf_dir):
+    """Each index by its own recommended threshold."""
+    return semantic.counts(semantic.eligible(_index(spark, sf_dir), _vector(spark, sf_dir), thresholds=_limits(spark, sf_dir))).select("index_id", "total")
+
+
+@R.add(f"WITH {_POOL.replace("{k}", "12")}, top AS (SELECT *, row_number() OVER (ORDER BY score DESC, lower(index_id), rank) AS overall FROM best QUALIFY overall <= 12) SELECT index_id, 'L' || index_id AS label, max(total) AS total, count(*) AS shown_count, max(score) AS top_score, row_number() OVER (ORDER BY max(score) DESC, min(overall)) AS place FROM top GROUP BY index_id")
+def sem_overview_groups(spark, sf_dir):
+    """Indexes by their best row."""
+    shown = semantic.overview(_index(spark, sf_dir), _vector(spark, sf_dir), QUERY, 12, 0.0)
+    labels = _limits(spark, sf_dir).select("index_id", F.concat(F.lit("L"), "index_id").alias("label"))
+    return semantic.overview_groups(shown, labels).drop("matches")
+
+
+@R.add(f"WITH {INDEX}, {_LIMITS}, normal AS (SELECT *, {_TEXT} AS t FROM idx JOIN limits USING (index_id) WHERE semantic >= coalesce(recommended, 0.25)), s AS (SELECT count(*) FILTER (NOT (contains(t, 'que') AND contains(t, 'eaux'))) AS total, count(*) FILTER (contains(t, 'que') AND contains(t, 'eaux')) AS filtered FROM normal) SELECT (SELECT count(*) FROM limits) AS indexes, (SELECT min(coalesce(recommended, 0.25::DOUBLE)) FROM limits) AS lowest_recommended, (SELECT max(coalesce(recommended, 0.25::DOUBLE)) FROM limits) AS highest_recommended, total, filtered FROM s")
+def sem_overview_all(spark, sf_dir):
+    """Totals over all indexes, shown or not."""
+    limits = _limits(spark, sf_dir)
+    return semantic.overview_totals(semantic.eligible(_index(spark, sf_dir), _vector(spark, sf_dir), "que eaux", exclude=True, thresholds=limits), limits, limits)
+
+
 @R.add("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id, list_dot_product(embedding::DOUBLE[], q) AS similarity FROM embeddings, q)
 SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS place FROM s QUALIFY place <= 3""")
 def sem_multi_query(spark, sf_dir):
-    """A stated set of queries against all vectors; each partition keeps what may be among the best."""
-    from pyspark.sql import Window
-
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    s = e.crossJoin(q).select("query_id", "vec_id", semantic.dot(F.col("embedding"), F.col("q")).alias("similarity"))
-    return s.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).where("place <= 3").select("query_id", "vec_id", "place")
+    """A stated set of queries against all vectors."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = e.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    return semantic.nearest(e, asked, 3).select("query_id", F.col("id").alias("vec_id"), "place")
 
 
 @R.add("SELECT vec_id, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS size, (embedding[1]::DOUBLE) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS first FROM embeddings")
@@ -105,23 +132,32 @@ def vec_l2(spark, sf_dir):
     return e.select("vec_id", F.sqrt(semantic.dot(F.col("embedding"), F.col("embedding"))).alias("size"), semantic.unit(F.col("embedding"))[0].alias("first"))
 
 
-@R.add("""WITH p AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS nth, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS size FROM embeddings WHERE vec_id < 3),
-m AS (SELECT nth, sum(x / size * CASE vec_id WHEN 0 THEN 1.0 WHEN 1 THEN 0.84 ELSE 0.72 END) / 2.56 AS x FROM p GROUP BY nth)
+@R.add("""WITH p AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS nth, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS size, CASE vec_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.84 ELSE 0.72 END AS weight FROM embeddings),
+m AS (SELECT nth, sum(x / size * weight) / sum(weight) AS x FROM p GROUP BY nth)
 SELECT nth - 1 AS nth, round(x / (SELECT sqrt(sum(x * x)) FROM m), 6) AS x FROM m""")
 def sem_weighted_query(spark, sf_dir):
-    q = table(spark, sf_dir, "embeddings").where("vec_id < 3").select("embedding", F.when(F.col("vec_id") == 0, 1.0).when(F.col("vec_id") == 1, 0.84).otherwise(0.72).alias("weight"))
+    n = F.col("vec_id") % 3
+    q = table(spark, sf_dir, "embeddings").select("embedding", F.when(n == 0, 1.0).when(n == 1, 0.84).otherwise(0.72).alias("weight"))
     return semantic.weighted_query(q).select(F.posexplode("embedding").alias("nth", "x")).select("nth", F.round("x", 6).alias("x"))
 
 
-@R.add("WITH s AS (SELECT a.label::VARCHAR AS index_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + 40) SELECT index_id, count(*) AS pairs, quantile_cont(similarity, 0.95) AS p95, quantile_cont(similarity, 0.99) AS p99, quantile_cont(similarity, 0.999) AS p999, max(similarity) AS highest, greatest(0.25, least(1.0, ceil((quantile_cont(similarity, 0.99) + 0.02) * 100) / 100)) AS recommended FROM s GROUP BY index_id")
+_DRAW = "(('0x' || substr(md5('0|{}|' || index_id || '|' || k), 1, 15))::BIGINT % {})"
+
+
+@R.add(f"""WITH v AS (SELECT label::VARCHAR AS index_id, embedding::DOUBLE[] AS x, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM embeddings),
+sizes AS (SELECT index_id, count(*) AS n FROM v GROUP BY index_id HAVING count(*) > 1),
+draws AS (SELECT index_id, n, unnest(range(1, least(greatest(500, 2 * n), 5000) + 1)) AS k FROM sizes),
+ends AS (SELECT index_id, {_DRAW.format(0, 'n')} AS l, ({_DRAW.format(0, 'n')} + 1 + {_DRAW.format(1, '(n - 1)')}) % n AS r FROM draws),
+s AS (SELECT e.index_id, list_dot_product(a.x, b.x) AS similarity FROM ends e JOIN v a ON a.index_id = e.index_id AND a.pos = e.l JOIN v b ON b.index_id = e.index_id AND b.pos = e.r)
+SELECT index_id, count(*) AS pairs, round(avg(similarity), 9) AS mean, quantile_cont(similarity, 0.95) AS p95, quantile_cont(similarity, 0.99) AS p99, quantile_cont(similarity, 0.999) AS p999, max(similarity) AS highest, greatest(0.25, least(1.0, ceil((quantile_cont(similarity, 0.99) + 0.02) * 100) / 100)) AS recommended FROM s GROUP BY index_id""")
 def sem_calibration(spark, sf_dir):
-    """Pairs of each index that lie near each other in the table, so each vector has a bounded number."""
+    """Random pairs of each index, 5000 at most."""
+    from pyspark.sql import Window
+
     e = table(spark, sf_dir, "embeddings")
-    near = F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 40)).alias("other")
-    a = e.select(F.col("label").cast("string").alias("index_id"), F.col("embedding").alias("x"), near)
-    b = e.select(F.col("label").cast("string").alias("_label"), F.col("vec_id").alias("other"), F.col("embedding").alias("y"))
-    pairs = a.join(b, "other").where("index_id = _label").select("index_id", semantic.dot(F.col("x"), F.col("y")).alias("similarity"))
-    return semantic.calibration(pairs).drop("mean")
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    v = e.select(F.col("label").cast("string").alias("index_id"), place.alias("pos"), "embedding")
+    return semantic.calibration(semantic.sampled_pairs(v)).withColumn("mean", F.round("mean", 9))
 
 
 @R.add("SELECT vec_id, greatest(0.25, least(1.0, ceil((abs(embedding[1]::DOUBLE) + 0.02) * 100) / 100)) AS recommended FROM embeddings")

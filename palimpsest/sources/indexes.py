@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators import chunks as chunking
 from palimpsest.operators import citations, lexical, semantic
 
 VERSION = 1
@@ -60,3 +61,52 @@ def joined(metadata: DataFrame, vectors: DataFrame) -> DataFrame:
 def recalibrated(vectors: DataFrame) -> DataFrame:
     """Statistics and recommended threshold of each index, from what is stored."""
     return semantic.calibration(semantic.sampled_pairs(vectors))
+
+
+def source_rows(sheet: DataFrame, text: str = "text", metadata: list[str] = ()) -> DataFrame:
+    """(row, text, text_plain, metadata) of the rows of workbooks (row, data) that have a text; blank metadata is left out.
+
+    Column names are compared in lower case; the metadata's keys keep their spelling.
+    """
+    body = F.trim(F.coalesce(F.col("data")[text.strip().lower()], F.lit("")))
+    entries_ = F.array(*(F.struct(F.lit(m).alias("key"), F.trim(F.coalesce(F.col("data")[m.lower()], F.lit(""))).alias("value")) for m in metadata if m.strip()))
+    said = F.map_from_entries(F.filter(entries_, lambda e: e["value"] != "")) if metadata else F.create_map().cast("map<string,string>")
+    return sheet.select("row", body.alias("text"), body.alias("text_plain"), said.alias("metadata")).where("text != ''")
+
+
+def rows_to_rebuild(sheet: DataFrame | None, snapshot: DataFrame, source_file: str, text: str = "text", metadata: list[str] = (), require: bool = False) -> tuple[DataFrame, str, str | None]:
+    """(rows, basis, warning): those of the source file, else those that the index keeps; FileNotFoundError if it must be the file."""
+    if sheet is not None and sheet.take(1):
+        return source_rows(sheet, text, metadata), "source_file", None
+    if source_file and require:
+        raise FileNotFoundError(f"no such source file: {source_file}")
+    warning = f"the source file is missing, the rows of the kept metadata.json are used ({source_file})" if source_file else None
+    return snapshot, "metadata_snapshot", warning
+
+
+def rebuild(rows: DataFrame, index_id: str, label: str, embed, path: str, model: str, basis: str, warning: str | None, sizes: tuple[int, int, int] = (280, 420, 110)) -> DataFrame:
+    """Writes an index anew, rows, vectors and manifest, and returns one row that says what was done.
+
+    embed(chunks) gives chunks (with embedding_text) an `embedding` column: any provider that works on a DataFrame, in
+    batches or from a table. Vectors are brought to length 1 and calibrated as they are stored.
+    """
+    spark = rows.sparkSession
+    chunks = chunking.rechunked(rows, label, *sizes)
+    order = Window.orderBy("row", F.coalesce(F.col("metadata")["chunk_index"].cast("int"), F.lit(0)))
+    placed = chunks.withColumn("pos", F.row_number().over(order) - 1)  # an index is numbered from 0 on, in the order of its source
+    made = embed(placed).select(F.lit(index_id).alias("index_id"), "pos", "row", "text", "text_plain", "metadata", F.transform(semantic.unit(F.col("embedding")), lambda x: x.cast("float")).alias("embedding"))
+    made.drop("embedding").write.mode("overwrite").parquet(f"{path}/metadata")
+    made.select("index_id", "pos", "embedding").write.mode("overwrite").parquet(f"{path}/embeddings")
+    vectors = spark.read.parquet(f"{path}/embeddings")
+    counts = vectors.groupBy("index_id").agg(F.count("*").alias("rows"), F.max(F.size("embedding")).alias("dimensions"))
+    stats = semantic.calibration(semantic.sampled_pairs(vectors))
+    payload = semantic.calibration_payload(stats, counts.select("index_id", "rows"), F.current_timestamp())
+    recommended = stats.select("index_id", F.col("recommended").alias("recommended_min_score"))
+    chunked_ = F.struct(F.lit(1).alias("version"), F.lit("structural_sentence_rechunk").alias("strategy"), *(F.lit(n).alias(c) for c, n in zip(("targetChars", "maxChars", "minChars"), sizes, strict=True)), F.lit(rows.count()).alias("rebuiltFromRows"))
+    manifest = counts.join(recommended, "index_id", "left").join(payload, "index_id").select(
+        F.col("index_id").alias("id"), F.lit(label).alias("index_label"), F.lit(model).alias("model"), F.lit("float32").alias("embedding_dtype"), "dimensions", F.col("rows").alias("indexed_rows"), F.lit("l2").alias("normalization"),
+        F.coalesce("recommended_min_score", F.lit(semantic.FLOOR)).alias("recommended_min_score"), "score_calibration", F.lit(basis).alias("rebuild_basis"), chunked_.alias("chunking"), F.current_timestamp().alias("generated_at"),
+    )
+    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
+    written = spark.read.parquet(f"{path}/manifest")
+    return written.select(F.col("id").alias("index_id"), F.col("chunking.rebuiltFromRows").alias("rows_before"), F.col("indexed_rows").alias("rows_after"), "model", "recommended_min_score", "rebuild_basis", F.lit(warning).cast("string").alias("warning"))

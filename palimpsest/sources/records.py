@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.operators.biblio import year_of
-
 RECORD = ["titulo", "ano", "editora", "local", "paginas_totais", "revista", "tipo", "autores"]
 
 
@@ -21,21 +19,29 @@ def _record(rows: DataFrame, key: str, **columns: Column) -> DataFrame:
 
 
 def google_books(answers: DataFrame, key: str, json: str = "json") -> DataFrame:
-    schema = "items array<struct<volumeInfo:struct<title:string,subtitle:string,authors:array<string>,publisher:string,publishedDate:string,pageCount:string>>>"
-    rows = answers.select(key, F.explode(F.from_json(json, schema)["items"]).alias("i")).select(key, "i.volumeInfo.*").where("title is not null")
-    return _record(rows, key, titulo=F.concat_ws(": ", "title", "subtitle"), ano=year_of(F.col("publishedDate")).cast("string"), editora=F.col("publisher"), paginas_totais=F.col("pageCount"), tipo=F.lit("livro"), autores=F.transform(F.slice("authors", 1, 6), person))
+    schema = "items array<struct<volumeInfo:struct<title:string,authors:array<string>,publisher:string,publishedDate:string,pageCount:string>>>"
+    rows = answers.select(key, F.explode(F.from_json(json, schema)["items"]).alias("i")).select(key, "i.volumeInfo.*")
+    pages = F.when(F.coalesce("pageCount", F.lit("0")) != "0", F.concat("pageCount", F.lit(" p.")))
+    return _record(rows, key, titulo=F.coalesce("title", F.lit("")), ano=F.substring(F.coalesce("publishedDate", F.lit("")), 1, 4), editora=F.col("publisher"), paginas_totais=pages, tipo=F.lit("livro"), autores=_people("authors"))
 
 
 def open_library(answers: DataFrame, key: str, json: str = "json") -> DataFrame:
-    schema = "docs array<struct<title:string,author_name:array<string>,publisher:array<string>,publish_place:array<string>,first_publish_year:string,number_of_pages_median:string>>"
-    rows = answers.select(key, F.explode(F.from_json(json, schema)["docs"]).alias("d")).select(key, "d.*").where("title is not null")
-    return _record(rows, key, titulo=F.col("title"), ano=year_of(F.col("first_publish_year")).cast("string"), editora=F.get("publisher", F.lit(0)), local=F.get("publish_place", F.lit(0)), paginas_totais=F.col("number_of_pages_median"), tipo=F.lit("livro"), autores=F.transform(F.slice("author_name", 1, 6), person))
+    schema = "docs array<struct<title:string,author_name:array<string>,first_publish_year:string>>"
+    rows = answers.select(key, F.explode(F.from_json(json, schema)["docs"]).alias("d")).select(key, "d.*")
+    return _record(rows, key, titulo=F.coalesce("title", F.lit("")), ano=F.coalesce("first_publish_year", F.lit("")), tipo=F.lit("livro"), autores=_people("author_name"))
+
+
+def _people(names: str) -> Column:
+    """The first six names that are not blank, as persons."""
+    some = F.filter(F.slice(F.coalesce(names, F.array().cast("array<string>")), 1, 6), lambda n: F.trim(n) != "")
+    return F.transform(some, person)
 
 
 def crossref(answers: DataFrame, key: str, json: str = "json") -> DataFrame:
     schema = "message struct<items:array<struct<title:array<string>,author:array<struct<given:string,family:string>>,publisher:string,`container-title`:array<string>,page:string,issued:struct<`date-parts`:array<array<int>>>>>>"
     rows = answers.select(key, F.explode(F.from_json(json, schema)["message"]["items"]).alias("i")).select(key, "i.*")
-    rows = rows.withColumn("titulo", F.get("title", F.lit(0))).where("titulo is not null")
-    authors = F.transform(F.slice("author", 1, 10), lambda a: F.struct(a["family"].alias("sobrenome"), a["given"].alias("nome")))
+    rows = rows.withColumn("titulo", F.coalesce(F.get("title", F.lit(0)), F.lit("")))
+    people = F.slice(F.coalesce("author", F.expr("array()").cast("array<struct<given:string,family:string>>")), 1, 10)
+    authors = F.transform(people, lambda a: F.struct(F.coalesce(a["family"], F.lit("")).alias("sobrenome"), F.coalesce(a["given"], F.lit("")).alias("nome")))
     year = F.get(F.get(F.col("issued")["date-parts"], F.lit(0)), F.lit(0))
-    return _record(rows, key, titulo=F.col("titulo"), ano=year.cast("string"), editora=F.col("publisher"), revista=F.get("container-title", F.lit(0)), paginas_totais=F.col("page"), tipo=F.lit("artigo"), autores=authors)
+    return _record(rows, key, titulo=F.col("titulo"), ano=F.coalesce(year.cast("string"), F.lit("")), editora=F.col("publisher"), revista=F.coalesce(F.get("container-title", F.lit(0)), F.lit("")), tipo=F.lit("artigo"), autores=authors)
