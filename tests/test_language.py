@@ -146,16 +146,35 @@ def test_fields_and_limits(spark):
 def test_cards(spark):
     from palimpsest.operators import cards
 
-    df = spark.createDataFrame([({"title": "T", "area": "x", "autor": "a"}, {"title": "U", "area": "x", "page": "3", "author": "A", "z": " "})], "base map<string,string>, raw map<string,string>")
-    made = df.select(cards.merged_metadata(F.col("base"), F.col("raw")).alias("m")).select("m", cards.without_aliases(F.col("m")).alias("n")).first()
-    assert made.m == {"title": "T", "area": "x", "autor": "a", "raw_title": "U", "page": "3", "author": "A"} and set(made.n) == set(made.m) - {"autor"}
+    df = spark.createDataFrame([({"title": "T", "area": "x", "raw_title": "R"}, {"title": "U", "area": "x", "page": "3", "z": " "}), ({"title": "T"}, {"title": "T"})], "base map<string,string>, raw map<string,string>")
+    made = [r.m for r in df.select(cards.merged_metadata(F.col("base"), F.col("raw")).alias("m")).collect()]
+    assert made == [{"title": "T", "area": "x", "raw_title": "R", "raw_title_2": "U", "page": "3"}, {"title": "T"}]
+    meta = {"tema": "Tema", "autor": "E.Q.", "author": "e.q.", "title": "tema ", "number": "12", "pagina": "4", "numero": "12", "Area": "A", "book": "LO", "sourcebook": "L"}
+    shown = spark.createDataFrame([(meta,)], "m map<string,string>").select(cards.metadata_entries(F.col("m"))).first()[0]
+    assert shown == ["L", "tema", "Area: A", "author: e.q.", "p. 4", "numero: 12", "book: LO"]
     rows = spark.createDataFrame([("p|q", "m", "b", "t", "4", 97.32, "inicio"), (None, None, None, None, None, None, None)], "a string, b string, c string, d string, e string, f double, g string")
     lines = [r.line for r in cards.citation_rows(rows, "a", "b", "c", "d", "e", "f", "g").collect()]
     assert lines == ["| p\\|q | m | b | t | 4 | 97.32 | inicio |", "| N/D | N/D | N/D | N/D | N/D | 0.00 | sem_match |"]
     assert cards.highlight_terms('abc* & "de fgh" !zz') == ["de fgh", "abc"]
-    one = spark.createDataFrame([('"Pergunta" | W: W: Resposta', "**b** *i* <x> [l](http://a)", "<b>b</b> <i>i</i>&lt;")], "q string, m string, h string")
-    got = one.select(cards.answer_text(F.col("q")), cards.inline_html(F.col("m")), cards.inline_markdown(F.col("h")), cards.numbered(F.lit(3), F.lit(12)), cards.dictionary_card(F.lit("t"), F.array(F.lit("d")), F.array(F.lit("s")), F.array().cast("array<string>"))).first()
-    assert tuple(got) == ('**"Pergunta"**\n**W:** Resposta', '<strong>b</strong> <em>i</em> &lt;x&gt; <a href="http://a">l</a>', "**b** *i*<", "03", "**t**\n- d\nSinonimos: s")
+    one = spark.createDataFrame([('"Pergunta" | **W:** w: Resposta', "**b** *i* __c__ _d_ a_b_c ***e*** <x> [l](http://a)", "<b>b</b> <i>i</i>&lt;<br>x", "Termo: abc* \"de fgh\" !zz abc | Total: 3")], "q string, m string, h string, s string")
+    got = one.select(cards.answer_text(F.col("q")), cards.inline_html(F.col("m")), cards.inline_markdown(F.col("h")), cards.numbered(F.lit(3), F.lit(12)), cards.dictionary_card(F.lit("t"), F.array(F.lit("d")), F.array(F.lit("s")), F.array().cast("array<string>")), cards.summary_terms(F.col("s"))).first()
+    link = '<a href="http://a" target="_blank" rel="noopener noreferrer">l</a>'
+    assert tuple(got) == ('**"Pergunta"** | **W:** Resposta', f"<strong>b</strong> <em>i</em> <strong>c</strong> <em>d</em> a_b_c <strong><em>e</em></strong> &lt;x&gt; {link}", "**b** *i*<\nx", "03", "**t**\n- d\nSinonimos: s", ["de fgh", "abc", "zz"])
+    entry = spark.range(1).select(cards.entry_card(F.lit("T"), F.lit(" "), F.lit("A"), F.lit(None).cast("int"), F.lit("2001"), F.lit("corpo"), F.lit("HTTP://x/y.pdf")), cards.entry_card(*(F.lit(None).cast("string"),) * 6, F.lit("ftp://x"))).first()
+    assert entry[0] == "**T** (*s/area*) ● *A* ● # ? ● 2001\ncorpo\n[PDF](HTTP://x/y.pdf)" and entry[1] == "**s/titulo** (*s/area*) ● *s/autor* ● # ? ● s/data"
+    found = spark.createDataFrame([("g", 2, "b", "(**B**)", {"x": "1"}), ("g", 1, "a | c", "(**A**)", {"row": "5"}), ("g", 3, " ", "(**C**)", None)], "k string, n int, t string, s string, m map<string,string>")
+    made = cards.search_cards(found, ["k"], "n", "t", "s", "m").withColumns({"shown": F.lit(2), "total": F.lit(3), "label": F.lit("L")})
+    assert cards.overview_cards(made, "k", "label", "shown", "total", "cards").first().markdown == "## L (2/3)\n\na \n c\n(**A**)\n\nb\n(**B**)\nx: 1"
+
+
+def test_markdown_blocks(spark):
+    from palimpsest.operators import cards
+
+    text = "# T\n\n| a | b |\n| :--- | ---: |\n| 1 | **2** |\n| x\\|y | z |\n| only |\nend | here\n### S"
+    got = {r.k: r.html for r in cards.blocks_html(spark.createDataFrame([(1, text), (2, " "), (3, "a|b")], "k int, t string"), "k", "t").collect()}
+    cell = lambda tag, at, x: f'<{tag} style="text-align:{at}">{x}</{tag}>'
+    head, one, two = (f"{cell(t, 'left', x)}{cell(t, 'right', y)}" for t, x, y in (("th", "a", "b"), ("td", "1", "<strong>2</strong>"), ("td", "x|y", "z")))
+    assert got == {1: f"<h1>T</h1><br/><table><thead><tr>{head}</tr></thead><tbody><tr>{one}</tr><tr>{two}</tr></tbody></table><p>| only |</p><p>end | here</p><h3>S</h3>", 3: "<p>a|b</p>"}
 
 
 def test_definitions(spark):
