@@ -96,6 +96,23 @@ def books(corpus: DataFrame, book: str, known: DataFrame | None = None) -> DataF
     return there.withColumn("place", F.row_number().over(Window.orderBy(F.upper(book), book)))
 
 
+def book_identity(there: DataFrame, known: DataFrame) -> DataFrame:
+    """(code, stem, label, place) of the files that are there (stem), in order of upper-cased stem.
+
+    known (code, stem, label, legacy: array of older stems) names them. A file that no code has is its own code and
+    label; a code without a label has its stem's name.
+    """
+    names = known.select("code", "label", F.explode(F.concat(F.array("stem"), F.coalesce("legacy", F.array().cast("array<string>")))).alias("stem")).dropDuplicates(["stem"])
+    rows = there.select("stem").distinct().join(F.broadcast(names), "stem", "left")
+    label = F.coalesce(F.nullif(F.trim("label"), F.lit("")), F.nullif(F.trim("stem"), F.lit("")), "code")
+    return rows.select(F.coalesce("code", "stem").alias("code"), "stem", label.alias("label"), F.row_number().over(Window.orderBy(F.upper("stem"), "stem")).alias("place"))
+
+
+def totals(overview_: DataFrame) -> DataFrame:
+    """One row: books with matches and the sum of their totals."""
+    return overview_.agg(F.count("*").alias("books"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
+
+
 def sample_row(corpus: DataFrame, row: str, seed: int) -> DataFrame:
     """One row with text and title, drawn by the seed, with its place in order of `row` and the number of such rows.
 

@@ -40,6 +40,19 @@ def lex_overview_term(spark, sf_dir):
     return lexical.overview(lexical.search(index(spark, sf_dir), "eaux"), "book")
 
 
+@R.add(f"{_PLAIN}, o AS (SELECT book, least(count(*), 200) AS total FROM found GROUP BY book) SELECT count(*) AS books, coalesce(sum(total), 0)::BIGINT AS total FROM o")
+def lex_overview_total(spark, sf_dir):
+    return lexical.totals(lexical.overview(lexical.search(index(spark, sf_dir), "eaux"), "book"))
+
+
+@R.add(f"{_PLAIN}, r AS (SELECT book, doc_id, row_number() OVER (PARTITION BY book ORDER BY doc_id) AS rank, count(*) OVER (PARTITION BY book) AS n FROM found) SELECT book, least(max(n), 200) AS total, least(max(n), 3) AS shown_count, CASE WHEN book = 'src1' THEN 'One' ELSE book END AS label, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) FILTER (rank <= 3) AS doc_ids FROM r GROUP BY book")
+def lex_groups(spark, sf_dir):
+    """Books with their first rows and labels."""
+    labels = spark.createDataFrame([("src1", "One"), ("src2", "")], "book string, label string")
+    made = lexical.grouped(lexical.search(index(spark, sf_dir), "eaux"), "book", "doc_id", labels, 3)
+    return made.select("book", "total", "shown_count", "label", F.array_join(F.transform("matches", lambda m: m["doc_id"].cast("string")), ",").alias("doc_ids"))
+
+
 @R.add(f"{_PLAIN} SELECT book, doc_id, row_number() OVER (PARTITION BY book ORDER BY doc_id) AS rank FROM found QUALIFY rank <= 3")
 def lex_top_rows(spark, sf_dir):
     return lexical.top_rows(lexical.search(index(spark, sf_dir), "eaux"), "book", "doc_id", 3).select("book", "doc_id", "rank")
@@ -72,6 +85,13 @@ def books_list(spark, sf_dir):
     return lexical.books(corpus(spark, sf_dir), "book").select("book", "place")
 
 
+@R.add("SELECT CASE WHEN source IN ('src1', 'src3') THEN 'C1' WHEN source = 'src2' THEN 'C2' ELSE source END AS code, source AS stem, CASE WHEN source IN ('src1', 'src3') THEN 'First' ELSE source END AS label, row_number() OVER (ORDER BY upper(source), source) AS place FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)")
+def books_named(spark, sf_dir):
+    """Files of the corpus under their codes, older names too."""
+    known = spark.createDataFrame([("C1", "src1", "First", ["src3"]), ("C2", "src2", "", None), ("C9", "nowhere", "x", None)], "code string, stem string, label string, legacy array<string>")
+    return lexical.book_identity(corpus(spark, sf_dir).select(F.col("book").alias("stem")).where("stem is not null"), known)
+
+
 @R.add(f"WITH {CORPUS}, able AS (SELECT * FROM corpus WHERE trim(text) <> '' AND trim(title) <> ''), drawn AS (SELECT doc_id FROM able ORDER BY md5('7-' || doc_id), doc_id LIMIT 1) SELECT (SELECT doc_id FROM drawn) AS doc_id, count(*) FILTER (doc_id <= (SELECT doc_id FROM drawn)) AS place, count(*) AS total FROM able")
 def sample_row(spark, sf_dir):
     return lexical.sample_row(corpus(spark, sf_dir), "doc_id", 7).select("doc_id", "place", "total")

@@ -89,3 +89,39 @@ def test_streams(spark, tmp_path):
     q.stop()
     batch = standing.standing_search(docs, F.array("text"), {"x": "eaux", "y": "eaux !que"}).select("doc_id", "query").collect()
     assert sorted(map(tuple, spark.table("found").collect())) == sorted(map(tuple, batch)) and batch
+
+
+def test_rebuilt_index(spark, tmp_path):
+    from palimpsest.operators import semantic
+    from palimpsest.sources import indexes
+
+    sheet = spark.createDataFrame([(2, {"text": " um texto ", "title": "T", "area": " "}), (3, {"text": " ", "title": "U"}), (4, {"text": " ".join(f"frase {i} do texto." for i in range(80)), "title": "V"})], "row int, data map<string,string>")
+    rows, basis, warning = indexes.rows_to_rebuild(sheet, None, "a.xlsx", "Text", ["Title", "area"])
+    assert basis == "source_file" and warning is None and [(r.row, r.metadata) for r in rows.orderBy("row").collect()] == [(2, {"Title": "T"}), (4, {"Title": "V"})]
+    kept, basis, warning = indexes.rows_to_rebuild(None, rows, "a.xlsx")
+    assert basis == "metadata_snapshot" and "metadata.json" in warning and kept is rows
+    with pytest.raises(FileNotFoundError):
+        indexes.rows_to_rebuild(None, rows, "a.xlsx", require=True)
+
+    def embed(chunks):
+        return chunks.withColumn("embedding", F.array(F.length("text").cast("double"), F.lit(3.0), F.col("pos").cast("double")))
+
+    done = indexes.rebuild(rows, "ec", "EC", embed, str(tmp_path / "ec"), "m", basis, warning).first()
+    stored = spark.read.parquet(str(tmp_path / "ec/metadata"))
+    n = stored.count()
+    assert n > 2 and (done.rows_before, done.rows_after, done.rebuild_basis) == (2, n, "metadata_snapshot") and 0.25 <= done.recommended_min_score <= 1
+    manifest = spark.read.parquet(str(tmp_path / "ec/manifest")).first()
+    assert manifest.dimensions == 3 and manifest.score_calibration.rows == n and manifest.score_calibration.samplePairs == 500 and manifest.score_calibration.method == "random_pair_p99_plus_margin" and manifest.chunking.rebuiltFromRows == 2
+    assert indexes.joined(stored, spark.read.parquet(str(tmp_path / "ec/embeddings"))).count() == n
+    one = semantic.calibration_payload(semantic.calibration(semantic.sampled_pairs(spark.createDataFrame([("x", 0, [1.0])], "index_id string, pos int, embedding array<double>"))), spark.createDataFrame([("x", 1)], "index_id string, rows long"), F.current_timestamp()).first()
+    assert one.score_calibration.samplePairs == 0 and one.score_calibration.maxSimilarity == 0.0
+
+
+def test_sampled_pairs(spark):
+    from palimpsest.operators import semantic
+
+    v = spark.createDataFrame([("a", i, [float(i == j) for j in range(6)]) for i in range(6)], "index_id string, pos int, embedding array<double>")
+    pairs = semantic.sampled_pairs(v).collect()
+    assert len(pairs) == 500 and {r.similarity for r in pairs} == {0.0}  # no vector meets itself
+    near = semantic.nearest(v.select(F.col("pos").cast("long").alias("id"), "embedding"), v.where("pos < 2").select(F.col("pos").cast("long").alias("query_id"), "embedding"), 2, block=2).collect()
+    assert sorted((r.query_id, r.id, r.place) for r in near) == [(0, 0, 1), (0, 1, 2), (1, 0, 2), (1, 1, 1)]
