@@ -15,11 +15,12 @@ def _print(links: DataFrame):
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of all nodes in links (a, b) of any orderable type; root is the smallest node of the component.
 
-    Links may repeat, come in either order or link a node with itself. Each round is two joins on the nodes; a node
+    Links may repeat, come in either order or link a node with itself (which gives no row); a link with a null end is
+    none. No links: no rows. Other columns are not used. Each round is two joins on the nodes; a node
     with very many links is a skewed join key, not a group in one task. Rounds are kept by checkpoint.
     """
     a, b = F.col("a"), F.col("b")
-    links = checkpointed(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(a != b).distinct())
+    links = checkpointed(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(a.isNotNull() & b.isNotNull() & (a != b)).distinct())
     seen = None
     while (now := _print(links)) != seen and now[0]:
         seen, n = now, now[0]

@@ -206,6 +206,25 @@ def test_stretches_of_block_edits(blocks):
     assert bool(got) or blocks in ((48,), (30, 20, 30))
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_hopeful_like_brute_force(seed):
+    """Diagonals with a stretch of 20 columns and a score of 0 or more, windows of many sizes at once."""
+    rng = np.random.default_rng(seed)
+    xs = [rng.integers(0, 2 if k % 2 else 9, rng.integers(1, 90)).astype(np.uint32) for k in range(200)]
+    ys = [np.where(rng.random(len(x)) < rng.random() ** 2, 99, x).astype(np.uint32)[: rng.integers(1, 90)] for x in xs]
+    i, j = (np.array([rng.integers(len(v)) for v in vs]) for vs in (xs, ys))
+    x_len, y_len = (np.array([len(v) for v in vs]) for vs in (xs, ys))
+    got = passages.hopeful(np.concatenate(xs), np.cumsum(x_len) - x_len, x_len, np.concatenate(ys), np.cumsum(y_len) - y_len, y_len, i, j, 20)
+
+    def brute(x, y, i, j):
+        b = min(i, j)
+        n = b + min(len(x) - i, len(y) - j)
+        same = np.where(x[i - b : i - b + n] == y[j - b : j - b + n], 1, -4)
+        return any(same[s:e].sum() >= 0 for s in range(n) for e in range(s + 20, n + 1))
+
+    assert got.tolist() == [brute(*r) for r in zip(xs, ys, i.tolist(), j.tolist(), strict=True)]
+
+
 def test_passage_with_a_replaced_block(spark):
     rng = random.Random(8)
 
