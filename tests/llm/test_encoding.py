@@ -1,6 +1,7 @@
 """Sampled segmentations, fingerprints, media and language ID."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -174,3 +175,138 @@ def test_language_id_edges(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {4, 5, 6}
     assert langid.predict(docs.limit(0), langs, p).count() == 0
     assert langid.train(train.limit(0))[0] == [] and langid.keep_known(docs, *langid.train(train.limit(0))).count() == 0
+
+
+ALL = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & ALL
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & ALL
+    return x ^ x >> 31
+
+
+def plain_fingerprint(text):
+    """Coin tossing over one text, name by name."""
+    names, level, phrases = [plain_mix(b + 1) for b in text.encode()], 0, []
+    if not names:
+        return f"{0:016x}:"
+    while True:
+        if level <= parsing.LEVEL and (level == parsing.LEVEL or len(names) == 1):
+            phrases = names
+        if len(names) == 1:
+            break
+        runs = [(k, len(list(g))) for k, g in itertools.groupby(names)]
+        names = [k if n == 1 else plain_mix((k + n * 0xD6E8FEB86659FD93) & ALL) for k, n in runs]
+        labels = names
+        for _ in range(4):
+            made = []
+            for i, x in enumerate(labels):
+                differ = x ^ (labels[i - 1] if i else x ^ 1)
+                at = (differ & -differ).bit_length() - 1
+                made.append(2 * at + (x >> at & 1))
+            labels = made
+        n = len(labels)
+        starts = [0] + [i for i in range(2, n - 1) if labels[i] < labels[i - 1] and labels[i] < labels[i + 1]] + [n]
+        groups = [names[s:e] for s, e in zip(starts[:-1], starts[1:], strict=True)]
+        names = [g[0] if len(g) == 1 else plain_mix((sum(x * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, x in enumerate(g)) + len(g)) & ALL) for g in groups]
+        level += 1
+    small = sorted({plain_mix(p) >> 32 for p in phrases})[: parsing.SKETCH]
+    return f"{names[0]:016x}:" + "".join(f"{s:08x}" for s in small)
+
+
+def test_fingerprints_like_plain_python():
+    rng = random.Random(8)
+    texts = ["", "a", "ab", "aaaa", "abab" * 9, "é漢🙂", "x" * 3000] + ["".join(rng.choice("ab c") for _ in range(rng.randrange(400))) for _ in range(60)]
+    assert parsing.sketches([t.encode() for t in texts])[0] == [plain_fingerprint(t) for t in texts]
+
+
+def test_ogg_file_by_plain_reader():
+    """Pages, lacing and channels taken apart byte by byte, without the module's reader."""
+    payload = bytes(range(256)) * 300
+    data, at, streams = ogg.write(payload), 0, {}
+    while at < len(data):
+        assert data[at : at + 4] == b"OggS"
+        serial, count = int.from_bytes(data[at + 14 : at + 18], "little"), data[at + 26]
+        packets = streams.setdefault(serial, [b""])
+        place = at + 27 + count
+        for n in data[at + 27 : at + 27 + count]:
+            packets[-1] += data[place : place + n]
+            place += n
+            if n < 255:
+                packets.append(b"")
+        at = place
+    channels = {int.from_bytes(p[0][8:12], "little"): b"".join(p[1:]) for p in streams.values()}
+    assert len(streams) == 2 and bytes(b for pair in zip(channels[0], channels[1], strict=True) for b in pair) == payload
+
+
+def plain_vector(text):
+    """Trigrams of letter classes bound and bundled one after the other."""
+    letters = np.random.default_rng(langid.SEED).choice(np.array([-1, 1], np.int8), (langid.CLASSES, langid.DIM)).astype(int)
+    kinds = [0]
+    for c in text + " ":
+        k = 0 if not c.isalpha() else ord(c.lower()[0]) - 96 if "a" <= c.lower()[0] <= "z" else 27 + ord(c.lower()[0]) % (langid.CLASSES - 27)
+        if k or kinds[-1]:
+            kinds.append(k)
+    total = np.zeros(langid.DIM)
+    for a, b, c in zip(kinds, kinds[1:], kinds[2:], strict=False):
+        total += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+    return total / np.sqrt(total @ total)
+
+
+def test_language_id_like_plain_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    langs, p = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    rows = docs.select("doc_id", "text", "lang", langid.held_out(F.col("doc_id")).alias("out")).collect()
+    vectors = {r.doc_id: plain_vector(r.text) for r in rows if any(map(str.isalpha, r.text or ""))}
+    for k, lang in enumerate(langs):
+        own = sum(np.rint(vectors[r.doc_id] * langid.UNIT) for r in rows if r.lang == lang and not r.out and r.doc_id in vectors)
+        assert p[k] == pytest.approx(own / np.sqrt(own @ own))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, langs, p, keep=["doc_id"]).collect()}
+    for r in rows:
+        scores = p @ vectors[r.doc_id] if r.doc_id in vectors else None
+        lang, score = got[r.doc_id]
+        assert (lang, score) == ("und", 0.0) if scores is None else score == pytest.approx(max(0, scores.max())) and lang == langs[int(scores.argmax())]
+
+
+def test_short_texts_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null")
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    lost = docs.join(langid.keep_known(docs, *model).select("doc_id"), "doc_id", "left_anti").collect()
+    assert all(not any(map(str.isalpha, r.text or "")) for r in lost)
+
+
+def test_long_units_like_enumeration(model):
+    """A run without spaces that is longer than LONG: log probabilities of samples are those of its own lattice."""
+    text = "ab" * 40
+    longest = max(len(x.decode("utf-8", "ignore")) for x in model.bytes)
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.VOCABULARY)
+    ids = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    whole = "▁" + text
+    mass = [0.0] * len(whole) + [1.0]
+    for at in range(len(whole) - 1, -1, -1):
+        mass[at] = sum(math.exp(model.log_p[ids[whole[at:e]]]) * mass[e] for e in range(at + 1, min(len(whole), at + longest) + 1) if whole[at:e] in ids)
+    for s in pieces.segmentations([text], np.zeros(1, np.uint64))[0]:
+        made = np.frombuffer(s["ids"], np.int32)
+        assert s["log_p"] == pytest.approx(sum(model.log_p[made]) - math.log(mass[0]), abs=1e-5)
+    safe = model.cut("zq" * 50 + "漢字" * 50)
+    assert "".join(safe) == "zq" * 50 + "漢字" * 50
+    for t in ("=" * 3000, "漢" * 400, "a" * 20_000):
+        two = pieces.segmentations([t], np.zeros(1, np.uint64))[0]
+        assert len(two) == (1 if t[0] == "漢" else 2) and all(pieces.decode_ids(s["ids"], model) == t for s in two)
+
+
+def test_kept_columns_and_repeats(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", b"1", 5), (1, "a b", "x", b"1", 5), (None, None, None, None, None)], "doc_id long, text string, samples string, media binary, _text int")
+    for run in (lambda keep: pieces.encode(docs, keep), lambda keep: ogg.store(docs, keep)):
+        with pytest.raises(ValueError):
+            run(["doc_id", "samples", "media"])
+        rows = run(["doc_id", "_text"]).collect()
+        assert len(rows) == 3 and sorted(map(str, rows))[1] == sorted(map(str, rows))[2] or sorted(map(str, rows))[0] == sorted(map(str, rows))[1]
+        assert run(["doc_id"]).limit(0).count() == 0
+    empty = docs.limit(0)
+    assert pieces.encode(empty, ["doc_id"]).count() == ogg.features(ogg.store(empty, ["doc_id"]), ["doc_id"]).count() == parsing.fingerprint_edits(empty).count() == 0
+    twice = parsing.fingerprint_edits(docs).collect()
+    assert len(twice) == 3 and len({(r.fingerprint, r.n_chars) for r in twice if r.doc_id == 1}) == 1

@@ -359,3 +359,35 @@ def test_secrets_without_digits(spark):
     new, found = pseudonyms(spark, texts)
     assert [[x.kind for x in f] for f in found] == [["key"], ["secret"], []]
     assert new[0] != texts[0] and new[1] != texts[1] and new[2] == texts[2]
+
+
+def test_archives_edges(spark):
+    """Pages without a number or text, long ones, repeated ones, and columns with names of records."""
+    pages = spark.createDataFrame([(None, "http://a/x", "<p>"), (None, "http://b/y", None), (4, "http://c/", "w " * 300_000), (4, "http://c/", "w " * 300_000), (5, None, "z")], "page_id long, url string, html string")
+    archived = queries.archive(pages)
+    records = warc.read_records(archived)
+    assert records.count() == 10 and records.where("kind = 'broken'").count() == 0
+    got = warc.resolve_revisits(records, urlfilter.canonical(F.col("url"))).collect()
+    assert len(got) == 5 and sorted(r.verdict for r in got) == ["missing", "resolved", "resolved", "resolved", "resolved"]
+    assert {r.of_record_id for r in got if r.canonical == "c"} == {"urn:page:00000000000000000004:200"}
+    assert warc.read_records(archived.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        warc.read_records(archived.withColumn("url", F.lit(1)), ("url",))
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls everywhere, empty and long texts, repeated rows, further columns with clashing names, and an empty table."""
+    import corpus_pipeline as pipeline
+
+    seen = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).withColumns({"samples": F.lit(1), "pii": F.lit("x"), "_text": F.lit(2), "_copies": F.lit(3)})
+    some = seen.first().asDict()
+    odd = [some, some, some | {"doc_id": None}, {c: None for c in seen.columns}, some | {"text": "", "doc_id": 900}, some | {"text": "long word " * 40_000, "doc_id": 901}, some | {"text": "ssn 123-45-6789 of a person in the house", "source": None, "doc_id": 902}]
+    docs = seen.unionByName(spark.createDataFrame(odd, ", ".join(f"`{n}` {t}" for n, t in seen.dtypes)))
+    for frame in (docs, docs.limit(0)):
+        out, n = frame, frame.count()
+        for name, stage in pipeline.STAGES[:-1]:
+            out = stage(spark, out, str(tmp_path))
+            assert out.columns == docs.columns, name
+        last = pipeline.STAGES[-1][1](spark, out, str(tmp_path))
+        assert last.count() == out.count() and (n == 0) == (out.count() == 0) and last.where("not exact").count() == 0
+        assert out.where("text like '%123-45-6789%'").count() == 0
