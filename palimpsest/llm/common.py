@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +63,16 @@ def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.checkpoint()
 
 
+def released(df: DataFrame) -> DataFrame:
+    """df, which is kept; the shuffle files of plans that led to it, and that nothing else uses, are removed.
+
+    Spark removes them when the driver collects its garbage, which may be long after the disk is full.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, or one made from it that no column of df has."""
     taken = {c.lower() for c in df.columns}
