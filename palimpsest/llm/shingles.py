@@ -75,5 +75,16 @@ def shingle_hashes(words: np.ndarray, k: int = K) -> np.ndarray:
     return scramble(out)
 
 
+def rolling_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k-word shingles of one text's words, in order, in a few steps whatever k is; none where they are fewer."""
+    n = len(words)
+    if n < k:
+        return words[:0]
+    up, down = _powers(n)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(words * up, out=total[1:])
+    return scramble((total[k:] - total[:-k]) * down[: n - k + 1])
+
+
 def digest(sorted_set: np.ndarray) -> bytes:
     return hashlib.blake2b(sorted_set.tobytes(), digest_size=16).digest()
