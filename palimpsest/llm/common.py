@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 
@@ -33,6 +34,18 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: int = ARROW_BYTES):
+    """Jobs within send Python tasks no more than `most` bytes at once; the session's own setting is put back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A to Z and nothing else."""
     return F.translate(c, UPPER, LOWER)

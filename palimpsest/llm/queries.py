@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import langid, mixing, neardup, ogg, parsing, passages, pieces, pii, urlfilter, warc
+from palimpsest.llm import langid, mixing, neardup, negatives, ogg, packing, parsing, passages, pieces, pii, urlfilter, warc, whitening
 from palimpsest.llm.common import table
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -118,7 +118,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, *model, keep=["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_shared_passages, op2_pii_pseudonyms, op3_phrase_fingerprints, op4_sampled_pieces, op5_revisit_resolution, op6_balanced_mix, op7_ogg_media, op8_minhash_near_duplicates, op9_url_filter, op10_language_id)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = whitening.whiten(table(spark, sf_dir, "embeddings"), "embedding", ["vec_id"])
+    return made.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(whitening.finite(F.col("embedding")) & F.col("label").isNotNull())
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    x = F.transform("embedding", lambda c: F.floor(F.lit(256.0) * c.cast("double")).cast("long"))
+    return negatives.hard_negatives(rows.select(F.col("vec_id").alias("id"), label.alias("label"), x.alias("x")), F.col("id") % 100 == 0)
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (op1_shared_passages, op2_pii_pseudonyms, op3_phrase_fingerprints, op4_sampled_pieces, op5_revisit_resolution, op6_balanced_mix, op7_ogg_media, op8_minhash_near_duplicates, op9_url_filter, op10_language_id, op11_embedding_whitening, op12_hard_negatives, op13_best_fit_packing)}
 
 _REST = "substr(url, instr(url, '://') + 3)"
 CANONICAL = f"""
@@ -167,4 +183,15 @@ SELECT page_id, canonical, verdict, of_page_id, CASE WHEN of_page_id IS NOT NULL
   END AS headers
 FROM judged
 """
-SQL = {"op5_revisit_resolution": OP5_SQL, "op9_url_filter": OP9_SQL}
+OP12_SQL = """
+WITH known AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256.0 * c::DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+met AS (SELECT a.id AS anchor, b.id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score FROM known a JOIN known b ON a.id % 100 = 0 AND b.id <> a.id),
+near AS (SELECT anchor, id AS positive, score AS positive_score FROM met WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+hard AS (
+  SELECT n.*, m.id, m.score, row_number() OVER (PARTITION BY n.anchor, n.positive ORDER BY m.score DESC, m.id) AS rank
+  FROM near n JOIN met m ON m.anchor = n.anchor AND NOT m.same AND 30 * n.positive_score <= 100 * m.score AND 100 * m.score <= 90 * n.positive_score)
+SELECT anchor AS anchor_id, positive AS positive_id, rank::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score FROM hard WHERE rank <= 10
+"""
+SQL = {"op12_hard_negatives": OP12_SQL, "op5_revisit_resolution": OP5_SQL, "op9_url_filter": OP9_SQL}
