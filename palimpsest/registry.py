@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from palimpsest.queries import basic, bibliography, citing, searching, semantics
+from palimpsest.queries import answering, basic, bibliography, citing, searching, semantics
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (searching, basic, semantics, citing, bibliography):
+for _module in (searching, basic, semantics, citing, bibliography, answering):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
