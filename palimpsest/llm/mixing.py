@@ -5,8 +5,9 @@ passes twice its source, the excess goes to the others by weight. A source taken
 every document, and the rest by sampling with inclusion probability r - floor(r).
 
 The cube method's flight moves the probabilities of a block's units through the null space of the balancing equations
-(words and documents) until all but two are 0 or 1. Each step decides the largest unit that is left, and many smaller
-ones make up for it by little each, so what stays undecided is small. Blocks are a source's documents by hash, BLOCK at
+(words and documents) until all but two are 0 or 1. A unit with a large part of a block's words is decided first, by one
+step that all others make up for; what can't be made up for in any draw is told as its lack. Then each step moves the
+largest unit that is left, and many smaller ones make up for it by little each, so what stays undecided is small. Blocks are a source's documents by hash, BLOCK at
 most on average, so a hot source is many blocks; what they leave (two small units each) forms the next level's blocks,
 until one block a source is left, whose last units land by giving up the document, then the word equation.
 """
@@ -30,6 +31,8 @@ BLOCK = 1024
 SEED = 7
 #: Sources are named settings of a mix; their table (about 60 bytes each) is ranked in one task and broadcast.
 MOST_SOURCES = 1_000_000
+#: A unit with more than this part of the others' words is decided first, in one step.
+LARGE = 0.125
 _TINY = 1e-9
 
 
@@ -51,22 +54,91 @@ def targets(rows: DataFrame) -> DataFrame:
     return per.withColumn("_at", level).select("source", "source_size", "docs", F.when(F.col("_fill") <= F.col("_at"), (MOST * F.col("source_size")).cast("double")).otherwise(F.col("_at") * F.col("_w")).alias("target"))
 
 
-def flight(size: np.ndarray, pi: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Inclusion probabilities after the flight: all but two at most are 0 or 1; words and documents keep their expectation."""
-    pi = np.where((pi > _TINY) & (pi < 1 - _TINY), pi, np.rint(pi)).astype(float)
+def flight(size: np.ndarray, pi: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Inclusion probabilities after the flight, all but two at most 0 or 1, and each unit's lack.
+
+    Words and documents keep their expectation, but for what units of LARGE parts lack (see decided()).
+    """
+    pi, lack = np.where((pi > _TINY) & (pi < 1 - _TINY), pi, np.rint(pi)).astype(float), np.zeros(len(pi))
     at = np.flatnonzero((pi > 0) & (pi < 1))
     at = at[np.argsort(-size[at].astype(float), kind="stable")]
     s, p = size[at].astype(float), pi[at]
+    while len(at) > 2 and s[0] > LARGE * s[1:].sum():
+        p, lack[at[0]] = decided(s, p, rng.random())
+        at, s, p = _open(at, s, p, pi)
     while len(at) > 2:
         u = _direction(s, p)
         if u is None:
             break
         p = _moved(p, u, rng.random())
-        done = (p == 0) | (p == 1)
-        pi[at[done]] = p[done]
-        at, s, p = at[~done], s[~done], p[~done]
+        at, s, p = _open(at, s, p, pi)
     pi[at] = p
-    return pi
+    return pi, lack
+
+
+def _open(at: np.ndarray, s: np.ndarray, p: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What is not yet 0 or 1; the rest is put down in pi."""
+    done = (p == 0) | (p == 1)
+    pi[at[done]] = p[done]
+    return at[~done], s[~done], p[~done]
+
+
+def decided(s: np.ndarray, p: np.ndarray, chance: float) -> tuple[np.ndarray, float]:
+    """p after the first unit is decided in one step, and the words that the others could not make up for.
+
+    The step is along a vector of the null space with which neither way takes a unit beyond 0 or 1: of words and
+    documents where there is one, else of words alone. Else, no draw has the words balanced both ways: the others go as
+    far as they can, and what they lack (positive: too many words are taken) is at most what they have or have room for
+    short of the unit. Then alone the others' expectations move, by the lack's part of their words.
+    """
+    b, t, q = p[0], p[1:], s[1:]
+    low, high = np.maximum(-t / (1 - b), -(1 - t) / b), np.minimum((1 - t) / (1 - b), t / b)
+    d = _tilted(q, low, high, -1.0, -s[0])
+    if d is None:
+        d = _tilted(q, low, high, None, -s[0])
+    taken, lack = chance < b, 0.0
+    if d is not None:
+        t = t + (1 - b) * d if taken else t - b * d
+    elif taken:
+        need, have = s[0] * (1 - b), q @ t
+        t, lack = t * (1 - min(1.0, need / have)), max(0.0, need - have)
+    else:
+        need, room = s[0] * b, q @ (1 - t)
+        t, lack = t + (1 - t) * min(1.0, need / room), min(0.0, room - need)
+    return _snapped(np.r_[float(taken), t]), lack
+
+
+def _tilted(s: np.ndarray, low: np.ndarray, high: np.ndarray, total: float | None, words: float) -> np.ndarray | None:
+    """d within low and high with sum `total` (None: any) and d @ s = words, or None. d rises or falls with size."""
+    x, wide = (s - s.mean()) / (s.std() or 1.0), high - low
+
+    def at(level: float, slope: float) -> np.ndarray:
+        return low + wide * np.clip(level + slope * x, 0.0, 1.0)
+
+    def halved(f, a: float, b: float) -> float:
+        for _ in range(60):
+            m = (a + b) / 2
+            a, b = (m, b) if f(m) < 0 else (a, m)
+        return (a + b) / 2
+
+    if total is None:
+        d = at(halved(lambda v: at(v, 0.0) @ s - words, 0.0, 1.0), 0.0)
+        return d if abs(d @ s - words) <= 1e-9 * abs(words) + 1e-9 else None
+    if not low.sum() <= total <= high.sum():
+        return None
+    ends = np.abs(x).max()
+
+    def level(slope: float) -> float:
+        reach = abs(slope) * ends + 1
+        return halved(lambda v: at(v, slope).sum() - total, -reach, reach)
+
+    slope = halved(lambda v: at(level(v), v) @ s - words, -50.0, 50.0)
+    d = at(level(slope), slope)
+    return d if abs(d @ s - words) <= 1e-9 * abs(words) + 1e-9 and abs(d.sum() - total) < 1e-9 else None
+
+
+def _snapped(q: np.ndarray) -> np.ndarray:
+    return np.where(q < _TINY, 0.0, np.where(q > 1 - _TINY, 1.0, q))
 
 
 def _direction(s: np.ndarray, p: np.ndarray) -> np.ndarray | None:
@@ -95,8 +167,7 @@ def _moved(p: np.ndarray, u: np.ndarray, chance: float) -> np.ndarray:
     up, down = u > 0, u < 0
     on = min(((1 - p[up]) / u[up]).min(initial=math.inf), (-p[down] / u[down]).min(initial=math.inf))
     back = min((p[up] / u[up]).min(initial=math.inf), ((p[down] - 1) / u[down]).min(initial=math.inf))
-    q = p + (on if chance * (on + back) < back else -back) * u
-    return np.where(q < _TINY, 0.0, np.where(q > 1 - _TINY, 1.0, q))
+    return _snapped(p + (on if chance * (on + back) < back else -back) * u)
 
 
 def land(size: np.ndarray, pi: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -118,8 +189,8 @@ def _flyer(seed: int, level: int, last: bool, columns: list[str]):
         rng = np.random.default_rng([seed, level, zlib.crc32(repr(key[0]).encode()), int(key[1])])
         units = units.sort_values(["size", "doc_id", "unit", "again"], kind="stable", ignore_index=True)
         size = units["size"].to_numpy()
-        pi = flight(size, units["pi"].to_numpy(), rng)
-        return units.assign(pi=land(size, pi, rng) if last else pi)[columns]
+        pi, lack = flight(size, units["pi"].to_numpy(), rng)
+        return units.assign(pi=land(size, pi, rng) if last else pi, lack=units["lack"] + lack)[columns]
 
     return fly
 
@@ -145,7 +216,7 @@ def _units(docs: DataFrame) -> DataFrame:
 
 
 def _mixed(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, source, size, unit, source_size, target, copies."""
+    """doc_id, source, size, unit, source_size, target, copies, lack."""
     rows = _units(docs)
     per = checkpointed(targets(rows))
     known = per.agg(F.count("*").alias("n"), F.max("docs").alias("most")).first()
@@ -153,7 +224,7 @@ def _mixed(docs: DataFrame, seed: int) -> DataFrame:
         raise ValueError(f"{known.n} sources; the mix is made for {MOST_SOURCES} at most")
     times = F.least(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)), F.lit(float(MOST)))
     per = per.select(F.col("source").alias("_source"), "source_size", "docs", "target", F.floor(times).alias("base"), (times - F.floor(times)).alias("pi"))
-    units = rows.join(F.broadcast(per), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    units = rows.join(F.broadcast(per), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("lack", F.lit(0.0))
     fixed, flying, done = F.col("pi") < _TINY, units.where(F.col("pi") >= _TINY), []
     done.append(units.where(fixed).withColumn("pi", F.lit(0.0)))
     level, most = 0, known.most or 0
@@ -170,11 +241,14 @@ def _mixed(docs: DataFrame, seed: int) -> DataFrame:
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.select("doc_id", "source", "size", "unit", "source_size", "target", (F.col("base") + F.col("pi")).cast("long").alias("copies"))
+    return out.select("doc_id", "source", "size", "unit", "source_size", "target", (F.col("base") + F.col("pi")).cast("long").alias("copies"), "lack")
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken (copies x size) of each row of docs.
+    """doc_id, source, size, source_size, target, copies, taken (copies x size) and lack of each row of docs.
+
+    lack is 0 but for a document so large that the others of its block can't make up for it: the words by which its
+    source is off on its account (positive: too many are taken).
 
     A null text has size 0; null sources form one source, the last. Each row is a unit of its own, also where ids or
     whole rows repeat. The draw depends on seed and rows only, so reruns agree (which of several wholly equal rows is
@@ -182,7 +256,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     tell rows apart and may have any names.
     """
     made = _mixed(docs, seed)
-    return made.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return made.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "lack")
 
 
 def apply_mix(docs: DataFrame, seed: int = SEED) -> DataFrame:

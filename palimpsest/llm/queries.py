@@ -94,7 +94,7 @@ def op5_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken", "lack")
 
 
 def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:

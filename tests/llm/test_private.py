@@ -190,15 +190,36 @@ def test_mix_edges(spark):
 
 
 def test_flight_decides_large_documents_first():
-    """What is left to land is small, though one document has a fifth of all words."""
+    """One document has a fifth of all words: the words stay in balance but for what the others have no room for."""
     import numpy as np
 
-    for k in range(30):
+    apart = []
+    for k in range(120):
         rng = np.random.default_rng(k)
         size = np.r_[40_000, np.rint(np.exp(rng.normal(4, 1.5, 900)))]
         pi = np.full(901, 0.2 + 0.6 * rng.random())
-        taken = mixing.land(size, mixing.flight(size, pi, rng), rng)
-        assert abs(size @ taken - size @ pi) < 30 and abs(taken.sum() - pi.sum()) < 3
+        mid, lack = mixing.flight(size, pi, rng)
+        taken, p, rest = mixing.land(size, mid, rng), pi[0], size[1:].sum()
+        assert abs(size @ taken - size @ pi - lack.sum()) < 30
+        # what is lacking is what no draw can have: the document's other part, less all that the others can give
+        short = 40_000 * (1 - p) - rest * p if taken[0] else -(40_000 * p - rest * (1 - p))
+        assert lack[0] == pytest.approx(max(0, short) if taken[0] else min(0, short), abs=1e-6)
+        apart.append(0 if lack.any() else abs(taken.sum() - pi.sum()))
+    assert np.mean(np.array(apart) < 3) > 0.85 and max(apart) < 70  # documents give way before words do
+
+
+def test_large_units_keep_expectations():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    size, pi = np.r_[900.0, 400.0, rng.integers(1, 60, 60)], np.r_[0.4, 0.7, rng.random(60)]
+    draws = []
+    for k in range(3000):
+        r = np.random.default_rng(k)
+        mid, lack = mixing.flight(size, pi, r)
+        assert abs(size @ mid - size @ pi) < 1e-4 and not lack.any()
+        draws.append(mixing.land(size, mid, r))
+    assert np.abs(np.mean(draws, axis=0) - pi).max() < 0.05
 
 
 def test_flight_keeps_expectations():
@@ -210,7 +231,7 @@ def test_flight_keeps_expectations():
     draws = []
     for k in range(2000):
         r = np.random.default_rng(k)
-        mid = mixing.flight(size, pi, r)
+        mid, _ = mixing.flight(size, pi, r)
         assert abs(size @ mid - size @ pi) < 1e-6 and abs(mid.sum() - pi.sum()) < 1e-6
         assert ((mid > 0) & (mid < 1)).sum() <= 2
         draws.append(mixing.land(size, mid, r))
