@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,49 @@ def indexed(corpus: DataFrame, cells: Column) -> DataFrame:
     return own.withColumn("hay", for_match(F.array_join("_segs", " "))).withColumn("segs", F.transform("_segs", for_match)).drop("_segs")
 
 
+#: Bits of a file's signature; what bitmap_construct_agg() makes.
+BITS = 4096 * 8
+_GRAM = r"(?s)(?=(.{3}))"
+
+
+def _bit(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(BITS))
+
+
+def signatures(index: DataFrame) -> DataFrame:
+    """(path, bits) of each file of a stored index: a bitmap of hashes of all runs of three letters in its texts and segments.
+
+    Rows give their distinct bits, which are put together before and after the one shuffle, by file.
+    """
+    every = F.concat_ws("\n", "hay", F.array_join("segs", "\n"))
+    bits = F.array_distinct(F.transform(F.regexp_extract_all(every, F.lit(_GRAM), 1), _bit))
+    # explode_outer: a file without any run of three has a signature too
+    rows = index.select(F.col("_metadata.file_path").alias("path"), F.explode_outer(bits).alias("bit"))
+    return rows.groupBy("path").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def _holds(literal: str) -> Column:
+    """Whether the bitmap has the bits of all runs of three letters of a literal. Shorter ones can be anywhere."""
+
+    def bit(gram: str) -> Column:
+        at = _bit(F.lit(gram)).cast("int")
+        byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return F.getbit(byte, at % 8) == 1
+
+    return functools.reduce(operator.and_, (bit(literal[i : i + 3]) for i in range(len(literal) - 2)), F.lit(True))
+
+
+def files_for(signed: DataFrame, query: str) -> list[str]:
+    """Paths of the files that may have a match: one pass over their signatures, names alone come to the driver."""
+    return [unquote(r.path) for r in signed.where(boolean.possible(query, _holds)).select("path").collect()]
+
+
+def within(index: DataFrame, signed: DataFrame, query: str) -> DataFrame:
+    """The stored index without the files that can have no match; signed is signatures() of it."""
+    paths, spark = files_for(signed, query), index.sparkSession
+    return spark.read.schema(index.schema).parquet(*paths) if paths else spark.createDataFrame([], index.schema)
+
+
 def shown_text(query: str, text: Column) -> Column:
     """A text of two bars or more is shown as its head and the parts that satisfy the query; null if none does."""
     parts = F.split(text, "[|]")

@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import operator
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -169,9 +170,38 @@ def row_matches(query: str, hay: Column, segments: Column, strict_not: bool = Fa
     return pre & (predicate(query, hay) | F.exists(segments, lambda s: predicate(query, s)))
 
 
+def possible(query: str, has: Callable[[str], Column]) -> Column:
+    """Whether a row that matches can be among rows of which only has(literal) is known: whether some row may have it.
+
+    Always true where row_matches() is for any of the rows: negations rule nothing out, phrases and patterns ask for
+    each of their parts.
+    """
+    check(query)
+
+    def whole(parts) -> Column:
+        return functools.reduce(operator.and_, (has(p) for p in parts if p), F.lit(True))
+
+    wanted = whole(text for text, there in literals(query) if there for text in text.split())
+    if not balanced(query):
+        return wanted & whole([match_text(query)])
+    held: list[Column] = []
+    for t in postfix(tokens(query)):
+        if t.kind == "!":
+            held = held[:-1] + [F.lit(bool(held))]
+        elif t.kind in "&|":
+            if len(held) < 2:
+                return F.lit(False)
+            b, a = held.pop(), held.pop()
+            held.append(a & b if t.kind == "&" else a | b)
+        else:
+            text = match_text(t.text)
+            held.append(whole(re.split(r"[\s*]+", text)) if text else F.lit(False))
+    return wanted & held[0] if len(held) == 1 else F.lit(False)
+
+
 def check(query: str) -> None:
     if not match_text(query or ""):
         raise ValueError("the query has nothing to search for")
 
 
-__all__ = ["W", "balanced", "check", "literals", "postfix", "predicate", "prefilter", "row_matches", "tokens"]
+__all__ = ["W", "balanced", "check", "literals", "possible", "postfix", "predicate", "prefilter", "row_matches", "tokens"]

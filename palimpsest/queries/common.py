@@ -39,6 +39,13 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept("corpus", table(spark, sf_dir, "documents"), made)
 
 
+def index_for(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    """The files of the index that may have a match; their signatures are a table too."""
+    whole = index(spark, sf_dir)
+    signed = kept("corpus_signatures", table(spark, sf_dir, "documents"), lambda: lexical.signatures(whole))
+    return lexical.within(whole, signed, query)
+
+
 def n1(x: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(replace({x}, chr(160), ' '), '[\x{{200B}}-\x{{200D}}\x{{2060}}\x{{FEFF}}]', '', 'g'), '\s+', ' ', 'g'))"
 

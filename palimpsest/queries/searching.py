@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.operators import lexical
-from palimpsest.queries.common import CORPUS, INDEX, Registry, corpus, either, index, n3, shown
+from palimpsest.queries.common import CORPUS, INDEX, Registry, corpus, either, index_for, n3, shown
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -21,7 +21,7 @@ def _matched(query: str, pre, pred) -> None:
     name, query, pre_sql, pred_sql = query[0], query[1], pre, pred
 
     def run(spark, sf_dir):
-        return lexical.search(index(spark, sf_dir), query).select("doc_id", "book", F.length("shown").alias("shown_length"))
+        return lexical.search(index_for(spark, sf_dir, query), query).select("doc_id", "book", F.length("shown").alias("shown_length"))
 
     run.__name__ = name
     where = either(pred_sql) if pre_sql is None else f"{either(pre_sql)} AND {either(pred_sql)}"
@@ -37,25 +37,25 @@ _PLAIN = f"WITH {INDEX}, found AS (SELECT doc_id, book FROM idx WHERE {either(_h
 
 @R.add(f"{_PLAIN} SELECT book, least(count(*), 200) AS total, least(count(*), 50) AS shown_count FROM found GROUP BY book")
 def lex_overview_term(spark, sf_dir):
-    return lexical.overview(lexical.search(index(spark, sf_dir), "eaux"), "book")
+    return lexical.overview(lexical.search(index_for(spark, sf_dir, "eaux"), "eaux"), "book")
 
 
 @R.add(f"{_PLAIN}, o AS (SELECT book, least(count(*), 200) AS total FROM found GROUP BY book) SELECT count(*) AS books, coalesce(sum(total), 0)::BIGINT AS total FROM o")
 def lex_overview_total(spark, sf_dir):
-    return lexical.totals(lexical.overview(lexical.search(index(spark, sf_dir), "eaux"), "book"))
+    return lexical.totals(lexical.overview(lexical.search(index_for(spark, sf_dir, "eaux"), "eaux"), "book"))
 
 
 @R.add(f"{_PLAIN}, r AS (SELECT book, doc_id, row_number() OVER (PARTITION BY book ORDER BY doc_id) AS rank, count(*) OVER (PARTITION BY book) AS n FROM found) SELECT book, least(max(n), 200) AS total, least(max(n), 3) AS shown_count, CASE WHEN book = 'src1' THEN 'One' ELSE book END AS label, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) FILTER (rank <= 3) AS doc_ids FROM r GROUP BY book")
 def lex_groups(spark, sf_dir):
     """Books with their first rows and labels."""
     labels = spark.createDataFrame([("src1", "One"), ("src2", "")], "book string, label string")
-    made = lexical.grouped(lexical.search(index(spark, sf_dir), "eaux"), "book", "doc_id", labels, 3)
+    made = lexical.grouped(lexical.search(index_for(spark, sf_dir, "eaux"), "eaux"), "book", "doc_id", labels, 3)
     return made.select("book", "total", "shown_count", "label", F.array_join(F.transform("matches", lambda m: m["doc_id"].cast("string")), ",").alias("doc_ids"))
 
 
 @R.add(f"{_PLAIN} SELECT book, doc_id, row_number() OVER (PARTITION BY book ORDER BY doc_id) AS rank FROM found QUALIFY rank <= 3")
 def lex_top_rows(spark, sf_dir):
-    return lexical.top_rows(lexical.search(index(spark, sf_dir), "eaux"), "book", "doc_id", 3).select("book", "doc_id", "rank")
+    return lexical.top_rows(lexical.search(index_for(spark, sf_dir, "eaux"), "eaux"), "book", "doc_id", 3).select("book", "doc_id", "rank")
 
 
 _matched(("lex_and", "êaux mentre"), _both("eaux", "mentre"), _both("eaux", "mentre"))
@@ -71,7 +71,7 @@ _matched(("lex_underflow", "eaux &"), _has("eaux"), lambda x: "false")
 
 @R.add(f"WITH {INDEX} SELECT doc_id, {shown(_has('erst'))} AS shown FROM idx WHERE len(string_split(text, '|')) >= 3 AND {either(_has('erst'))} AND ({shown(_has('erst'))}) IS NOT NULL")
 def lex_pipe_postprocess(spark, sf_dir):
-    found = lexical.search(index(spark, sf_dir), "erst")
+    found = lexical.search(index_for(spark, sf_dir, "erst"), "erst")
     return found.where("size(split(text, '[|]')) >= 3").select("doc_id", "shown")
 
 

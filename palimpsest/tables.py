@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _KEPT: dict[tuple[str, str, str], str] = {}
 _LOCAL: dict[str, str] = {}
@@ -32,11 +34,19 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_STATUS = re.compile(r"path=([^;]+);.*?length=(\d+);.*?modification_time=(\d+)")
+
+
 def signature(table: DataFrame) -> str:
-    """Names, sizes and times of the table's files; nothing of their contents is read."""
-    files = table.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    row = files.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("file_path", "file_size", "file_modification_time")).alias("x")).first()
-    return f"{row.n}-{row.x}"
+    """A hash of names, sizes and times of the table's files, as the file system lists them: no job, and no file is opened."""
+    spark, files = table.sparkSession, table.inputFiles()
+    jvm, conf, told = spark._jvm, spark._jsc.hadoopConfiguration(), set()
+    for folder in {f.rpartition("/")[0] for f in files}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        told |= set(_STATUS.findall(jvm.org.apache.commons.lang3.ArrayUtils.toString(path.getFileSystem(conf).listStatus(path))))
+    names = {f.rpartition("/")[2] for f in files}
+    own = sorted(t for t in told if unquote(t[0].rpartition("/")[2]) in names or t[0].rpartition("/")[2] in names)
+    return hashlib.sha256(repr(own).encode()).hexdigest()
 
 
 def kept(name: str, source: DataFrame, make) -> DataFrame:

@@ -208,3 +208,71 @@ def test_rechunked_rows(spark):
     parts = sorted((r for r in got if r.row == 6), key=lambda r: int(r.metadata["chunk_index"]))
     assert len(parts) > 1 and all(r.metadata["chunk_total"] == str(len(parts)) and r.metadata["source_row"] == "6" for r in parts) and not [r for r in got if r.row == 7]
     assert [int(r.metadata["chunk_index"]) for r in parts] == list(range(1, len(parts) + 1)) and parts[0].embedding_text.startswith("EC | T | frase numero 0")
+
+
+def zipf_entries(spark, n, rng, frequent=40):
+    """Entries of words of which few stand nearly everywhere and many stand in a few entries."""
+    words = [f"word{chr(97 + i % 26)}{i}" for i in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    rows = [("b", i, " ".join(rng.choices(words, weights, k=rng.randrange(5, frequent)))) for i in range(n)]
+    e = citations.entries(spark.createDataFrame(rows, "f string, i long, t string"), "f", "i", "t")
+    return rows, e, citations.postings(e)
+
+
+def plain_candidates(rows, text, most):
+    words = lambda t, k: list(dict.fromkeys(w for w in re.findall("[a-z0-9]+", t) if len(w) >= 4 and w != "para"))[:k]
+    asked = words(text[:200], citations.QUERY_TOKENS)
+    found = []
+    for _, i, t in rows:
+        own = set(words(t, citations.ENTRY_TOKENS))
+        if hits := sum(w in own for w in asked):
+            found.append((-hits, abs(len(t) - len(text[:200].strip())), next(k for k, w in enumerate(asked) if w in own), i))
+    return [(i, -h) for h, _, _, i in sorted(found)[:most]]
+
+
+@pytest.mark.parametrize("most", [1, 4, 30, 5000])
+def test_candidates_like_all_pairs(spark, most):
+    rng = random.Random(most)
+    rows, e, index = zipf_entries(spark, 300, rng)
+    texts = [(k, rows[k][2] if k % 2 else " ".join(rng.choice(rows)[2].split()[:4])) for k in range(12)] + [(50, "nothing shared"), (51, "")]
+    asked = citations.asked(spark.createDataFrame(texts, "k long, t string"), "k", "t")
+    for sets in (None, citations.entry_sets(e)):
+        got = {}
+        for r in citations.candidates(asked, index, "k", most, sets).orderBy("k", "place").collect():
+            got.setdefault(r.k, []).append((r.entry_id.ordem, r.hits))
+        assert got == {k: c for k, t in texts if (c := plain_candidates(rows, t, most))}
+
+
+def test_few_of_the_pairs_are_met(spark):
+    """Queries with rare words and words that stand everywhere: less than a tenth of the postings are read."""
+    rng = random.Random(2)
+    rows = [("b", i, f"everywhere always common{i % 3} rare{i // 40} {'filler ' * rng.randrange(30)}") for i in range(3000)]
+    e = citations.entries(spark.createDataFrame(rows, "f string, i long, t string"), "f", "i", "t")
+    index = citations.postings(e)
+    texts = [(k, f"everywhere always common{k % 3} rare{k}") for k in range(5)]
+    asked = citations.asked(spark.createDataFrame(texts, "k long, t string"), "k", "t")
+    ranked = citations._ranked_tokens(asked, citations.token_counts(index), "k", 8).cache()
+    found = citations._judged(citations.met_first(ranked, index, "k").distinct(), citations.entry_sets(e), asked, "k").cache()
+    read = citations.met_first(ranked, index, "k").count() + citations.met_then(ranked, index, found, "k", 8).count()
+    assert read * 10 < ranked.join(index, "token").count()
+    got = {}
+    for r in citations.candidates(asked, index, "k", 8).orderBy("k", "place").collect():
+        got.setdefault(r.k, []).append((r.entry_id.ordem, r.hits))
+    assert got == {k: plain_candidates(rows, t, 8) for k, t in texts}
+
+
+def test_ranges_meet_their_bins_only(spark):
+    """What an ask meets grows with its range, not with its file; results are those of the range."""
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), i, "text", rng.randrange(2000)) for i in range(4000)]
+    e = citations.entries(spark.createDataFrame(rows, "f string, i long, t string, p long"), "f", "i", "t", F.col("p"))
+    asks = [(k, rng.choice("ab"), rng.randrange(2000)) for k in range(40)]
+    m = spark.createDataFrame(asks, "k int, file string, reference long")
+    for before, after in ((0, 0), (2, 3), (7, 1)):
+        got = {}
+        for r in citations.around(m, citations.binned(e, citations.width_of(before, after)), before, after).select("_m.k", "entry_id").collect():
+            got.setdefault(r.k, set()).add(r.entry_id.ordem)
+        assert got == {k: s for k, f, p in asks if (s := {i for g, i, _, q in rows if g == f and p - before <= q <= p + after})}
+        plan = citations.around(m, citations.binned(e, citations.width_of(before, after)), before, after)._jdf.queryExecution().optimizedPlan().toString()
+        join = next(line for line in plan.splitlines() if "Join" in line)
+        assert "_bin" in join and "_file" in join
