@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators import chunks as chunking
 from palimpsest.operators import citations, lexical, semantic
+from palimpsest.operators.places import placed
+from palimpsest.sources import versions
+from palimpsest.tables import stored
 
 VERSION = 1
 
@@ -17,23 +20,29 @@ def write_corpus(corpus: DataFrame, cells: Column, book: str, path: str) -> None
 
 
 def write_citations(entries: DataFrame, signature: str, path: str) -> None:
-    """Writes entries and postings under a signature of their source."""
-    entries.write.mode("overwrite").parquet(f"{path}/entries")
-    citations.postings(entries.sparkSession.read.parquet(f"{path}/entries")).write.mode("overwrite").parquet(f"{path}/postings")
-    entries.sparkSession.createDataFrame([(VERSION, signature)], "version int, signature string").write.mode("overwrite").parquet(f"{path}/meta")
+    """Writes entries and postings under a signature of their source, as one version."""
+    spark = entries.sparkSession
+    with versions.writing(spark, path) as folder:
+        entries.write.parquet(f"{folder}/entries")
+        citations.postings(spark.read.parquet(f"{folder}/entries")).write.parquet(f"{folder}/postings")
+        spark.createDataFrame([(VERSION, signature)], "version int, signature string").write.parquet(f"{folder}/meta")
 
 
 def read_citations(spark: SparkSession, signature: str, path: str) -> tuple[DataFrame, DataFrame] | None:
-    """(entries, postings), or None if there are none of this version and signature."""
-    try:
-        meta = spark.read.parquet(f"{path}/meta").first()
-    except Exception as e:  # noqa: BLE001  Spark says by its text that a path is missing
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
+    """(entries, postings), or None if there are none of this version and signature. Both are of one writing."""
+    folder = versions.current(spark, path)
+    meta = spark.read.parquet(f"{folder}/meta").first() if folder else None
     if meta is None or (meta.version, meta.signature) != (VERSION, signature):
         return None
-    return spark.read.parquet(f"{path}/entries"), spark.read.parquet(f"{path}/postings")
+    return spark.read.parquet(f"{folder}/entries"), spark.read.parquet(f"{folder}/postings")
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a rebuilt index with their vectors, both of its current version; FileNotFoundError without one."""
+    folder = versions.current(spark, path)
+    if folder is None:
+        raise FileNotFoundError(f"no index in {path}")
+    return joined(spark.read.parquet(f"{folder}/metadata"), spark.read.parquet(f"{folder}/embeddings"))
 
 
 def summary(entries: DataFrame, postings: DataFrame) -> DataFrame:
@@ -42,9 +51,13 @@ def summary(entries: DataFrame, postings: DataFrame) -> DataFrame:
 
 
 def manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Vector indexes by their manifest.json files: id, label, source_file, rows, model, dimensions, dtype, recommended."""
+    """Vector indexes below a folder by their manifest.json files, of several versions the current one: id, label, source_file, rows, model, dimensions, dtype, recommended."""
     schema = "id string, index_label string, source_file string, indexed_rows long, model string, dimensions int, embedding_dtype string, recommended_min_score string"
-    found = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "manifest.json").option("recursiveFileLookup", "true").json(path)
+    files = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "manifest.json").option("recursiveFileLookup", "true").json(path)
+    # of indexes written here, the current version counts; others have their manifest in their own folder
+    folder = F.regexp_replace(F.col("_metadata.file_path"), r"/manifest\.json$", "")
+    held = files.withColumn("_folder", folder)
+    found = held.join(versions.current_folders(spark, path).select(F.col("folder").alias("_folder"), F.lit(True).alias("_now")), "_folder", "left").where(~F.col("_folder").rlike(r"/version-[0-9a-f]{32}$") | F.col("_now"))
     id_ = F.lower(F.trim("id"))
     return found.where("id is not null").select(id_.alias("id"), F.coalesce("index_label", "id").alias("label"), "source_file", F.col("indexed_rows").alias("rows"), "model", "dimensions", F.col("embedding_dtype").alias("dtype"), semantic.recommended(F.col("recommended_min_score")).alias("recommended")).orderBy("id")
 
@@ -85,28 +98,34 @@ def rows_to_rebuild(sheet: DataFrame | None, snapshot: DataFrame, source_file: s
 
 
 def rebuild(rows: DataFrame, index_id: str, label: str, embed, path: str, model: str, basis: str, warning: str | None, sizes: tuple[int, int, int] = (280, 420, 110)) -> DataFrame:
-    """Writes an index anew, rows, vectors and manifest, and returns one row that says what was done.
+    """Writes a version of an index, rows, vectors and manifest, and returns one row that says what was done.
+
+    Until all is written, readers have the version before; a writing that ends early leaves that one in place.
 
     embed(chunks) gives chunks (with embedding_text) an `embedding` column: any provider that works on a DataFrame, in
     batches or from a table. Vectors are brought to length 1 and calibrated as they are stored.
     """
     spark = rows.sparkSession
     chunks = chunking.rechunked(rows, label, *sizes)
-    order = Window.orderBy("row", F.coalesce(F.col("metadata")["chunk_index"].cast("int"), F.lit(0)))
-    placed = chunks.withColumn("pos", F.row_number().over(order) - 1)  # an index is numbered from 0 on, in the order of its source
-    made = embed(placed).select(F.lit(index_id).alias("index_id"), "pos", "row", "text", "text_plain", "metadata", F.transform(semantic.unit(F.col("embedding")), lambda x: x.cast("float")).alias("embedding"))
-    made.drop("embedding").write.mode("overwrite").parquet(f"{path}/metadata")
-    made.select("index_id", "pos", "embedding").write.mode("overwrite").parquet(f"{path}/embeddings")
-    vectors = spark.read.parquet(f"{path}/embeddings")
-    counts = vectors.groupBy("index_id").agg(F.count("*").alias("rows"), F.max(F.size("embedding")).alias("dimensions"))
-    stats = semantic.calibration(semantic.sampled_pairs(vectors))
-    payload = semantic.calibration_payload(stats, counts.select("index_id", "rows"), F.current_timestamp())
-    recommended = stats.select("index_id", F.col("recommended").alias("recommended_min_score"))
-    chunked_ = F.struct(F.lit(1).alias("version"), F.lit("structural_sentence_rechunk").alias("strategy"), *(F.lit(n).alias(c) for c, n in zip(("targetChars", "maxChars", "minChars"), sizes, strict=True)), F.lit(rows.count()).alias("rebuiltFromRows"))
-    manifest = counts.join(recommended, "index_id", "left").join(payload, "index_id").select(
-        F.col("index_id").alias("id"), F.lit(label).alias("index_label"), F.lit(model).alias("model"), F.lit("float32").alias("embedding_dtype"), "dimensions", F.col("rows").alias("indexed_rows"), F.lit("l2").alias("normalization"),
-        F.coalesce("recommended_min_score", F.lit(semantic.FLOOR)).alias("recommended_min_score"), "score_calibration", F.lit(basis).alias("rebuild_basis"), chunked_.alias("chunking"), F.current_timestamp().alias("generated_at"),
-    )
-    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
-    written = spark.read.parquet(f"{path}/manifest")
+    # an index is numbered from 0 on, in the order of its source
+    numbered = placed(chunks, ["row", F.coalesce(F.col("metadata")["chunk_index"].cast("int"), F.lit(0))], "pos")
+    made = embed(numbered).select(F.lit(index_id).alias("index_id"), "pos", "row", "text", "text_plain", "metadata", F.transform(semantic.unit(F.col("embedding")), lambda x: x.cast("float")).alias("embedding"))
+    with versions.writing(spark, path) as folder:
+        made = stored(made, "embedded")  # the provider is asked once
+        made.drop("embedding").write.parquet(f"{folder}/metadata")
+        made.select("index_id", "pos", "embedding").write.parquet(f"{folder}/embeddings")
+        vectors = spark.read.parquet(f"{folder}/embeddings")
+        counts = vectors.groupBy("index_id").agg(F.count("*").alias("rows"), F.max(F.size("embedding")).alias("dimensions"))
+        stats = semantic.calibration(semantic.sampled_pairs(vectors))
+        payload = semantic.calibration_payload(stats, counts.select("index_id", "rows"), F.current_timestamp())
+        recommended = stats.select("index_id", F.col("recommended").alias("recommended_min_score"))
+        chunked_ = F.struct(F.lit(1).alias("version"), F.lit("structural_sentence_rechunk").alias("strategy"), *(F.lit(n).alias(c) for c, n in zip(("targetChars", "maxChars", "minChars"), sizes, strict=True)), F.lit(rows.count()).alias("rebuiltFromRows"))
+        manifest = counts.join(recommended, "index_id", "left").join(payload, "index_id").select(
+            F.col("index_id").alias("id"), F.lit(label).alias("index_label"), F.lit(model).alias("model"), F.lit("float32").alias("embedding_dtype"), "dimensions", F.col("rows").alias("indexed_rows"), F.lit("l2").alias("normalization"),
+            F.coalesce("recommended_min_score", F.lit(semantic.FLOOR)).alias("recommended_min_score"), "score_calibration", F.lit(basis).alias("rebuild_basis"), chunked_.alias("chunking"), F.current_timestamp().alias("generated_at"),
+        )
+        manifest.write.parquet(f"{folder}/manifest")
+        written = spark.read.parquet(f"{folder}/manifest")
+        for r in written.select(F.to_json(F.struct("*")).alias("json")).take(1):  # one row an index
+            versions.write_text(spark, f"{folder}/manifest.json", r.json)
     return written.select(F.col("id").alias("index_id"), F.col("chunking.rebuiltFromRows").alias("rows_before"), F.col("indexed_rows").alias("rows_after"), "model", "recommended_min_score", "rebuild_basis", F.lit(warning).cast("string").alias("warning"))

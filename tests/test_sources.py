@@ -93,7 +93,7 @@ def test_streams(spark, tmp_path):
 
 def test_rebuilt_index(spark, tmp_path):
     from palimpsest.operators import semantic
-    from palimpsest.sources import indexes
+    from palimpsest.sources import indexes, versions
 
     sheet = spark.createDataFrame([(2, {"text": " um texto ", "title": "T", "area": " "}), (3, {"text": " ", "title": "U"}), (4, {"text": " ".join(f"frase {i} do texto." for i in range(80)), "title": "V"})], "row int, data map<string,string>")
     rows, basis, warning = indexes.rows_to_rebuild(sheet, None, "a.xlsx", "Text", ["Title", "area"])
@@ -107,12 +107,25 @@ def test_rebuilt_index(spark, tmp_path):
         return chunks.withColumn("embedding", F.array(F.length("text").cast("double"), F.lit(3.0), F.col("pos").cast("double")))
 
     done = indexes.rebuild(rows, "ec", "EC", embed, str(tmp_path / "ec"), "m", basis, warning).first()
-    stored = spark.read.parquet(str(tmp_path / "ec/metadata"))
+    folder = versions.current(spark, str(tmp_path / "ec"))
+    stored = spark.read.parquet(f"{folder}/metadata")
     n = stored.count()
     assert n > 2 and (done.rows_before, done.rows_after, done.rebuild_basis) == (2, n, "metadata_snapshot") and 0.25 <= done.recommended_min_score <= 1
-    manifest = spark.read.parquet(str(tmp_path / "ec/manifest")).first()
+    manifest = spark.read.parquet(f"{folder}/manifest").first()
     assert manifest.dimensions == 3 and manifest.score_calibration.rows == n and manifest.score_calibration.samplePairs == 500 and manifest.score_calibration.method == "random_pair_p99_plus_margin" and manifest.chunking.rebuiltFromRows == 2
-    assert indexes.joined(stored, spark.read.parquet(str(tmp_path / "ec/embeddings"))).count() == n
+    assert sorted(r.pos for r in indexes.read_vectors(spark, str(tmp_path / "ec")).collect()) == list(range(n))
+    assert [(r.id, r.rows) for r in indexes.manifests(spark, str(tmp_path)).collect()] == [("ec", n)]
+
+    def broken(chunks):
+        return chunks.withColumn("embedding", F.when(F.raise_error(F.lit("provider is down")).isNull(), F.array(F.lit(1.0))))
+
+    with pytest.raises(Exception, match="provider is down"):
+        indexes.rebuild(rows, "ec", "EC", broken, str(tmp_path / "ec"), "m", basis, warning)
+    pinned = indexes.read_vectors(spark, str(tmp_path / "ec"))
+    assert versions.current(spark, str(tmp_path / "ec")) == folder and pinned.count() == n
+    indexes.rebuild(rows.limit(1), "ec", "EC", embed, str(tmp_path / "ec"), "m", basis, warning)
+    assert indexes.read_vectors(spark, str(tmp_path / "ec")).count() == 1 and pinned.count() == n
+    assert [(r.id, r.rows) for r in indexes.manifests(spark, str(tmp_path)).collect()] == [("ec", 1)]
     one = semantic.calibration_payload(semantic.calibration(semantic.sampled_pairs(spark.createDataFrame([("x", 0, [1.0])], "index_id string, pos int, embedding array<double>"))), spark.createDataFrame([("x", 1)], "index_id string, rows long"), F.current_timestamp()).first()
     assert one.score_calibration.samplePairs == 0 and one.score_calibration.maxSimilarity == 0.0
 
@@ -125,3 +138,41 @@ def test_sampled_pairs(spark):
     assert len(pairs) == 500 and {r.similarity for r in pairs} == {0.0}  # no vector meets itself
     near = semantic.nearest(v.select(F.col("pos").cast("long").alias("id"), "embedding"), v.where("pos < 2").select(F.col("pos").cast("long").alias("query_id"), "embedding"), 2, block=2).collect()
     assert sorted((r.query_id, r.id, r.place) for r in near) == [(0, 0, 1), (0, 1, 2), (1, 0, 2), (1, 1, 1)]
+
+
+def test_places_need_no_task_of_all_rows(spark):
+    import random
+
+    from palimpsest.operators.places import placed
+
+    rng = random.Random(1)
+    rows = [(rng.randrange(50), rng.random()) for _ in range(2000)]
+    got = placed(spark.createDataFrame(rows, "a int, b double").repartition(7), ["a", F.desc("b")], "pos", 5)
+    assert [(r.a, r.b) for r in got.orderBy("pos").collect()] == sorted(rows, key=lambda r: (r[0], -r[1]))
+    assert sorted(r.pos for r in got.collect()) == list(range(5, 2005)) and "SinglePartition" not in got._jdf.queryExecution().toString()
+    assert placed(spark.createDataFrame([], "a int"), ["a"], "pos").columns == ["a", "pos"]
+
+
+def test_versions(spark, tmp_path):
+    """A table is replaced while it is read, a dead writer leaves nothing, writers at once take different numbers."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from palimpsest.sources import versions
+
+    path = str(tmp_path / "t")
+    assert versions.current(spark, path) is None
+    with pytest.raises(FileNotFoundError):
+        versions.read(spark, path)
+    versions.replace(spark.range(3), path)
+    old = versions.read(spark, path)
+    versions.replace(old.selectExpr("id + 10 as id"), path)
+    assert sorted(r.id for r in versions.read(spark, path).collect()) == [10, 11, 12] and old.count() == 3
+    with pytest.raises(RuntimeError), versions.writing(spark, path) as folder:
+        spark.range(99).write.parquet(f"{folder}/part")
+        raise RuntimeError("killed")
+    assert versions.read(spark, path).count() == 3
+    with ThreadPoolExecutor(6) as pool:
+        numbers = list(pool.map(lambda i: versions.commit(spark, path, f"version-{i:032x}"), range(6)))
+    assert sorted(numbers) == list(range(3, 9))
+    versions.replace(spark.range(7), path)
+    assert versions.vacuum(spark, path, 1) == 8 and versions.read(spark, path).count() == 7 and versions.vacuum(spark, path, 1) == 0
