@@ -106,6 +106,16 @@ def best_of(text: pd.Series, others: pd.Series) -> pd.Series:
     return pd.Series([max((difflib.SequenceMatcher(None, t.lower(), o.lower()).ratio() for o in (os if os is not None else ())), default=0.0) for t, os in zip(text, others, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(DoubleType())
+def best_pair(texts: pd.Series, others: pd.Series) -> pd.Series:
+    """The best ratio of one of an array of texts with one of an array of others, whatever their case; 0 without any."""
+
+    def one(ts, os) -> float:
+        return max((difflib.SequenceMatcher(None, t.lower(), o.lower()).ratio() for t in ts for o in os), default=0.0) if ts is not None and os is not None else 0.0
+
+    return pd.Series([one(t, o) for t, o in zip(texts, others, strict=True)], dtype="float64")
+
+
 @F.pandas_udf(DoubleType())
 def python_round(x: pd.Series, digits: pd.Series) -> pd.Series:
     """Rounding of the exact binary value, as Python has it."""

@@ -108,12 +108,13 @@ def ext_reference_text(spark, sf_dir):
 
 @R.add(None)
 def ext_search(spark, sf_dir):
-    """Parts as records of two services, searched by author and title."""
-    w = _works(spark, sf_dir)
+    """Parts, forty a question, as records of two services; each question asks for the title and author of its first part."""
+    w = _works(spark, sf_dir).withColumn("question", F.floor(F.col("p_partkey") / 40))
     source = F.when(F.col("p_partkey") % 2 == 0, "google").otherwise("open_library")
     a = F.split("autor", "#")
-    records = w.select(source.alias("source"), F.col("p_partkey").alias("pos"), "titulo", F.col("ano").cast("string").alias("ano"), "editora", F.lit(None).cast("string").alias("local"), F.when(F.col("p_partkey") % 4 != 0, "12 p.").alias("paginas_totais"), F.lit(None).cast("string").alias("revista"), F.lit("livro").alias("tipo"), F.array(F.struct(a[0].alias("sobrenome"), a[1].alias("nome"))).alias("autores"))
-    return external.search(records, {"title": "small widget", "author": "Ann Supplier"}).select("rank", "titulo", "ano", F.round("score", 6).alias("score"), "reference")
+    records = w.select("question", source.alias("source"), F.col("p_partkey").alias("pos"), "titulo", F.col("ano").cast("string").alias("ano"), "editora", F.lit(None).cast("string").alias("local"), F.when(F.col("p_partkey") % 4 != 0, "12 p.").alias("paginas_totais"), F.lit(None).cast("string").alias("revista"), F.lit("livro").alias("tipo"), F.array(F.struct(a[0].alias("sobrenome"), a[1].alias("nome"))).alias("autores"))
+    questions = w.groupBy("question").agg(F.min_by("titulo", "p_partkey").alias("title"), F.min_by(F.element_at(a, 1), "p_partkey").alias("author"))
+    return external.search_many(records, questions).select("question", "rank", "titulo", "ano", F.round("score", 6).alias("score"), "reference")
 
 
 _GROUPED = """rows AS (SELECT CASE WHEN o_orderdate > DATE '1996-06-30' THEN 1 ELSE 0 END AS part, c_name AS author, o_orderkey AS number, o_orderpriority || ' ' || o_orderkey AS title FROM orders JOIN customer ON o_custkey = c_custkey)"""

@@ -100,10 +100,33 @@ def test_external_search(spark):
     assert [r.titulo for r in external.search(found, {"author": "Ana Silva", "title": "energia vital"}, natures=natures).collect()] == ["Energia vital"]
 
 
+def test_external_search_of_many_questions(spark):
+    """Each question has the answer that it has alone; no window is without a key, no numbering over all rows."""
+    rng = random.Random(7)
+    titles, people = ["Energia vital", "A energia vital hoje", "Resumo de energia", "Outro livro", "Vida plena", "Estudo da vida"], [("Silva", "Ana"), ("Souza", "Rui"), ("Silvo", "Eva")]
+    asks = [{"title": "energia vital"}, {"author": "Ana Silva"}, {"author": "Ana Silva", "title": "vida plena"}, {"author": "Zz", "year": "2001"}, {"journal": "Revista", "title": "vida"}, {"identifier": "isbn 5", "publisher": "Ed"}, {}]
+    rows, schema = [], "question int, " + SCHEMA
+    for q in range(len(asks)):
+        for i in range(25):
+            source = rng.choice(["google", "open_library", "google_title", "google_isbn", "crossref", "google_any_language"])
+            rows.append((q, *record(source, i, rng.choice(titles), rng.choice(["1999", "2001", "", "x"]), rng.choice([None, "", "Ed"]), rng.choice([None, "9 p."]), [rng.choice(people)], rng.choice(["livro", "artigo"]))))
+    records_ = spark.createDataFrame(rows, schema)
+    questions = spark.createDataFrame([(q, *(a.get(f) for f in external.FIELDS)) for q, a in enumerate(asks)], ", ".join(["question int", *(f"{f} string" for f in external.FIELDS)]))
+    offers = spark.createDataFrame([(q, p, *record("x", 1, "Energia vital", "1990", "P", "7 p.")) for q in range(len(asks)) for p in range(25)], "question int, for_pos int, " + SCHEMA)
+    natures = spark.createDataFrame([("silva::energia vital", "original", None), ("souza::vida plena", "estudo", "X")], "work string, nature string, editora string")
+    many = external.search_many(records_, questions, 3, natures, offers)
+    got = sorted((r.question, r.rank, r.titulo, r.ano, round(r.score, 9), r.reference) for r in many.collect())
+    alone = []
+    for q, a in enumerate(asks[:-1]):
+        alone += [(q, r.rank, r.titulo, r.ano, round(r.score, 9), r.reference) for r in external.search(records_.where(F.col("question") == q).drop("question"), a, "", 3, natures, offers.where(F.col("question") == q).drop("question")).collect()]
+    assert got == sorted(alone) and len({g[0] for g in got}) >= 3
+    assert "SinglePartition" not in many._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rank_score_like_plain_python(spark):
     row = record("google", 1, "Um Resumo da vida", "2001", "Ed", None)
     c = {"author": "Ana Silva", "title": "da vida", "year": "2003", "publisher": "ed", "identifier": "vida"}
-    got = spark.createDataFrame([row], SCHEMA).select(external.rank_score(c, "da vida | Ana", "artigo")).first()[0]
+    got = external.scored(spark.createDataFrame([row], SCHEMA), c, "da vida | Ana", "artigo").first().score
     t, people, rich = "um resumo da vida", "ana silva", 2.0 + 0.5 + 0.5
     s = 6 * like(t, "da vida | ana") + 5 * like("silva", "da vida | ana") + 0.5 + 0.2001 - 2.5 + 1.1 * rich + 8 * like(t, "da vida") + 7 * like(people, "ana silva") + 3 * like("silva", "ana silva")
     s += 10 * (0.6 * like(t, "da vida") + 0.4) + max(0, 1.5 - 0.6) + 4 * 1.0 + 10 - 1.5

@@ -231,12 +231,13 @@ def plain_candidates(rows, text, most):
 
 
 @pytest.mark.parametrize("most", [1, 4, 30, 5000])
-def test_candidates_like_all_pairs(spark, most):
+def test_candidates_like_all_pairs(spark, monkeypatch, most):
     rng = random.Random(most)
     rows, e, index = zipf_entries(spark, 300, rng)
     texts = [(k, rows[k][2] if k % 2 else " ".join(rng.choice(rows)[2].split()[:4])) for k in range(12)] + [(50, "nothing shared"), (51, "")]
     asked = citations.asked(spark.createDataFrame(texts, "k long, t string"), "k", "t")
-    for sets in (None, citations.entry_sets(e)):
+    for sets, worth in ((None, 1.0), (citations.entry_sets(e), 1.0), (None, 0.0)):
+        monkeypatch.setattr(citations, "WORTH", worth)
         got = {}
         for r in citations.candidates(asked, index, "k", most, sets).orderBy("k", "place").collect():
             got.setdefault(r.k, []).append((r.entry_id.ordem, r.hits))
