@@ -9,8 +9,10 @@ import functools
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: A word character, as in Python's \w.
 W = r"[\p{L}\p{N}_]"
@@ -129,6 +131,12 @@ def _expand(x: Column) -> Column:
     return x
 
 
+@F.pandas_udf(StringType())
+def nfkc(x: pd.Series) -> pd.Series:
+    """Compatibility forms composed, which no function of Spark does."""
+    return x.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
 # The same for single values of a query, on the driver.
 
 

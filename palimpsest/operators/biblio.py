@@ -130,6 +130,40 @@ def reference_parts(list_: Column, biblio_: Column, number: Column) -> Column:
     return F.struct(own.try_cast("long").alias("number"), author.alias("author"), title.alias("title"), brazilian_date(biblio_).alias("day"))
 
 
+#: What stands in the place of an entry, or of a text of it, that isn't there.
+MISSING, WITHOUT = "verbete nao encontrado.", "sem conteudo em"
+
+
+def asked_entries(asked: DataFrame, by: str, title: str, pos: str, table: DataFrame, place: str) -> DataFrame:
+    """(by, pos, input, found, number, author, title, day, ref_list, ref_biblio) of the entries that lists of titles ask for.
+
+    asked has titles (title) with their place (pos) in a list (by), any number of lists at once. A title asked for again
+    in other words of the same form counts once, by its first; one without letters or digits not at all. table has
+    titulo, numero, ref_list, ref_biblio and their order (place). A title that is in none has a line that says so, with
+    found false; an empty text of an entry has one too.
+    """
+    form = F.trim(for_books(F.col(title)))
+    firsts = asked.withColumn("_form", form).where("_form != ''").groupBy(by, "_form").agg(F.min_by(F.struct(F.col(pos).alias("pos"), F.col(title).alias("input")), pos).alias("x")).select(by, "x.*", "_form")
+    # of rows with one normalised title the first counts
+    found = title_lookup(firsts.select("_form").distinct(), table, "_form", "titulo", place)
+    told = {c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("ref_list", "ref_biblio")}
+    rows = table.select(place, F.coalesce("numero", F.lit("")).alias("numero"), *(v.alias(c) for c, v in told.items()))
+    met = firsts.join(found.select("_form", place), "_form", "left").join(rows, place, "left").withColumn("found", F.col(place).isNotNull())
+    parts = met.withColumn("_p", reference_parts(F.col("ref_list"), F.col("ref_biblio"), F.col("numero")))
+
+    def line(c: str) -> Column:
+        name = F.concat(F.lit("**"), F.col("input"), F.lit("**: "))
+        return F.when(~F.col("found"), F.concat(name, F.lit(MISSING))).when(F.col(c) == "", F.concat(name, F.lit(f"{WITHOUT} `{c}`."))).otherwise(F.col(c)).alias(c)
+
+    return parts.select(by, "pos", "input", "found", "_p.number", "_p.author", "_p.title", "_p.day", line("ref_list"), line("ref_biblio"))
+
+
+def entries_text(entries: DataFrame, by: str) -> DataFrame:
+    """(by, ref_list): the texts of a list's entries (asked_entries()) by number, those without one last, with blank lines between."""
+    order = F.struct(F.col("number").isNull().alias("a"), "number", "pos", F.col("ref_list").alias("t"))
+    return entries.groupBy(by).agg(F.array_sort(F.collect_list(order)).alias("_all")).select(by, F.array_join(F.transform("_all", lambda x: x["t"]), "\n\n").alias("ref_list"))
+
+
 def grouped_references(rows: DataFrame, author: str, title: str, number: str, date: str, new_from: str = NEW_FROM, line: str | None = None) -> DataFrame:
     """part (0 regular, 1 new), author, titles, entries, first_number: titles of an author together, for the entries of a list.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import definitions as cleaning
 from palimpsest.functions import markup
-from palimpsest.functions.normalise import fold
+from palimpsest.functions.normalise import fold, nfkc
 
 #: Trust in each source.
 BASES = {"Aulete": 1.00, "Michaelis": 0.96, "Priberam": 0.92, "Wiktionary": 0.76, "Dicio": 0.66}
@@ -197,11 +197,15 @@ def extracted(pages: DataFrame, term: str, source: str = "source", html: str = "
     return stages(made.withColumns({"ok": F.lit(True), "error": F.lit(None).cast("string")}))
 
 
+#: White space that closing signs have before them or opening ones behind them; a bracket that a word runs into.
+_LOOSE, _TIGHT = r"\s+(?=[,.;:)\]])|(?<=[(\[])\s+", r"(?<=\S)(?=\[[A-Za-z])"
+
+
 def segment(x: Column) -> Column:
-    """A part of an entry on one line: no space before closing signs or after opening ones, one before a bracket in a word."""
-    y = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), r"(?i)\(\s*editar\s*\)", " "), r"\s+", " ")
-    y = F.regexp_replace(F.regexp_replace(y, r"\s+([,.;:)\]])", "$1"), r"([(\[])\s+", "$1")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(y, r"(?<=[^\s])\[(?=[A-Za-z])", " ["), r"\s{2,}", " "), "^[ -]+|[ -]+$", "")
+    """A part of an entry on one line, without tags and editing marks, with signs next to the words they belong to."""
+    text = F.regexp_replace(x, r"(?i)<[^>]*>|\(\s*editar\s*\)", " ")
+    close = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), _LOOSE, "")
+    return F.regexp_replace(F.regexp_replace(close, _TIGHT, " "), "^[ -]+|[ -]+$", "")
 
 
 def updated_entry(text: Column) -> Column:
@@ -209,7 +213,7 @@ def updated_entry(text: Column) -> Column:
 
     The pronunciation stands first in parentheses, the grammar before the first number, the etymology in the last [F.: ...].
     """
-    raw = segment(text)
+    raw = segment(nfkc(text))
     first = F.regexp_extract(raw, r"^\(([^)]+)\)\s*(.*)$", 1)
     body = F.when(first != "", F.regexp_extract(raw, r"^\(([^)]+)\)\s*(.*)$", 2)).otherwise(raw)
     number = r"(?<!\d)\d+\.\s*"

@@ -79,10 +79,44 @@ def phrase_hit(query: str, text: Column) -> Column:
     return F.when(F.contains(text, F.lit(q)), 1.0).otherwise(0.0) if q else F.lit(0.0)
 
 
+MOST_VALUES = 16
+
+
+def _joined_values(values: Column) -> Column:
+    """The first MOST_VALUES that have a normalised text, joined."""
+    return F.array_join(F.slice(F.filter(F.transform(values, for_semantic), lambda v: F.coalesce(v, F.lit("")) != ""), 1, MOST_VALUES), " ")
+
+
 def metadata_text(metadata: Column) -> Column:
-    """The first 16 non-empty values of a map, normalised."""
-    values = F.slice(F.filter(F.map_values(metadata), lambda v: v.isNotNull() & (F.trim(v) != "")), 1, 16)
-    return for_semantic(F.array_join(values, " "))
+    """The first MOST_VALUES values of a map that have a text, normalised."""
+    return _joined_values(F.map_values(metadata))
+
+
+def nested_metadata_text(json: Column) -> Column:
+    """The same of an object of JSON: its values and those of the objects and arrays among them, two levels deep, in order.
+
+    Deeper ones and nulls don't count. A text that is no object has none.
+    """
+
+    def kind(v: Column) -> Column:
+        return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+
+    def deep(v: Column) -> Column:
+        return F.startswith(kind(v), F.lit("OBJECT")) | F.startswith(kind(v), F.lit("ARRAY"))
+
+    def scalars(vs: Column) -> Column:
+        plain = F.filter(vs, lambda v: ~deep(v) & (kind(v) != "VOID"))
+        return F.transform(plain, lambda v: F.try_variant_get(v, "$", "string"))
+
+    def of(entry: Column) -> Column:
+        v, raw = entry["v"], entry["raw"]
+        within = F.when(F.startswith(kind(v), F.lit("OBJECT")), F.map_values(F.from_json(raw, "map<string,variant>"))).when(F.startswith(kind(v), F.lit("ARRAY")), F.try_variant_get(v, "$", "array<variant>"))
+        return scalars(F.when(deep(v), within).otherwise(F.array(v)))
+
+    # the text of a nested object keeps the order of its keys, which its parsed form does not
+    entries = F.arrays_zip(F.map_values(F.from_json(json, "map<string,variant>")).alias("v"), F.map_values(F.from_json(json, "map<string,string>")).alias("raw"))
+    named = F.transform(entries, lambda e: F.struct(e["v"].alias("v"), e["raw"].alias("raw")))
+    return F.coalesce(_joined_values(F.flatten(F.transform(named, of))), F.lit(""))
 
 
 def alignment(query: str, text: Column, meta: Column) -> Column:

@@ -142,6 +142,29 @@ def refs_title_lookup(spark, sf_dir):
     return biblio.title_lookup(p.select(F.explode(wanted).alias("title")).distinct(), p, "title", "p_type", "p_partkey")
 
 
+_WISH = "CASE p_partkey % 4 WHEN 0 THEN lower(p_type) WHEN 1 THEN p_type || ' extra' WHEN 2 THEN 'zzz ' || p_partkey ELSE substr(p_type, 3) END"
+
+
+@R.add(f"""WITH a AS (SELECT p_size AS list, p_partkey AS pos, {_WISH} AS input, {n7(_WISH)} AS k FROM part),
+firsts AS (SELECT list, k, min(pos) AS pos, arg_min(input, pos) AS input FROM a WHERE k <> '' GROUP BY list, k),
+r AS (SELECT p_partkey, {n7('p_type')} AS t FROM part), names AS (SELECT t, min(p_partkey) AS p FROM r GROUP BY t), ks AS (SELECT DISTINCT k FROM firsts),
+e AS (SELECT k, p FROM ks JOIN names ON k = t), l AS (SELECT k, min(p) AS p FROM ks JOIN names ON contains(t, k) OR contains(k, t) WHERE k NOT IN (SELECT k FROM e) GROUP BY k),
+met AS (SELECT f.*, m.p FROM firsts f LEFT JOIN (SELECT * FROM e UNION ALL SELECT * FROM l) m USING (k))
+SELECT list, pos, input, p IS NOT NULL AS found, p AS number, CASE WHEN p % 5 <> 0 THEN '**C' || p || '**, Ann' END AS author,
+  CASE WHEN p IS NULL THEN '**' || input || '**: verbete nao encontrado.' WHEN p % 4 = 0 THEN '**' || input || '**: sem conteudo em `ref_list`.' ELSE 'L' || p || ' (n. ' || p || ')' END AS ref_list,
+  CASE WHEN p IS NULL THEN '**' || input || '**: verbete nao encontrado.' WHEN p % 5 = 0 THEN '**' || input || '**: sem conteudo em `ref_biblio`.' ELSE '**C' || p || '**, Ann; ***T*** (n. ' || p || '; a)' END AS ref_biblio FROM met""")
+def refs_asked_entries(spark, sf_dir):
+    """Titles of parts, changed and made up, as lists that are asked for by size; every third entry has its number as a field."""
+    part = table(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("string")
+    entries = part.select(
+        F.col("p_partkey").alias("place"), F.col("p_type").alias("titulo"), F.when((F.col("p_partkey") % 3 == 0) | (F.col("p_partkey") % 20 == 0), key).alias("numero"),
+        F.when(F.col("p_partkey") % 4 != 0, F.concat(F.lit("L"), key, F.lit(" (n. "), key, F.lit(")"))).alias("ref_list"), F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit("**C"), key, F.lit("**, Ann; ***T*** (n. "), key, F.lit("; a)"))).alias("ref_biblio"),
+    )
+    asked = part.select(F.col("p_size").alias("list"), "p_partkey", F.expr(_WISH).alias("wish"))
+    return biblio.asked_entries(asked, "list", "wish", "p_partkey", entries, "place").select("list", "pos", "input", "found", "number", "author", "ref_list", "ref_biblio")
+
+
 _BOOK = "CASE WHEN p_size <= 9 THEN 'c' || p_size ELSE p_type END"
 
 

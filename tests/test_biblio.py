@@ -158,3 +158,17 @@ def test_services(spark):
     assert (g[0].titulo, g[0].ano, g[0].paginas_totais, [tuple(a) for a in g[0].autores]) == ("T", "2001", "12 p.", [("Silva", "Ana da")]) and g[1].titulo == "" and g[1].autores == []
     assert (l.titulo, l.ano, [tuple(a) for a in l.autores], l.editora) == ("U", "1999", [("Rui", "")], None)
     assert (c.titulo, c.ano, c.revista, c.editora, c.tipo, [tuple(a) for a in c.autores]) == ("V", "2003", "R", "P", "artigo", [("Lima", "Eva")])
+
+
+def test_asked_entries(spark):
+    table = spark.createDataFrame([(1, "Tenepes", "12", "lista", "**Lima**, Eva; ***Tenepes*** (n. 12; x); 06.12.2023"), (2, "tenepes", "99", "outra", ""), (3, "Abertismo (n)", None, None, "sem forma n. 7"), (4, "Vazio", None, "", None)], "place int, titulo string, numero string, ref_list string, ref_biblio string")
+    asked = spark.createDataFrame([("a", 1, "nada disso"), ("a", 2, "TENEPES"), ("a", 3, "tenepes "), ("a", 4, "Abertismo"), ("a", 5, " -- "), ("a", 6, "!?"), ("b", 1, "vazio"), ("b", 2, None)], "l string, n int, t string")
+    got = {(r.l, r.pos): r for r in biblio.asked_entries(asked, "l", "t", "n", table, "place").collect()}
+    assert set(got) - {("a", 5)} == {("a", 1), ("a", 2), ("a", 4), ("b", 1)}
+    none, one, part, empty = (got[k] for k in [("a", 1), ("a", 2), ("a", 4), ("b", 1)])
+    assert not none.found and none.number is None and none.ref_list == none.ref_biblio == "**nada disso**: verbete nao encontrado."
+    assert one.found and (one.number, one.author, one.ref_list) == (12, "**Lima**, Eva", "lista") and part.number == 7 and part.ref_list == "**Abertismo**: sem conteudo em `ref_list`."
+    assert empty.found and empty.ref_biblio == "**vazio**: sem conteudo em `ref_biblio`."
+    text = {r.l: r.ref_list for r in biblio.entries_text(biblio.asked_entries(asked, "l", "t", "n", table, "place").where("pos <> 5"), "l").collect()}
+    assert text["a"] == "**Abertismo**: sem conteudo em `ref_list`.\n\nlista\n\n**nada disso**: verbete nao encontrado."
+    assert biblio.asked_entries(asked.limit(0), "l", "t", "n", table, "place").count() == 0 and biblio.asked_entries(asked, "l", "t", "n", table.limit(0), "place").where("found").count() == 0

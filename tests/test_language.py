@@ -189,3 +189,22 @@ def test_definitions(spark):
     assert definitions.once(["Um", " um ", "", "dois <b>x</b>"]) == ["Um", "dois x"]
     df = spark.createDataFrame([(["um", "dois", "Um"],), (None,)], "d array<string>")
     assert [r[0] for r in df.select(definitions.definitions("d")).collect()] == [["Um", "Dois"], None]
+
+
+def test_nested_metadata(spark):
+    from palimpsest.operators import semantic
+
+    texts = ['{"a": "Um", "b": {"z": "dois", "c": ["tres", {"x": "fundo"}], "y": 4}, "d": ["cinco", null, {"k": "fundo"}, true], "e": null, "f": " ", "g": "*seis*"}', '{"' + '", "'.join(f'k{i}": "v{i}' for i in range(30)) + '"}', "[1]", "no", None, "{}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r.x for r in df.select("i", semantic.nested_metadata_text(F.col("t")).alias("x")).orderBy("i").collect()]
+    assert got == ["um dois 4 cinco true seis", " ".join(f"v{i}" for i in range(16)), "", "", "", ""]
+
+
+def test_entry_segments(spark):
+    from palimpsest.functions.normalise import nfkc
+    from palimpsest.operators import dictionary
+
+    texts = ["<b>a</b> ( editar ) b , c ;d ( e ) [ f ]", "xx[F.: y] -", "ﬁm ½ e\u0301", " - a\n\tb . ", "a [b a[1 [[c", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r.x for r in df.select("i", dictionary.segment(nfkc(F.col("t"))).alias("x")).orderBy("i").collect()]
+    assert got == ["a b, c;d (e) [f]", "xx [F.: y]", "fim 1⁄2 é", "a b.", "a [b a[1 [ [c", ""]
