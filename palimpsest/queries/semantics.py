@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import semantic
+from palimpsest.operators import nearby, semantic
 from palimpsest.queries.common import Registry, n3, table
 
 R = Registry()
@@ -116,9 +116,12 @@ def sem_overview_all(spark, sf_dir):
     return semantic.overview_totals(semantic.eligible(_index(spark, sf_dir), _vector(spark, sf_dir), "que eaux", exclude=True, thresholds=limits), limits, limits)
 
 
-@R.add("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
+_MANY = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id, list_dot_product(embedding::DOUBLE[], q) AS similarity FROM embeddings, q)
-SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS place FROM s QUALIFY place <= 3""")
+SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS place FROM s QUALIFY place <= 3"""
+
+
+@R.add(_MANY)
 def sem_multi_query(spark, sf_dir):
     """A stated set of queries against all vectors."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
@@ -126,6 +129,14 @@ def sem_multi_query(spark, sf_dir):
     return semantic.nearest(e, asked, 3).select("query_id", F.col("id").alias("vec_id"), "place")
 
 
+@R.add(_MANY)
+def sem_pivots(spark, sf_dir):
+    """The same by rings around pivots, of which those are met that can hold an answer."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    found, _ = nearby.nearest(e, e.where("id % 50 = 0").withColumnRenamed("id", "query_id"), 3, block=256)
+    return found.select("query_id", F.col("id").alias("vec_id"), "place")
+
+
 @R.add("SELECT vec_id, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS size, (embedding[1]::DOUBLE) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS first FROM embeddings")
 def vec_l2(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
