@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
+import re
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Window
@@ -76,7 +77,12 @@ def files_for(signed: DataFrame, query: str) -> list[str]:
 def within(index: DataFrame, signed: DataFrame, query: str) -> DataFrame:
     """The stored index without the files that can have no match; signed is signatures() of it."""
     paths, spark = files_for(signed, query), index.sparkSession
-    return spark.read.schema(index.schema).parquet(*paths) if paths else spark.createDataFrame([], index.schema)
+    if not paths:
+        return spark.createDataFrame([], index.schema)
+    # folders such as book=x hold columns that the files don't
+    root = re.split(r"/[^/]+=[^/]*/", paths[0])[0]
+    reader = spark.read.schema(index.schema)
+    return (reader.option("basePath", root) if root != paths[0] else reader).parquet(*paths)
 
 
 def shown_text(query: str, text: Column) -> Column:

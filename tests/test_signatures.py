@@ -35,6 +35,14 @@ def test_files_without_the_literals_are_not_read(spark, tmp_path):
         assert sorted(r.id for r in lexical.search(read, query).collect()) == sorted(r.id for r in lexical.search(index, query).collect())
 
 
+def test_index_in_folders_of_books(spark, tmp_path):
+    df = spark.createDataFrame(rows(random.Random(2)), "id long, part int, text string")
+    lexical.indexed(df, F.array("text")).coalesce(1).write.partitionBy("part").parquet(f"{tmp_path}/books")
+    index = spark.read.parquet(f"{tmp_path}/books")
+    read = lexical.within(index, lexical.signatures(index), "casa")
+    assert len(read.inputFiles()) == 2 and {r.part for r in read.select("part").distinct().collect()} == {0, 1} and read.columns == index.columns
+
+
 def test_no_match_is_in_a_file_left_out(spark, tmp_path):
     """Random queries: what row_matches() finds, possible() allows."""
     index = written(spark, tmp_path)
