@@ -1,8 +1,8 @@
 """Tables that are replaced as a whole: each writing makes a version of its own, readers see a finished one or none.
 
-A version is a folder; a version is committed when a marker with its number and its folder's name is renamed into
-place. Of two writers that want the same number one fails to rename, and takes the next. A writer that dies leaves a
-folder without a marker, which nobody reads. A reader keeps the folder it has once looked up.
+A version is a folder; a version is committed when a marker named by its number and its folder is created. Of two writers
+that want the same number one fails to claim it, and takes the next. A writer that dies leaves a folder without a marker,
+which nobody reads. A reader keeps the folder it has once looked up.
 """
 
 from __future__ import annotations
@@ -50,22 +50,35 @@ def current(spark: SparkSession, path: str) -> str | None:
 def commit(spark: SparkSession, path: str, folder: str) -> int:
     """Makes the folder (within path) the current version and returns its number.
 
-    A number is taken by the creation of a file of that name, which fails where it is there; the marker that readers
-    look for is then put in place by one rename.
+    A number is taken by the creation of a file of that name, which fails where it is there and which stays; then the
+    marker that readers look for is created, whose name says all.
     """
+    fs, at = _fs(spark, f"{path}/{MARKERS}")
+    fs.mkdirs(at)
     while True:
         n = max([0, *(m[0] for m in _markers(spark, path)), *_taken(spark, path)]) + 1
-        fs, claim = _fs(spark, f"{path}/{MARKERS}/claim-{n:010d}")
+        if _created(spark, f"{path}/{MARKERS}/claim-{n:010d}", folder):
+            write_text(spark, f"{path}/{MARKERS}/{PREFIX}{n:010d}-{folder}", folder)
+            return n
+
+
+def _created(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates a file, or returns false where it is there."""
+    fs, at = _fs(spark, path)
+    if fs.getUri().getScheme() == "file":  # whose create() looks first and writes then
         try:
-            write_text(spark, claim.toString(), folder, anew=False)
-        except Exception as e:  # noqa: BLE001  another writer has it
-            if "already exists" in str(e):
-                continue
-            raise
-        _, marker = _fs(spark, f"{path}/{MARKERS}/{PREFIX}{n:010d}-{folder}")
-        if not fs.rename(claim, marker):
-            raise OSError(f"{claim} could not be renamed")
-        return n
+            with open(at.toUri().getPath(), "x") as f:
+                f.write(text)
+        except FileExistsError:
+            return False
+        return True
+    try:
+        write_text(spark, path, text, anew=False)
+    except Exception:  # noqa: BLE001  file systems tell it in different ways
+        if fs.exists(at):
+            return False
+        raise
+    return True
 
 
 def _taken(spark: SparkSession, path: str) -> list[int]:
