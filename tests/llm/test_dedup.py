@@ -276,3 +276,38 @@ def test_fuzzy_passages_meet(spark):
                 (hard if percent == 20 else pairs).add((d + 1, d))
     found = {(r.doc, r.pivot) for r in passages.passages(spark.createDataFrame(rows, "doc long, text string")).collect()}
     assert pairs <= found <= pairs | hard and len(found & hard) >= 0.8 * len(hard)
+
+
+def test_edited_passage_of_lines_that_all_stand_in_earlier_documents(spark):
+    """Each key of the passage has more members than are all matched, and its first one is in a document without the passage."""
+    rng = random.Random(5)
+
+    def fill(n):
+        return words(rng, n, 100_000)
+
+    lines = [fill(10) for _ in range(6)]
+    rows = [(12 * i + k, " ".join(fill(40) + line + fill(40))) for i, line in enumerate(lines) for k in range(12)]
+    edited = [[f"new{i}", *line[1:]] for i, line in enumerate(lines)]
+    rows += [(100 + k, " ".join(fill(40) + sum(own, []) + fill(50))) for k, own in enumerate((lines, edited))]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in passages.repeated_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {100: (100, 1), 101: (100, 1)}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_likely_loses_no_stretch(seed):
+    """Stretches of 50 words around a k-mer with 10 replaced, inserted or left out."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(1, 1 << 60, 50).astype(np.uint64)
+    at = int(rng.integers(0, 46))
+    other, where = [], None
+    changed = set(rng.choice([i for i in range(50) if not at <= i < at + 5], 10, replace=False).tolist())
+    for i, w in enumerate(base):
+        where = len(other) if i == at else where
+        kind = rng.integers(0, 3) if i in changed and seed % 2 else 0
+        other += [w] if i not in changed else [[rng.integers(1, 1 << 60)], [], [w, rng.integers(1, 1 << 60)]][kind]
+    rows = []
+    for text, place in ((base, at), (np.array(other, np.uint64), where)):
+        full = np.concatenate([rng.integers(1, 1 << 60, 60).astype(np.uint64), text, rng.integers(1, 1 << 60, 60).astype(np.uint64)])
+        rows.append(passages.surroundings(full, np.array([0]), np.array([len(full)]), np.array([60 + place]), 45)[0])
+    assert len(passages.likely(*rows, 50)[0]) == 1
+    assert len(passages.likely(rows[0], (rows[0] + 7) % 1024, 50)[0]) == 0
