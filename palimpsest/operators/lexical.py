@@ -7,11 +7,14 @@ import operator
 import re
 from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.normalise import for_match, match_text, strip, without_markdown
+from palimpsest.functions.normalise import fold, for_match, match_text, only_words, sanitise, strip, without_markdown
 from palimpsest.plans import boolean
+from palimpsest.tables import in_small_batches
 
 #: Matches counted in a book at most; rows shown by default and at most.
 MOST_COUNTED, SHOWN, MOST_SHOWN = 200, 50, 200
@@ -33,40 +36,52 @@ def indexed(corpus: DataFrame, cells: Column) -> DataFrame:
 
     Written once as a table, searches don't normalise again.
     """
-    own = corpus.withColumn("_segs", segments(cells))
-    return own.withColumn("hay", for_match(F.array_join("_segs", " "))).withColumn("segs", F.transform("_segs", for_match)).drop("_segs")
+    # each segment is normalised once; the whole is what is left of them, with spaces between, as if normalised as one
+    own = corpus.withColumn("_segs", segments(cells)).withColumn("_plain", F.transform("_segs", lambda s: F.lower(fold(sanitise(s)))))
+    there = F.filter(F.arrays_zip("_segs", "_plain"), lambda x: (x["_plain"] != "") | (sanitise(x["_segs"]) != ""))
+    whole = F.array_join(F.transform(there, lambda x: x["_plain"]), " ")
+    return own.withColumns({"hay": only_words(F.trim(whole)), "segs": F.transform("_plain", lambda s: only_words(F.trim(s)))}).drop("_segs", "_plain")
 
 
-#: Bits of a file's signature; what bitmap_construct_agg() makes.
+#: Bits of a file's signature, as long as those of bitmap_or_agg().
 BITS = 4096 * 8
-_GRAM = r"(?s)(?=(.{3}))"
 
 
-def _bit(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(BITS))
+def _bits(text: str) -> np.ndarray:
+    """The bit of each run of three letters."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    mixed = (code[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (code[1:-1] * np.uint64(0xBF58476D1CE4E5B9)) ^ (code[2:] * np.uint64(0x94D049BB133111EB))
+    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(49)
 
 
 def signatures(index: DataFrame) -> DataFrame:
     """(path, bits) of each file of a stored index: a bitmap of hashes of all runs of three letters in its texts and segments.
 
-    Rows give their distinct bits, which are put together before and after the one shuffle, by file.
+    Each batch of rows gives one bitmap a file, and these are all that is shuffled.
     """
+
+    def run(batches):
+        for b in batches:
+            on: dict[str, np.ndarray] = {}
+            for path, text in zip(b["path"].to_pylist(), b["text"].to_pylist(), strict=True):
+                own = on.setdefault(path, np.zeros(BITS, bool))  # a file without any run of three has a signature too
+                own[_bits(text)] = True
+            made = [np.packbits(x, bitorder="little").tobytes() for x in on.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(on), pa.string()), pa.array(made, pa.binary())], ["path", "bits"])
+
     every = F.concat_ws("\n", "hay", F.array_join("segs", "\n"))
-    bits = F.array_distinct(F.transform(F.regexp_extract_all(every, F.lit(_GRAM), 1), _bit))
-    # explode_outer: a file without any run of three has a signature too
-    rows = index.select(F.col("_metadata.file_path").alias("path"), F.explode_outer(bits).alias("bit"))
-    return rows.groupBy("path").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    rows = in_small_batches(index).select(F.col("_metadata.file_path").alias("path"), every.alias("text"))
+    return rows.mapInArrow(run, "path string, bits binary").groupBy("path").agg(F.bitmap_or_agg("bits").alias("bits"))
 
 
 def _holds(literal: str) -> Column:
     """Whether the bitmap has the bits of all runs of three letters of a literal. Shorter ones can be anywhere."""
 
-    def bit(gram: str) -> Column:
-        at = _bit(F.lit(gram)).cast("int")
-        byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        return F.getbit(byte, at % 8) == 1
+    def bit(at: int) -> Column:
+        byte = F.conv(F.hex(F.substring("bits", at // 8 + 1, 1)), 16, 10).cast("int")
+        return F.getbit(byte, F.lit(at % 8)) == 1
 
-    return functools.reduce(operator.and_, (bit(literal[i : i + 3]) for i in range(len(literal) - 2)), F.lit(True))
+    return functools.reduce(operator.and_, (bit(at) for at in sorted(set(_bits(literal).tolist()))), F.lit(True))
 
 
 def files_for(signed: DataFrame, query: str) -> list[str]:

@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from palimpsest.functions.normalise import for_match
 from palimpsest.operators import lexical
 from palimpsest.plans import boolean
 from palimpsest.tables import signature, stored
@@ -70,3 +71,17 @@ def test_signature_follows_the_files(spark, tmp_path):
     os.utime(f"{tmp_path}/t/{name}", (1, 1))
     assert len({first, second, signature(spark.read.parquet(f"{tmp_path}/t"))}) == 3
     assert signature(spark.read.parquet(f"{tmp_path}/t/{name}")) not in (first, second)
+
+
+def test_signatures_are_made_without_a_row_for_each_run(spark, tmp_path):
+    plan = lexical.signatures(written(spark, tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+
+
+def test_whole_text_is_that_of_its_segments(spark):
+    cells = ["a  b", "x | - y |​| z", " ́ |́ c", " d  e\t|f\n\ng", "|", "​", "Σ αΣ|Σ", "!|?", "p | !? |q", "\x1c h\x1d\x1e"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "id long, text string")
+    made = lexical.indexed(df, F.array("text", F.lit("-"), F.lit("́")))
+    whole = F.array_join(lexical.segments(F.array("text", F.lit("-"), F.lit("́"))), " ")
+    for r in made.select("id", "hay", "segs", for_match(whole).alias("asked"), F.transform(lexical.segments(F.array("text", F.lit("-"), F.lit("́"))), for_match).alias("parts")).collect():
+        assert (r.hay, r.segs) == (r.asked, r.parts), r
