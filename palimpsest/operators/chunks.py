@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.normalise import for_chunks, strip
+from palimpsest.tables import in_small_batches
 
 TARGET, MOST, LEAST = 280, 420, 110
 
@@ -96,7 +97,7 @@ def _packed(target: int, most: int, least: int):
 
 def chunked(rows: DataFrame, key: str, text: str = "text", target: int = TARGET, most: int = MOST, least: int = LEAST) -> DataFrame:
     """key, chunk_index (from 1), chunk_total, chunk of each non-empty text; one that fits is one chunk."""
-    made = rows.select(key, _packed(target, most, least)(for_chunks(F.col(text))).alias("chunks"))
+    made = in_small_batches(rows).select(key, _packed(target, most, least)(for_chunks(F.col(text))).alias("chunks"))
     return made.select(key, F.size("chunks").alias("chunk_total"), F.posexplode("chunks").alias("at", "chunk")).select(key, (F.col("at") + 1).alias("chunk_index"), "chunk_total", "chunk")
 
 
@@ -112,7 +113,7 @@ def rechunked(rows: DataFrame, label: str, target: int = TARGET, most: int = MOS
     """
     plain = F.coalesce(F.nullif(strip(F.col("text_plain")), F.lit("")), strip(F.col("text")))
     empty = F.create_map().cast("map<string,string>")
-    own = rows.select("row", strip(F.col("text")).alias("_text"), plain.alias("_plain"), F.coalesce("metadata", empty).alias("_meta")).where("_plain != ''")
+    own = in_small_batches(rows).select("row", strip(F.col("text")).alias("_text"), plain.alias("_plain"), F.coalesce("metadata", empty).alias("_meta")).where("_plain != ''")
     cut = own.withColumn("_chunks", _packed(target, most, least)(for_chunks(F.col("_plain")))).select("row", "_text", "_plain", "_meta", F.size("_chunks").alias("_n"), F.posexplode("_chunks").alias("_at", "_chunk"))
     one = F.col("_n") == 1
     said = F.create_map(*(x for n, c in (("source_row", F.col("row")), ("chunk_index", F.col("_at") + 1), ("chunk_total", F.col("_n"))) for x in (F.lit(n), c.cast("string"))))
