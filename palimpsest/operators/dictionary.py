@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import definitions as cleaning
 from palimpsest.functions import markup
 from palimpsest.functions.normalise import fold, nfkc
+from palimpsest.tables import in_small_batches
 
 #: Trust in each source.
 BASES = {"Aulete": 1.00, "Michaelis": 0.96, "Priberam": 0.92, "Wiktionary": 0.76, "Dicio": 0.66}
@@ -187,7 +188,7 @@ RULES = {"Aulete": aulete, "Priberam": priberam, "Michaelis": michaelis, "Wiktio
 def extracted(pages: DataFrame, term: str, source: str = "source", html: str = "html") -> DataFrame:
     """Stages of pages (term, source, html): what the source's rule finds. A page of another source, or null, finds nothing."""
     none = F.array().cast("array<string>")
-    own = pages.select(F.col(term).alias("term"), F.col(source).alias("source"), markup.nodes(html).alias("_nodes"))
+    own = in_small_batches(pages).select(F.col(term).alias("term"), F.col(source).alias("source"), markup.nodes(html).alias("_nodes"))
     parts = {"definitions": none, "synonyms": none, "examples": none, "etymology": F.lit(None).cast("string")}
     for name, rule in RULES.items():
         for part, found in rule(F.col("_nodes")).items():
