@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.fuzzy import best_word, grams_of, partial_words, piece_of, python_round, ratio, token_recall, word_overlap, words_of, year_score
 from palimpsest.functions.normalise import biblio_text, for_biblio, for_books, for_external, for_title_score
+from palimpsest.tables import stored
 
 WEIGHTS = {"author": 0.55, "title": 0.30, "year": 0.12, "extra": 0.03}
 BOOK_BOOST, CUT = 0.08, 0.03
@@ -85,11 +86,12 @@ def title_lookup(titles: DataFrame, table: DataFrame, title: str, other: str, pl
     Rows without a normalised title meet nothing. Exact matches are a hash join; the rest meets by a piece that what is
     contained has and what contains it too.
     """
-    asked = titles.select(title, F.trim(for_books(F.col(title))).alias("_q")).where("_q != ''").distinct()
-    rows = table.select(F.col(place), F.trim(for_books(F.col(other))).alias("_t")).where("_t != ''")
-    exact = asked.join(rows, asked["_q"] == rows["_t"]).groupBy(title).agg(F.min(place).alias(place))
+    # each title is normalised once, however many rows have it
+    asked = stored(titles.select(title).distinct().select(title, F.trim(for_books(F.col(title))).alias("_q")).where("_q != ''"), "asked")
+    firsts = table.groupBy(F.col(other).alias("_raw")).agg(F.min(place).alias(place))
+    names = stored(firsts.select(F.trim(for_books(F.col("_raw"))).alias("_t"), place).where("_t != ''").groupBy("_t").agg(F.min(place).alias(place)), "names")
+    exact = asked.join(names, asked["_q"] == names["_t"]).select(title, place)
     rest = asked.join(exact.select(title), title, "left_anti")
-    names = rows.groupBy("_t").agg(F.min(place).alias(place))
     inside = rest.withColumn("_g", piece_of(F.col("_q"))).join(names.withColumn("_g", F.explode(grams_of(F.col("_t")))), "_g").where(F.contains("_t", "_q"))
     around = rest.withColumn("_g", F.explode(grams_of(F.col("_q")))).join(names.withColumn("_g", piece_of(F.col("_t"))), "_g").where(F.contains("_q", "_t"))
     loose = inside.select(title, place).unionByName(around.select(title, place)).groupBy(title).agg(F.min(place).alias(place))
@@ -143,7 +145,9 @@ def asked_entries(asked: DataFrame, by: str, title: str, pos: str, table: DataFr
     found false; an empty text of an entry has one too.
     """
     form = F.trim(for_books(F.col(title)))
-    firsts = asked.withColumn("_form", form).where("_form != ''").groupBy(by, "_form").agg(F.min_by(F.struct(F.col(pos).alias("pos"), F.col(title).alias("input")), pos).alias("x")).select(by, "x.*", "_form")
+    told = asked.groupBy(by, title).agg(F.min(pos).alias(pos))  # normalised once in a list
+    firsts = told.withColumn("_form", form).where("_form != ''").groupBy(by, "_form").agg(F.min_by(F.struct(F.col(pos).alias("pos"), F.col(title).alias("input")), pos).alias("x")).select(by, "x.*", "_form")
+    firsts = stored(firsts, "firsts")
     # of rows with one normalised title the first counts
     found = title_lookup(firsts.select("_form").distinct(), table, "_form", "titulo", place)
     told = {c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("ref_list", "ref_biblio")}

@@ -172,3 +172,12 @@ def test_asked_entries(spark):
     text = {r.l: r.ref_list for r in biblio.entries_text(biblio.asked_entries(asked, "l", "t", "n", table, "place").where("pos <> 5"), "l").collect()}
     assert text["a"] == "**Abertismo**: sem conteudo em `ref_list`.\n\nlista\n\n**nada disso**: verbete nao encontrado."
     assert biblio.asked_entries(asked.limit(0), "l", "t", "n", table, "place").count() == 0 and biblio.asked_entries(asked, "l", "t", "n", table.limit(0), "place").where("found").count() == 0
+
+
+def test_titles_are_normalised_once(spark):
+    """Joins of a lookup read distinct normalised titles, not the rows of the table again."""
+    table = spark.range(1000).select(F.col("id").alias("place"), F.concat(F.lit("Title "), F.col("id") % 3).alias("titulo"))
+    titles = table.select(F.upper("titulo").alias("title")).unionByName(spark.createDataFrame([("tle 2",)], "title string"))
+    found = biblio.title_lookup(titles, table, "title", "titulo", "place")
+    assert "Range (" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("TITLE 0", 0, "exact"), ("TITLE 1", 1, "exact"), ("TITLE 2", 2, "exact"), ("tle 2", 2, "contains")]
