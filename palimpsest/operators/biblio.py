@@ -61,9 +61,15 @@ def match(refs: DataFrame, key: str, author: str = "", title: str = "", year: in
     if not given and year is None:
         raise ValueError("nothing to match")
     text = {n: F.lit(biblio_text(v)) for n, v in given.items()}
-    rows = refs.withColumns({f"_{n}": for_biblio(F.coalesce(F.col(c), F.lit(""))) for n, c in (("author", "autor"), ("title", "titulo"), ("extra", "extra"))})
-    made = {"author": author_score, "title": title_score, "extra": field_score}
-    rows = rows.withColumns({f"_s_{n}": made[n](text[n], F.col(f"_{n}")) if n in given else F.lit(0.0) for n in made})
+    made, rows = {"author": (author_score, "autor"), "title": (title_score, "titulo"), "extra": (field_score, "extra")}, refs
+    for n, (score, c) in made.items():
+        if n not in given:
+            rows = rows.withColumn(f"_s_{n}", F.lit(0.0))
+            continue
+        # likenesses are costly, so each value is compared once, however many rows have it
+        value = F.coalesce(F.col(c), F.lit(""))
+        scored = rows.select(value.alias(f"_{n}")).distinct().withColumn(f"_s_{n}", score(text[n], for_biblio(F.col(f"_{n}"))))
+        rows = rows.withColumn("_value", value).join(scored, F.col("_value") == F.col(f"_{n}")).drop("_value", f"_{n}")
     rows = rows.withColumn("_s_year", year_score(F.lit(year), F.col("ano")) if year is not None else F.lit(0.0))
     names = [*given, *["year"] * (year is not None)]
     total = sum((WEIGHTS[n] * F.col(f"_s_{n}") for n in names), F.lit(0.0)) / sum(WEIGHTS[n] for n in names)

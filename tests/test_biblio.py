@@ -181,3 +181,15 @@ def test_titles_are_normalised_once(spark):
     found = biblio.title_lookup(titles, table, "title", "titulo", "place")
     assert "Range (" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [("TITLE 0", 0, "exact"), ("TITLE 1", 1, "exact"), ("TITLE 2", 2, "exact"), ("tle 2", 2, "contains")]
+
+
+def test_values_are_scored_once(spark):
+    """Equal authors and titles of many rows are one comparison; rows without them still have a score."""
+    refs = spark.range(60).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("Ann "), F.col("id") % 3)).alias("autor"), F.lit("a small widget").alias("titulo"), F.lit("x").alias("tipo"), F.lit("").alias("extra"), F.lit(2010).alias("ano"))
+    found = biblio.match(refs, "id", author="Ann 1", title="small widget", year=2010)
+    assert "HashAggregate" in found._jdf.queryExecution().executedPlan().toString()
+    got = found.collect()
+    assert [r.id for r in got] == list(range(1, 60, 3)) and len({r.score for r in got}) == 1
+    # without an author
+    alone = biblio.match(refs.where("autor is null"), "id", title="small widget").collect()
+    assert [r.id for r in alone] == list(range(0, 60, 3)) and alone[0].score > 0
