@@ -277,3 +277,39 @@ def test_ranges_meet_their_bins_only(spark):
         plan = citations.around(m, citations.binned(e, citations.width_of(before, after)), before, after)._jdf.queryExecution().optimizedPlan().toString()
         join = next(line for line in plan.splitlines() if "Join" in line)
         assert "_bin" in join and "_file" in join
+
+
+def exchanged(df):
+    """What a plan deals by shuffles of more than single rows."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_entries_stay_where_they_are(spark):
+    """Queries go to entries and postings; neither is dealt anew for a few queries, and no table is made of all words."""
+    rng = random.Random(8)
+    rows, e, _ = zipf_entries(spark, 300, rng)
+    sets = citations.entry_sets(e)
+    texts = [(k, rows[k][2]) for k in range(12)]
+    asked = citations.asked(spark.createDataFrame(texts, "k long, t string"), "k", "t")
+    met = citations.met_first(citations._ranked_tokens(asked, citations.token_counts(citations.postings(e)), "k", 8), citations.postings_of(sets), "k")
+    assert not exchanged(met)
+    assert met.count() == met.select("k", "entry_id").distinct().count()
+    hits = citations.prefix_hits(asked, e, "k")
+    assert all("k#" in line and "entry_id" not in line.partition("hashpartitioning")[2] and "word#" not in line for line in exchanged(hits))
+    assert {r.k: r.entry_id.ordem for r in hits.collect()} == {k: min(i for _, i, x in rows if t[:120].strip() in x) for k, t in texts}
+
+
+@pytest.mark.parametrize("worth", [0.0, 1.0])
+def test_candidates_of_postings_with_words(spark, monkeypatch, worth):
+    """Entries on several lists of a query, whole ones and blocks, are met once."""
+    rng = random.Random(3)
+    rows, e, index = zipf_entries(spark, 400, rng)
+    sets = citations.entry_sets(e).cache()
+    texts = [(k, " ".join(rng.choice(rows)[2].split()[:6])) for k in range(12)]
+    asked = citations.asked(spark.createDataFrame(texts, "k long, t string"), "k", "t")
+    monkeypatch.setattr(citations, "WORTH", worth)
+    for most in (2, 9, 60):
+        got = {}
+        for r in citations.candidates(asked, citations.postings_of(sets), "k", most, sets).orderBy("k", "place").collect():
+            got.setdefault(r.k, []).append((r.entry_id.ordem, r.hits))
+        assert got == {k: c for k, t in texts if (c := plain_candidates(rows, t, most))}
