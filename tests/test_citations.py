@@ -313,3 +313,19 @@ def test_candidates_of_postings_with_words(spark, monkeypatch, worth):
         for r in citations.candidates(asked, citations.postings_of(sets), "k", most, sets).orderBy("k", "place").collect():
             got.setdefault(r.k, []).append((r.entry_id.ordem, r.hits))
         assert got == {k: c for k, t in texts if (c := plain_candidates(rows, t, most))}
+
+
+def test_tokens_of_long_texts(spark):
+    """A beginning that has too few, or ends within a word or a run of short ones, is no end of the search."""
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice(["abcd", "para", "ab", "x1y2z3", "longerword", "é"]) + str(rng.randrange(3)) * rng.randrange(3) + rng.choice([" ", " ", ".", ""]) for _ in range(rng.randrange(2, 600)))) for i in range(300)]
+    rows += [(900 + k, "w" * k + " para " + "q" * 30 + " tail") for k in range(citations.HEAD - 40, citations.HEAD + 5)]
+    got = spark.createDataFrame(rows, "k int, t string").select("k", *(citations.tokens(F.col("t"), m).alias(f"m{m}") for m in (1, 12, 60))).collect()
+    for (_, t), r in zip(rows, sorted(got), strict=True):
+        words = list(dict.fromkeys(w for w in re.findall("[a-z0-9]+", t) if len(w) >= 4 and w != "para"))
+        assert [r.m1, r.m12, r.m60] == [words[:1], words[:12], words[:60]]
+
+
+def test_a_text_is_normalised_once(spark):
+    made = citations.entry_sets(citations.entries(spark.createDataFrame([("a", 1, "um dois três")], "f string, i long, t string"), "f", "i", "t"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
