@@ -119,6 +119,15 @@ def nested_metadata_text(json: Column) -> Column:
     return F.coalesce(_joined_values(F.flatten(F.transform(named, of))), F.lit(""))
 
 
+def normalised(index: DataFrame, text: Column, metadata: Column) -> DataFrame:
+    """index with _text and _meta, what alignment() compares.
+
+    They are fields of an array's element, so that each text is normalised once, not again for each term of a query.
+    """
+    made = F.struct(for_semantic(text).alias("text"), metadata_text(metadata).alias("meta"))
+    return index.withColumn("_made", F.explode(F.array(made))).withColumns({"_text": F.col("_made.text"), "_meta": F.col("_made.meta")}).drop("_made")
+
+
 def alignment(query: str, text: Column, meta: Column) -> Column:
     """How far the words of the query, their order and the phrase stand in the normalised text and metadata."""
     terms = rerank_terms(query)

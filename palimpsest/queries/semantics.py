@@ -61,7 +61,7 @@ def sem_antifilter_counts(spark, sf_dir):
 @R.add(f"WITH {INDEX}, {ALIGNED} SELECT row, alignment FROM aligned")
 def sem_alignment(spark, sf_dir):
     i = _index(spark, sf_dir)
-    return i.select("row", semantic.alignment(QUERY, semantic.for_semantic(F.col("text")), semantic.metadata_text(F.col("metadata"))).alias("alignment"))
+    return semantic.normalised(i, F.col("text"), F.col("metadata")).select("row", semantic.alignment(QUERY, F.col("_text"), F.col("_meta")).alias("alignment"))
 
 
 _POOL = f"""{INDEX}, {ALIGNED},
