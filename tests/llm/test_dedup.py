@@ -311,3 +311,27 @@ def test_likely_loses_no_stretch(seed):
         rows.append(passages.surroundings(full, np.array([0]), np.array([len(full)]), np.array([60 + place]), 45)[0])
     assert len(passages.likely(*rows, 50)[0]) == 1
     assert len(passages.likely(rows[0], (rows[0] + 7) % 1024, 50)[0]) == 0
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_in_place_tells_order(seed):
+    """Stretches of 50 words around a k-mer with 10 replaced, inserted or left out stay; the same words in another order go."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(1, 1 << 60, 50).astype(np.uint64)
+    at = int(rng.integers(0, 46))
+    changed = set(rng.choice([i for i in range(50) if not at <= i < at + 5], 10, replace=False).tolist())
+    other, where = [], None
+    for i, w in enumerate(base):
+        where = len(other) if i == at else where
+        kind = rng.integers(0, 3) if i in changed and seed % 2 else 0
+        other += [w] if i not in changed else [[rng.integers(1, 1 << 60)], [], [w, rng.integers(1, 1 << 60)]][kind]
+    noise = [rng.integers(1, 1 << 60, 60).astype(np.uint64) for _ in range(4)]
+    texts = [np.concatenate([noise[0], base, noise[1]]), np.concatenate([noise[2], np.array(other, np.uint64), noise[3]])]
+    left, right = texts[0][15 + at : 60 + at], texts[0][65 + at : 110 + at]
+    texts.append(np.concatenate([left[:22][::-1], left[22:][::-1], base[at : at + 5], right[:23][::-1], right[23:][::-1]]))
+    places = [60 + at, 60 + where, 45]
+    near = np.concatenate([passages._around(t, np.array([0]), np.array([len(t)]), np.array([p]), 45)[0] for t, p in zip(texts, places, strict=True)])
+    one, two = np.array([0, 1, 0]), np.array([1, 0, 2])
+    assert passages.in_place(near, near, one, two, 50).tolist() == [True, True, False]
+    buckets = passages._buckets(near)
+    assert len(passages.likely(buckets[:1], buckets[2:], 50)[0]) == 1
