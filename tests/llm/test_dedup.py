@@ -313,6 +313,47 @@ def test_likely_loses_no_stretch(seed):
     assert len(passages.likely(rows[0], (rows[0] + 7) % 1024, 50)[0]) == 0
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_signs_lose_no_stretch(seed):
+    """Stretches of 50 words around a k-mer with 10 replaced, inserted or left out have a sign in common; other surroundings have none."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(1, 30 if seed % 4 < 2 else 1000, 50)
+    at = int(rng.integers(0, 46))
+    changed = set(rng.choice([i for i in range(50) if not at <= i < at + 5], 10, replace=False).tolist())
+    other, where = [], None
+    for i, w in enumerate(base):
+        where = len(other) if i == at else where
+        kind = rng.integers(0, 3) if i in changed and seed % 2 else 0
+        other += [w] if i not in changed else [[rng.integers(1000, 2000)], [], [w, rng.integers(1000, 2000)]][kind]
+    rows = []
+    for text, place in ((base, at), (np.array(other), where)):
+        full = np.concatenate([rng.integers(2000, 60_000, 60), text, rng.integers(2000, 60_000, 60)])
+        rows.append(np.concatenate([full[60 + place - 45 : 60 + place][::-1], full[65 + place : 110 + place]]).astype(np.uint16))
+    one, two = (set(r[r > 0].tolist()) for r in passages.signs(np.array(rows), 50))
+    assert one & two
+    # few words around, too few for a passage: none
+    rows[0][40:] = 0
+    rows[0][:10] = 0
+    assert not passages.signs(np.array(rows), 50)[0].any()
+
+
+def test_rows_of_one_word_meet_by_their_beginnings(spark, monkeypatch):
+    """Documents with a row of one word: matches are a few for each two, not the square of the row's length."""
+    rng = random.Random(6)
+    rows = [(d, " ".join(words(rng, 60, 100_000) + ["the"] * 42 + words(rng, 60, 100_000))) for d in range(12)]
+    texts = spark.createDataFrame(rows, "doc long, text string")
+    met = []
+
+    def kept(texts, matches, *_):
+        met.append(matches.count())
+        return spark.createDataFrame([], passages.FOUND)
+
+    members = passages._members(passages._keys(texts, 50))
+    monkeypatch.setattr(passages, "_aligned_matches", kept)
+    passages._across(texts, members, spark.createDataFrame([], "doc long, root long"), 50)
+    assert 66 <= met[0] <= 66 * 42 * 4
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_in_place_tells_order(seed):
     """Stretches of 50 words around a k-mer with 10 replaced, inserted or left out stay; the same words in another order go."""
