@@ -376,3 +376,25 @@ def test_in_place_tells_order(seed):
     assert passages.in_place(near, near, one, two, 50).tolist() == [True, True, False]
     buckets = passages._buckets(near)
     assert len(passages.likely(buckets[:1], buckets[2:], 50)[0]) == 1
+
+
+def test_links_within_one_class_are_all_counted(spark):
+    """Texts that are all made from one, each with edits of its own: every two share a passage, though no key leads from one to the other."""
+    rng = random.Random(9)
+    base, rows = words(rng, 150, 100_000), []
+    for d in range(14):
+        own = list(base)
+        for i in rng.sample(range(150), 8):
+            own[i] = f"new{rng.randrange(100_000)}"
+        if d % 3 == 1:
+            own[70:70] = words(rng, 3, 100_000)
+        rows.append((d, " ".join(words(rng, 40, 100_000) + own + words(rng, 40, 100_000))))
+    # one that has no passage with the first, but with those that have its edits
+    half = list(base)
+    for i in range(2, 150, 4):
+        half[i] = f"odd{i}"
+    rows += [(100 + k, " ".join(words(rng, 30, 100_000) + [f"x{k}" if i == 75 + k else w for i, w in enumerate(half)])) for k in range(10)]
+    got = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[d].n_links for d in range(14)] == [13] * 14
+    assert [got[100 + k].n_links for k in range(10)] == [9] * 10
+    assert {got[d].class_id for d in range(14)} == {0} and {got[100 + k].class_id for k in range(10)} == {100}
